@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprint, packing
+from lectern.llm import fingerprint, packing, reputation, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,17 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op5_url_reputation": op5_url_reputation,
     "op6_fingerprints": op6_fingerprints,
+    "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_reputation": reputation.judge_urls_sql()}
