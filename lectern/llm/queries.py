@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprint, near, packing, reputation, secrets
+from lectern.llm import fingerprint, near, packing, quality, reputation, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_reputation": op5_url_reputation,
     "op6_fingerprints": op6_fingerprints,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 

@@ -1,8 +1,10 @@
 """Block-wise tokenization with a word cache.
 
-``word_bpe_49k.json`` never merges across white space, so a text's ids are its
-words' ids in order. A block's words are hashed, each distinct word is looked
-up (or tokenized once) and the ids are gathered by numpy. The cache is bounded
+``word_bpe_49k.json`` lower-cases and never merges across white space, nor across
+the border from a letter to punctuation, so a text's ids are its words' ids in
+order, and a word's are those of what precedes its closing punctuation and of
+that punctuation. A block's words are hashed, each distinct word is looked up
+(or tokenized once) and the ids are gathered by numpy. The cache is bounded
 and only a cache: emptying it costs time, never results.
 """
 
@@ -17,11 +19,33 @@ from lectern.llm import kernel
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MOST_WORDS = 1_000_000
+MOST_WORDS = 1_500_000
+
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_CLOSING = np.zeros(256, dtype=bool)
+_CLOSING[list(b".,!?;:*$%&#")] = True
 
 _OPEN: dict[str, "WordTokenizer"] = {}
 
 
+def without_closing(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with up to three closing punctuation marks after an ASCII letter as words of their own."""
+    tail, open_ = np.zeros(len(end), np.int64), np.ones(len(end), bool)
+    for _ in range(3):
+        at = end - tail - 1
+        open_ &= (at > start) & _CLOSING[buf[np.maximum(at, 0)]]
+        tail += open_
+    tail[~_LETTER[buf[np.maximum(end - tail - 1, 0)]]] = 0
+    split = tail > 0
+    slot = np.arange(len(end)) + np.cumsum(split) - split
+    many = len(end) + int(split.sum())
+    starts, ends = np.empty(many, np.int64), np.empty(many, np.int64)
+    starts[slot], ends[slot] = start, end - tail
+    starts[slot[split] + 1], ends[slot[split] + 1] = (end - tail)[split], end[split]
+    return starts, ends, np.append(slot, many)[first]
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,7 +61,7 @@ class WordTokenizer:
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         """Tokenize words not met before."""
-        for h, found in zip(hashes, self.model.encode_batch(texts, add_special_tokens=False), strict=True):
+        for h, found in zip(hashes, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             n, at = len(found.ids), len(self.known)
             if at == len(self.starts):
                 self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
@@ -51,8 +75,8 @@ class WordTokenizer:
         """(ids, offsets) of a block of documents, each ended by ``end_id`` if given."""
         if len(self.known) > MOST_WORDS:
             self._reset()
-        start, end, first = kernel.words(buf, offs)
-        hashes, at, each = np.unique(kernel.span_hashes(buf, start, end, kernel.IDENTITY), return_index=True, return_inverse=True)
+        start, end, first = without_closing(buf, *kernel.words(buf, offs))
+        hashes, at, each = np.unique(kernel.span_hashes(buf, start, end), return_index=True, return_inverse=True)
         keys = hashes.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.known]
         if new:
