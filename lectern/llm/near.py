@@ -14,12 +14,11 @@ Rows and links stay proportional to the input:
 * A bucket (documents that agree in a band) is not expanded into pairs. Every
   member is compared with the bucket's smallest member; what verifies is
   connected at once.
-* Buckets that then still hold several components are compared in blocks:
-  members outside the smallest member's component against all members, 256
-  against 256 on their registers. First the likeliest few partners of each
-  outsider are verified, then, with components brought up to date, all that the
-  likelihood doesn't rule out (5 standard deviations). So no link is lost to a
-  cap, and pairs inside one component are never made.
+* Where the members of one smallest member still fall into several components,
+  those outside the largest one are compared with all others in blocks: on
+  registers, then on whole sets, which are intersected block by block inside a
+  task, so that pairs are never rows. No link is lost to a cap, and pairs inside
+  one component are never made.
 
 Registers of a pair are judged jointly: with both set sizes known, the numbers
 of greater, smaller and equal registers have a likelihood in J alone. Pairs that
@@ -38,19 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernel
 from lectern.llm.components import connected_components
-from lectern.llm.session import cut
+from lectern.llm.session import cut, partitions
 
 ROWS, BANDS = 4, 32
 M = ROWS * BANDS
 B, A, Q = 1.02, 20.0, (1 << 16) - 2
 PERCENT = 75
 SIGMAS = 5.0
-BLOCK, FEW = 256, 4
+BLOCK, BLOCK_BYTES = 256, 1 << 20
 BLOOM_BITS = 1 << 25
 
 _MULTIPLY, _ADD = kernel.stream64(M, 31) | np.uint64(1), kernel.stream64(M, 37)
@@ -148,13 +147,12 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ar", "br").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of document ids whose whole shingle sets are similar enough.
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents with the given distinct ids: sorted 64-bit hashes as bytes.
 
-    A bitmap of fixed size (4 MB) of the ids that occur keeps other texts out of
-    the shuffle; texts that pass it by chance fall to the join.
+    A bitmap of fixed size (4 MB) of the ids keeps other texts out of the
+    shuffle; texts that pass it by chance fall to the join.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     at = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
     words = ids.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
     bitmap = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
@@ -174,6 +172,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 cuts = first.tolist()
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
 
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return whole.select("doc_id", "text", at.alias("at")).mapInArrow(sets, "doc_id long, shingles binary").join(ids, "doc_id", "left_semi")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs of document ids whose whole shingle sets are similar enough."""
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -185,52 +190,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").select("doc_id", "text", at.alias("at")).mapInArrow(sets, "doc_id long, shingles binary").join(ids, "doc_id", "left_semi")
+    whole = _sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     one, two = whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
-def _across(buckets: DataFrame, centres: DataFrame, classes: DataFrame, component: DataFrame, few: int | None) -> DataFrame:
-    """Pairs (a, b) in one bucket but in different components which the registers don't rule out; with ``few``, the likeliest of each outsider and block."""
-    at = buckets.join(centres.where("size > 2"), "key").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = at.groupBy("key").agg(F.max(F.when(F.col("rep") == F.col("centre"), F.col("component"))).alias("own"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "own")
-    members = at.join(mixed, "key").join(classes.select("rep", "n", "regs"), "rep")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).alias("part")
-    packed = F.collect_list(F.struct("rep", "component", "n", "regs"))
-    every = members.groupBy("key", part).agg(packed.alias("every"))
-    outside = members.where("component <> own").groupBy("key", part.alias("part_out")).agg(packed.alias("outside"))
+def _blocked(members: DataFrame, weight: Column, block: int, *fields: str) -> DataFrame:
+    """(outside, every) for each two blocks of a group ``centre``: packed outsiders and packed members, ``block`` of weight each."""
+    size = members.groupBy("centre").agg(F.ceil(F.sum(weight) / block).alias("blocks"))
+    placed = members.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.greatest("blocks", F.lit(1))))
+    packed = F.collect_list(F.struct(*fields))
+    every = placed.groupBy("centre", "part").agg(packed.alias("every"))
+    outside = placed.where("outer").groupBy("centre", F.col("part").alias("part_out")).agg(packed.alias("outside"))
+    spread = partitions(members.sparkSession)
+    return outside.join(every, "centre").repartition(spread, "centre", "part", "part_out").select("centre", "outside", "every")
 
-    def fields(col: pa.Array) -> tuple[np.ndarray, ...]:
-        s = col.values
-        return s.field(0).to_numpy(), s.field(1).to_numpy(), s.field(2).to_numpy().astype(float), _stack(s.field(3))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(star: DataFrame, classes: DataFrame, component: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Verified links between the components that the members of one centre still fall into.
+
+    Members outside the centre's largest component are compared with all, first
+    by registers, block against block, which tells who has a likely partner at
+    all; the whole sets of those are then intersected, block against block. Of
+    an outsider's links to one component in one block, one is returned.
+    """
+    members = star.select(F.col("a").alias("centre"), F.col("b").alias("rep")).join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = members.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("own"), F.count(F.lit(1)).alias("components")).where("components > 1").select("centre", "own")
+    members = cut(members.join(mixed, "centre").join(classes.select("rep", "n", "regs"), "rep").withColumn("outer", F.col("component") != F.col("own")))
+    if members.isEmpty():
+        return star.limit(0).select("a", "b")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
             for i in range(batch.num_rows):
-                rep, comp, n, regs = fields(_one(batch.column(0), i))
-                rep2, comp2, n2, regs2 = fields(_one(batch.column(1), i))
+                (rep, comp, n, regs), (rep2, comp2, n2, regs2) = ((s.field(0).to_numpy(), s.field(1).to_numpy(), s.field(2).to_numpy().astype(float), _stack(s.field(3))) for s in (_row(batch.column(1), i), _row(batch.column(2), i)))
+                partner, has = np.zeros(len(rep2), dtype=bool), np.zeros(len(rep), dtype=bool)
                 for j in range(len(rep)):
-                    other = np.flatnonzero(comp2 != comp[j])
-                    if not len(other):
-                        continue
-                    x, y = regs[j], regs2[other]
-                    above, below = (x > y).sum(1), (x < y).sum(1)
-                    keep = may_be_similar(above, below, np.full(len(other), n[j]), n2[other])
-                    kept = other[keep]
-                    if few is not None and len(kept) > few:
-                        kept = kept[np.argsort((above + below)[keep], kind="stable")[:few]]
-                    a += np.minimum(rep[j], rep2[kept]).tolist()
-                    b += np.maximum(rep[j], rep2[kept]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return outside.join(every, "key").select("outside", "every").mapInArrow(run, "a long, b long").distinct()
-
-
-def _one(col: pa.ListArray, i: int) -> pa.ListArray:
-    """Row i of a list column, its values cut to that row."""
-    o = col.offsets
-    return pa.ListArray.from_arrays(pa.array([0, o[i + 1].as_py() - o[i].as_py()], pa.int32()), col.values.slice(o[i].as_py(), o[i + 1].as_py() - o[i].as_py()))
+                    other = np.flatnonzero((comp2 != comp[j]) & (np.minimum(n2, n[j]) * 100 >= percent * np.maximum(n2, n[j])))
+                    if len(other):
+                        x, y = regs[j], regs2[other]
+                        keep = other[may_be_similar((x > y).sum(1), (x < y).sum(1), np.full(len(other), n[j]), n2[other])]
+                        partner[keep] = True
+                        has[j] = len(keep) > 0
+                found = np.concatenate([rep[has], rep2[partner]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0)[i].as_py(), len(found)), pa.int64()), pa.array(found, pa.int64())], ["centre", "rep"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out, all_ = _row(batch.column(1), i), _row(batch.column(2), i)
+                rep2, comp2 = all_.field(0).to_numpy(), all_.field(1).to_numpy()
+                raw, offs = kernel.column_bytes(all_.field(2))
+                hashes, size = raw.view(np.uint64), np.diff(offs) // 8
+                order = np.argsort(hashes, kind="stable")
+                hashes, owner = hashes[order], np.repeat(np.arange(len(size)), size)[order]
+                a, b = [], []
+                for rep, comp, mine in zip(out.field(0).to_pylist(), out.field(1).to_pylist(), out.field(2), strict=True):
+                    mine = np.frombuffer(mine.as_buffer(), np.uint64)
+                    low = np.searchsorted(hashes, mine, "left")
+                    same = np.bincount(owner[kernel.ragged(low, np.searchsorted(hashes, mine, "right") - low)], minlength=len(size))
+                    hit = np.flatnonzero((100 * same >= percent * (size + len(mine) - same)) & (comp2 != comp))
+                    for k in hit[np.unique(comp2[hit], return_index=True)[1]].tolist():
+                        a.append(min(rep, int(rep2[k])))
+                        b.append(max(rep, int(rep2[k])))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    needed = cut(_blocked(members, F.lit(1), BLOCK, "rep", "component", "n", "regs").mapInArrow(likely, "centre long, rep long").distinct())
+    sets = _sets(docs, needed.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    whole = members.drop("regs").join(needed, ["centre", "rep"], "left_semi").join(sets, "rep")
+    return _blocked(whole, 8 * F.col("n"), BLOCK_BYTES, "rep", "component", "shingles").mapInArrow(linked, "a long, b long").distinct()
+
+
+def _row(col: pa.ListArray, i: int) -> pa.StructArray:
+    """The values of row i of a list column."""
+    return pa.concat_arrays([col.slice(i, 1).flatten()])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -239,16 +273,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked = sketches.where("n > 0 and doc_id is not null")
     classes = cut(linked.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
     buckets = _buckets(classes)
-    centres = cut(buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    star = buckets.join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    centres = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
+    star = cut(buckets.join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     edges = cut(_verified(cut(_likely(star, classes)), docs, percent))
     component = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    for few in (FEW, None):
-        more = cut(_across(buckets, centres, classes, component, few))
-        if more.isEmpty():
-            break
-        edges = cut(edges.union(_verified(more, docs, percent)).distinct())
-        component = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    more = cut(_across(star, classes, component, docs, percent))
+    if not more.isEmpty():
+        component = connected_components(edges.union(more)).select(F.col("node").alias("rep"), "component")
     group = classes.join(component, "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component"))
     found = sketches.drop("regs").join(group, ["sig", "n"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
