@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import kernel
 from lectern.llm.components import connected_components
+from lectern.llm.idset import texts_of
 from lectern.llm.session import cut, partitions
 
 ROWS, BANDS = 4, 32
@@ -50,7 +51,6 @@ B, A, Q = 1.02, 20.0, (1 << 16) - 2
 PERCENT = 75
 SIGMAS = 5.0
 BLOCK, BLOCK_BYTES = 256, 1 << 20
-BLOOM_BITS = 1 << 25
 
 _MULTIPLY, _ADD = kernel.stream64(M, 31) | np.uint64(1), kernel.stream64(M, 37)
 _BAND = kernel.stream64(BANDS, 41)
@@ -148,32 +148,15 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents with the given distinct ids: sorted 64-bit hashes as bytes.
+    """(doc_id, shingles) of the documents with the given distinct ids: sorted 64-bit hashes as bytes."""
 
-    A bitmap of fixed size (4 MB) of the ids keeps other texts out of the
-    shuffle; texts that pass it by chance fall to the join.
-    """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    bitmap = bitmap.view(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            byte = at >> 3
-            known = byte < len(bits)
-            keep = known & ((bits[np.where(known, byte, 0)] >> (at & 7).astype(np.uint8)) & 1 > 0)
-            for rows, buf, offs in kernel.blocks(batch.filter(pa.array(keep)), "text"):
-                h, first = kernel.document_shingles(buf, offs)
-                cuts = first.tolist()
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
+    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, buf, offs in kernel.blocks(batch, "text"):
+            h, first = kernel.document_shingles(buf, offs)
+            cuts = first.tolist()
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return whole.select("doc_id", "text", at.alias("at")).mapInArrow(sets, "doc_id long, shingles binary").join(ids, "doc_id", "left_semi")
+    return texts_of(docs, ids, sets, "doc_id long, shingles binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
