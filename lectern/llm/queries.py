@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, fingerprint, near, packing, quality, reputation, secrets, shards
+from lectern.llm import decontaminate, fingerprint, near, packing, ppm, quality, reputation, secrets, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op5_url_reputation": op5_url_reputation,
     "op6_fingerprints": op6_fingerprints,
+    "op7_lm_scores": op7_lm_scores,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
