@@ -159,3 +159,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def encode_spans_as_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of Python strings."""
     return column_bytes(pa.array(texts, type=pa.large_string()))
+
+
+_WIDE = stream64(1 << 10, 13)
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums of small integers, for ``span_sums``."""
+    sums = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum(_WIDE[values] * _powers(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def span_sums(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each values[start:end] from their prefix sums."""
+    return mix64((sums[end] - sums[start]) * _powers(len(sums))[1][start])
+
+
+def span_hashes_of(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_sums(prefix_sums(values), start, end)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, fingerprint, near, packing, ppm, quality, reputation, secrets, shards
+from lectern.llm import decontaminate, fingerprint, near, packing, ppm, quality, repeats, reputation, secrets, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_reputation": op5_url_reputation,
     "op6_fingerprints": op6_fingerprints,
     "op7_lm_scores": op7_lm_scores,
