@@ -74,7 +74,7 @@ def _counts(docs: DataFrame, path: str | None) -> list[tuple[int, int, int]]:
         tok, tokens, digest = tokenizer(path), 0, 0
         for batch in batches:
             for rows, buf, offs in kernel.blocks(batch, "text"):
-                cuts = tok.encode(buf, offs, END_ID)[1]
+                cuts = tok.count(buf, offs, END_ID)
                 tokens += int(cuts[-1])
                 digest = _digest(rows, cuts, digest)
         if tokens:

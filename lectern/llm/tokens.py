@@ -10,6 +10,7 @@ and only a cache: emptying it costs time, never results.
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -19,7 +20,7 @@ from lectern.llm import kernel
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MOST_WORDS = 1_500_000
+MOST_WORDS, MOST_LATEST = 2_000_000, 50_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -47,6 +48,8 @@ def without_closing(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first:
 
 
 class WordTokenizer:
+    """Ids of words by their hashes: sorted arrays of most words met so far, and a dictionary of the latest."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -55,45 +58,86 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.latest: dict[int, int] = {}
+        self.met = 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         """Tokenize words not met before."""
-        for h, found in zip(hashes, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            n, at = len(found.ids), len(self.known)
-            if at == len(self.starts):
-                self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids])
-            self.ids[self.used : self.used + n] = found.ids
-            self.starts[at], self.lengths[at], self.known[h] = self.used, n, at
-            self.used += n
+        found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        while self.met + len(found) > len(self.starts):
+            self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        new = slice(self.met, self.met + len(found))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[new], self.lengths[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.latest.update(zip(hashes, range(new.start, new.stop), strict=True))
+        self.met, self.used = new.stop, self.used + len(flat)
+        if len(self.latest) > MOST_LATEST:
+            h = np.concatenate([self.hashes, np.fromiter(self.latest, np.uint64, len(self.latest))])
+            at = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
+            order = np.argsort(h)
+            self.hashes, self.slots, self.latest = h[order], at[order], {}
+
+    def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each word's place among the words met."""
+        if self.met > MOST_WORDS:
+            self._reset()
+        hashes, at, each = np.unique(kernel.span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        slot = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes) and len(hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[place] == hashes
+            slot[known] = self.slots[place[known]]
+        rest = np.flatnonzero(slot < 0)
+        keys = hashes[rest].tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.latest]
+        for i in range(0, len(new), 1 << 15):
+            part = new[i : i + (1 << 15)]
+            s, e = start[at[rest[part]]].tolist(), end[at[rest[part]]].tolist()
+            whole = memoryview(buf)
+            self._learn([keys[k] for k in part], [str(whole[a:b], "utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            if not self.latest:  # they moved to the sorted arrays
+                return self._slots(buf, start, end)
+        slot[rest] = np.fromiter((self.latest[h] for h in keys), np.int64, len(keys))
+        return slot[each]
+
+    def count(self, buf: np.ndarray, offs: np.ndarray, end_id: int | None = END_ID) -> np.ndarray:
+        """Offsets of each document's ids, as ``encode`` has them."""
+        start, end, first = without_closing(buf, *kernel.words(buf, offs))
+        slot = self._slots(buf, start, end)
+        sums = np.zeros(len(slot) + 1, np.int64)
+        np.cumsum(self.lengths[slot], out=sums[1:])
+        return sums[first] + (np.arange(len(offs)) if end_id is not None else 0)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a block of documents, each ended by ``end_id`` if given."""
-        if len(self.known) > MOST_WORDS:
-            self._reset()
         start, end, first = without_closing(buf, *kernel.words(buf, offs))
-        hashes, at, each = np.unique(kernel.span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            whole, s, e = buf.tobytes(), start[at], end[at]
-            self._learn([keys[i] for i in new], [whole[s[i] : e[i]].decode("utf-8", "replace") for i in new])
-        slot = np.fromiter((self.known[h] for h in keys), np.int64, len(keys))[each]
-        lengths = self.lengths[slot]
-        sums = np.zeros(len(slot) + 1, np.int64)
+        slot = self._slots(buf, start, end)
+        starts, lengths = self.starts[slot], self.lengths[slot]
+        if end_id is not None:  # a document's end is a word of one id, kept behind all others
+            ends = first[1:] + np.arange(len(offs) - 1)
+            mine = np.ones(len(slot) + len(ends), dtype=bool)
+            mine[ends] = False
+            starts, lengths = _spread(mine, starts, self.used), _spread(mine, lengths, 1)
+            first = first + np.arange(len(offs))
+            if self.used == len(self.ids):
+                self.ids = np.concatenate([self.ids, self.ids])
+            self.ids[self.used] = end_id
+        sums = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=sums[1:])
-        ids = self.ids[kernel.ragged(self.starts[slot], lengths)]
-        cuts = sums[first]
-        if end_id is None:
-            return ids, cuts
-        out = np.full(len(ids) + len(offs) - 1, end_id, np.uint32)
-        document = np.repeat(np.arange(len(offs) - 1), np.diff(cuts))
-        out[np.arange(len(ids)) + document] = ids
-        return out, cuts + np.arange(len(offs))
+        return self.ids[kernel.ragged(starts, lengths)], sums[first]
+
+
+def _spread(mine: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
+    out = np.full(len(mine), other, np.int64)
+    out[mine] = values
+    return out
 
 
 def tokenizer(path: str | None = None) -> WordTokenizer:
