@@ -35,3 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Where the session has Spark's default sizes, hand Python batches of 2,000 rows and 16 MB at most, so that texts weigh little beside a task's heap."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m"), "16m")):
+        if spark.conf.get(key, default[0]) in default:
+            spark.conf.set(key, value)
+    return spark
