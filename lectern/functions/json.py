@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lectern.functions.text import balanced_object
 
@@ -82,14 +83,14 @@ def extract(text: str, key: str | None = None) -> tuple[str | None, str | None]:
 def extraction(key: str | None = None):
     """Pandas UDF: struct of payload and method of a model output; nulls where no object is found."""
 
-    @F.pandas_udf("payload string, method string")
+    @F.pandas_udf(StructType([StructField("payload", StringType()), StructField("method", StringType())]))
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([extract(t or "", key) for t in texts.fillna("")], columns=["payload", "method"], dtype=object)
 
     return run
 
 
-@F.udtf(returnType="position int, object string")
+@F.udtf(returnType=StructType([StructField("position", IntegerType()), StructField("object", StringType())]))
 class BalancedObjects:
     """Table function: every balanced object of a text, outer ones first."""
 
@@ -100,7 +101,7 @@ class BalancedObjects:
                 yield m.start(), found
 
 
-@F.udtf(returnType="key string, value string")
+@F.udtf(returnType=StructType([StructField("key", StringType()), StructField("value", StringType())]))
 class FlattenValues:
     """Table function: (key, value) of the scalar values under the named keys, at any depth."""
 

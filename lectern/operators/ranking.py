@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 SMALL = 512
 
@@ -59,7 +60,7 @@ def _sorted_agreement(gold: np.ndarray, pred: np.ndarray) -> tuple[int, int]:
     return less(p) - inside_up, less(-p) - inside_down
 
 
-@F.pandas_udf("concordant long, discordant long")
+@F.pandas_udf(StructType([StructField("concordant", LongType()), StructField("discordant", LongType())]))
 def merged_pairs(items: pd.Series) -> pd.DataFrame:
     """Pair counts of large panels."""
     return pd.DataFrame([_sorted_agreement(np.array([i["g"] for i in x], float), np.array([i["p"] for i in x], float)) for x in items], columns=["concordant", "discordant"])
