@@ -198,11 +198,11 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], documents))], ["seed", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    seed, n = found.column("seed").to_numpy(), found.column("n").to_numpy()
     out = np.zeros(len(items.seeds), dtype=np.int64)
-    real = found["seed"].to_numpy() >= 0
-    out[found["seed"].to_numpy()[real]] = found["n"].to_numpy()[real]
-    return out, int(found["n"].to_numpy()[~real].sum())
+    out[seed[seed >= 0]] = n[seed >= 0]
+    return out, int(n[seed < 0].sum())
 
 
 def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:

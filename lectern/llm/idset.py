@@ -25,9 +25,9 @@ def place(id_col: str = "doc_id") -> Column:
 
 def bitmap(ids: DataFrame) -> np.ndarray:
     """Bytes with the bits of ``ids`` (doc_id) set; at most BITS / 64 words reach the driver."""
-    words = ids.select(place().alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    words = ids.select(place().alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, dtype=np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
