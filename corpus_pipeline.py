@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, near, packing, quality, secrets
 from lectern.llm.queries import table
-from lectern.llm.session import fresh_path, small_batches
+from lectern.llm.session import fresh_path, ready
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    ready(spark)
     gone = near.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 

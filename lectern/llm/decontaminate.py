@@ -237,5 +237,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that hold no copy of any item."""
-    found = cut(leaks(docs, benchmark, least).select("doc_id").distinct())
+    found = cut(leaks(docs, benchmark, least).select("doc_id").distinct(), light=True)
     return docs.join(found, "doc_id", "left_anti")

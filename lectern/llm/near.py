@@ -200,7 +200,7 @@ def _across(star: DataFrame, classes: DataFrame, component: DataFrame, docs: Dat
     members = star.select(F.col("a").alias("centre"), F.col("b").alias("rep")).join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = members.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("own"), F.count(F.lit(1)).alias("components")).where("components > 1").select("centre", "own")
-    members = cut(members.join(mixed, "centre").join(classes.select("rep", "n", "regs"), "rep").withColumn("outer", F.col("component") != F.col("own")))
+    members = cut(members.join(mixed, "centre").join(classes.select("rep", "n", "regs"), "rep").withColumn("outer", F.col("component") != F.col("own")), light=True)
     if members.isEmpty():
         return star.limit(0).select("a", "b")
 
@@ -239,7 +239,7 @@ def _across(star: DataFrame, classes: DataFrame, component: DataFrame, docs: Dat
                         b.append(max(rep, int(rep2[k])))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    needed = cut(_blocked(members, F.lit(1), BLOCK, "rep", "component", "n", "regs").mapInArrow(likely, "centre long, rep long").distinct())
+    needed = cut(_blocked(members, F.lit(1), BLOCK, "rep", "component", "n", "regs").mapInArrow(likely, "centre long, rep long").distinct(), light=True)
     sets = _sets(docs, needed.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     whole = members.drop("regs").join(needed, ["centre", "rep"], "left_semi").join(sets, "rep")
     return _blocked(whole, 8 * F.col("n"), BLOCK_BYTES, "rep", "component", "shingles").mapInArrow(linked, "a long, b long").distinct()
@@ -254,13 +254,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     sketches = cut(_sketch(docs))
     linked = sketches.where("n > 0 and doc_id is not null")
-    classes = cut(linked.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
+    classes = cut(linked.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), light=True)
     buckets = _buckets(classes)
     centres = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
-    star = cut(buckets.join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = cut(_verified(cut(_likely(star, classes)), docs, percent))
+    star = cut(buckets.join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), light=True)
+    edges = cut(_verified(cut(_likely(star, classes), light=True), docs, percent), light=True)
     component = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    more = cut(_across(star, classes, component, docs, percent))
+    more = cut(_across(star, classes, component, docs, percent), light=True)
     if not more.isEmpty():
         component = connected_components(edges.union(more)).select(F.col("node").alias("rep"), "component")
     group = classes.join(component, "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component"))

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, fingerprint, near, packing, ppm, quality, repeats, reputation, secrets, shards
-from lectern.llm.session import small_batches
+from lectern.llm.session import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.runtime import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one of our own where it is unset (tests, one machine)."""
@@ -27,18 +29,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder: later stages survive the loss of any executor without rerunning what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, light: bool = False) -> DataFrame:
+    """Cut lineage through the shared folder: later stages survive the loss of any executor without rerunning what came before.
+
+    Light frames have a few dozen bytes where documents have thousands: an
+    eighth of the shuffle's partitions holds them, in as many files.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    return (df.coalesce(max(8, partitions(spark) // 8)) if light else df).checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Where the session has Spark's default sizes, hand Python batches of 2,000 rows and 16 MB at most, so that texts weigh little beside a task's heap."""
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors. Where it has Spark's default sizes, hand Python batches of 2,000 rows and 16 MB at most, so that texts weigh little beside a task's heap."""
+    ship(spark)
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m"), "16m")):
         if spark.conf.get(key, default[0]) in default:
             spark.conf.set(key, value)
