@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions import numbers, text
 from lectern.functions.json import extraction
 from lectern.operators import builders, evidence, keys, leaderboard, projections, qc, ranking, release, retries, splits, structure
+from lectern.runtime import ship
 from lectern.schemas import DOMAINS, missing, quote_too_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ CLAIMS, SAFETY, DIRECTIONS = DOMAINS["claim_status"], DOMAINS["safety_status"],
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
