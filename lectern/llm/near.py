@@ -26,8 +26,8 @@ pass are verified on the whole sets: 100 * intersection >= 75 * union.
 
 Defined cases: a null text counts as empty; a text without words has no
 shingles and links with nothing; one with fewer than five words has its whole
-sequence as one shingle; rows that repeat an id are judged alike; a row with a
-null id links with nothing, has a null component and is kept; other columns are
+sequence as one shingle; rows that repeat an id are judged by their texts (where
+an id has several, links of any of them are links of the id); a row with a null id links with nothing, has a null component and is kept; other columns are
 ignored.
 """
 

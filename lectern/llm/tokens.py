@@ -84,9 +84,9 @@ class WordTokenizer:
             order = np.argsort(h)
             self.hashes, self.slots, self.latest = h[order], at[order], {}
 
-    def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, again: bool = False) -> np.ndarray:
         """Each word's place among the words met."""
-        if self.met > MOST_WORDS:
+        if self.met > MOST_WORDS and not again:
             self._reset()
         hashes, at, each = np.unique(kernel.span_hashes(buf, start, end), return_index=True, return_inverse=True)
         slot = np.full(len(hashes), -1, np.int64)
@@ -103,7 +103,7 @@ class WordTokenizer:
             whole = memoryview(buf)
             self._learn([keys[k] for k in part], [str(whole[a:b], "utf-8", "replace") for a, b in zip(s, e, strict=True)])
             if not self.latest:  # they moved to the sorted arrays
-                return self._slots(buf, start, end)
+                return self._slots(buf, start, end, again=True)
         slot[rest] = np.fromiter((self.latest[h] for h in keys), np.int64, len(keys))
         return slot[each]
 
