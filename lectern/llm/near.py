@@ -178,10 +178,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
-def _blocked(members: DataFrame, weight: Column, block: int, *fields: str) -> DataFrame:
-    """(outside, every) for each two blocks of a group ``centre``: packed outsiders and packed members, ``block`` of weight each."""
+def _blocked(members: DataFrame, weight: Column, block: int, *fields: str, attach: DataFrame | None = None) -> DataFrame:
+    """(outside, every) for each two blocks of a group ``centre``: packed outsiders and packed members, ``block`` of weight each; ``attach`` (rep, ...) joins once blocks are known."""
     size = members.groupBy("centre").agg(F.ceil(F.sum(weight) / block).alias("blocks"))
     placed = members.join(size, "centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.greatest("blocks", F.lit(1))))
+    if attach is not None:
+        placed = placed.join(attach, "rep")
     packed = F.collect_list(F.struct(*fields))
     every = placed.groupBy("centre", "part").agg(packed.alias("every"))
     outside = placed.where("outer").groupBy("centre", F.col("part").alias("part_out")).agg(packed.alias("outside"))
@@ -241,8 +243,8 @@ def _across(star: DataFrame, classes: DataFrame, component: DataFrame, docs: Dat
 
     needed = cut(_blocked(members, F.lit(1), BLOCK, "rep", "component", "n", "regs").mapInArrow(likely, "centre long, rep long").distinct(), light=True)
     sets = _sets(docs, needed.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    whole = members.drop("regs").join(needed, ["centre", "rep"], "left_semi").join(sets, "rep")
-    return _blocked(whole, 8 * F.col("n"), BLOCK_BYTES, "rep", "component", "shingles").mapInArrow(linked, "a long, b long").distinct()
+    few = members.drop("regs").join(needed, ["centre", "rep"], "left_semi")
+    return _blocked(few, 8 * F.col("n"), BLOCK_BYTES, "rep", "component", "shingles", attach=sets).mapInArrow(linked, "a long, b long").distinct()
 
 
 def _row(col: pa.ListArray, i: int) -> pa.StructArray:
