@@ -61,7 +61,7 @@ def provider(c: Column) -> Column:
 
 def options(c: Column) -> Column:
     """Comma-separated values, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def redact(c: Column, mark: str = "[REDACTED]", patterns: tuple[str, ...] = SECRET_PATTERNS) -> Column:
@@ -99,7 +99,7 @@ def joined_lower(*cols: Column) -> Column:
 
 def clean_strings(c: Column) -> Column:
     """Trimmed members of an array, empty and null ones left out."""
-    return F.filter(F.transform(c, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def confidence_word(c: Column) -> Column:

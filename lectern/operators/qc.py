@@ -241,14 +241,20 @@ def default_subset(df: DataFrame) -> Column:
 
 def check_records(df: DataFrame) -> DataFrame:
     """Adds ``qc``: both passes, their disagreements, merged updates, action, result, resolution, subset and notes."""
+    if {"source_record_hash", "processed_record_hash"} <= set(df.columns):
+        df = with_hashes(df)
     df = df.withColumn("_a", pass_a(df)).withColumn("_b", pass_b(df))
-    df = df.withColumn("_worst", worst(F.col("_a.result"), F.col("_b.result"))).withColumn("_diff", differences(F.col("_a.updates"), F.col("_b.updates"))).withColumn("_new", merged(F.col("_a.updates"), F.col("_b.updates")))
+    df = df.withColumn("_worst", worst(F.col("_a.result"), F.col("_b.result"))).withColumn("_diff", F.concat(F.when(F.col("_a.result") != F.col("_b.result"), F.array(F.lit("result"))).otherwise(F.array().cast("array<string>")), differences(F.col("_a.updates"), F.col("_b.updates")))).withColumn("_new", merged(F.col("_a.updates"), F.col("_b.updates")))
     disagree = F.size("_diff") > 0
     only_validation = disagree & F.forall("_diff", lambda k: k == "evidence_validation_status")
     resolution = F.when(only_validation, "kept_conservative_label").when(disagree & (F.col("_worst") == "downgrade"), "downgraded").when(disagree, "excluded_from_primary_scoring")
     action = F.when(F.col("_worst") == "exclude", "excluded").when(F.col("_worst") == "downgrade", "downgraded").otherwise("kept")
     label = F.when(action == "excluded", "excluded_by_qc").when(action == "downgraded", "downgraded_by_qc").when((F.col("_worst") == "warn") | (resolution == "excluded_from_primary_scoring"), "passed_with_warnings").otherwise("passed_qc")
-    subset = F.when(action == "excluded", "excluded").when(resolution == "excluded_from_primary_scoring", "warning_only").otherwise(default_subset(df))
+    subset = F.when(action == "excluded", "excluded").when(resolution == "excluded_from_primary_scoring", "warning_only").otherwise(F.coalesce(F.nullif(_c(df, "scoring_subset"), F.lit("")), default_subset(df)))
+    settled = F.when((action == "excluded") & disagree, "excluded").when(action == "excluded", F.lit(None).cast("string")).otherwise(resolution)
+    noted = unique_notes(F.col("_a.notes"), F.col("_b.notes"))
+    noted = F.when((F.size(noted) == 0) & (action != "excluded"), F.array(F.lit("passed"))).otherwise(noted)
+    noted = F.when(disagree & (action != "excluded"), F.array_append(noted, F.concat(F.lit("disagreement resolved as "), resolution))).otherwise(noted)
     qc = F.struct(
         F.col("_a").alias("pass_a"),
         F.col("_b").alias("pass_b"),
@@ -256,9 +262,9 @@ def check_records(df: DataFrame) -> DataFrame:
         F.col("_new").alias("updates"),
         action.alias("action"),
         label.alias("qc_result"),
-        F.when(action == "excluded", F.lit(None).cast("string")).otherwise(resolution).alias("qc_resolution"),
+        settled.alias("qc_resolution"),
         subset.alias("scoring_subset"),
-        unique_notes(F.col("_a.notes"), F.col("_b.notes")).alias("notes"),
+        noted.alias("notes"),
         F.coalesce("_a.exclude_reason", "_b.exclude_reason").alias("exclude_reason"),
     )
     return df.withColumn("qc", qc).drop("_a", "_b", "_worst", "_diff", "_new")
@@ -273,7 +279,7 @@ def apply_qc(checked: DataFrame) -> DataFrame:
     for c in UPDATED:
         if c in kept.columns:
             kept = kept.withColumn(c, F.coalesce(F.try_element_at("qc.updates", F.lit(c)), F.col(c)))
-    own = {"qc_result": F.col("qc.qc_result"), "qc_resolution": F.col("qc.qc_resolution"), "scoring_subset": F.col("qc.scoring_subset"), "qc_notes": F.col("qc.notes"), "qc_disagreement": F.size("qc.disagreements") > 0}
+    own = {"qc_status": F.lit("source_checked"), "qc_result": F.col("qc.qc_result"), "qc_resolution": F.col("qc.qc_resolution"), "scoring_subset": F.col("qc.scoring_subset"), "qc_notes": F.col("qc.notes"), "qc_disagreement": F.size("qc.disagreements") > 0}
     return with_hashes(kept.withColumns(own).drop("qc"))
 
 

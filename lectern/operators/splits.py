@@ -61,7 +61,7 @@ def values_under(df: DataFrame, keys: tuple[str, ...], kind: str) -> DataFrame:
             if e.typeName() == "struct":
                 for f in e.fields:
                     if f.dataType.typeName() not in ("struct", "array") and f.name.lower() in keys:
-                        found.append(F.transform(path, lambda x, n=f.name: F.trim(x[n].cast("string"))))
+                        found.append(F.transform(path[f.name], lambda x: F.trim(x.cast("string"))))
             elif name and name.lower() in keys:
                 found.append(F.transform(path, lambda x: F.trim(x.cast("string"))))
         elif name and name.lower() in keys:

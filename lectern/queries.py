@@ -252,7 +252,7 @@ def rmsd(spark, sf):
 
 # Leaderboard and retries
 
-_ROWS = """r as (select s_name as model_id, s_suppkey as k, round(0.5 + s_acctbal / 40000, 6) as mean_score, case when k % 7 = 0 then 9 else 10 end as completed, case when k % 5 = 0 then 0.9 end as valid,
+_ROWS = """r as (select s_name as model_id, s_suppkey as k, 0.5 + (s_suppkey % 97) / 1000 as mean_score, case when k % 7 = 0 then 9 else 10 end as completed, case when k % 5 = 0 then 0.9 end as valid,
  case when k % 13 = 0 then 2 else 0 end as api, case when k % 5 = 0 then 1 else 0 end as bad_json, case when k % 10 = 0 then 1 else 0 end as failed, k % 17 = 0 as baseline, case when k % 19 = 0 then 'sanity_check' else 'base' end as mode from supplier),
 s as (select *, least(1.0, completed / 10) as cov, case when mode = 'sanity_check' then 'noncompetitive_oracle' when baseline then 'noncompetitive_baseline' when api > 0 then 'excluded_provider_error'
  when bad_json > 0 then case when failed >= bad_json and valid is not null and completed >= 10 then 'completed_with_failures' else 'excluded_invalid_json' end when completed < 10 then 'excluded_incomplete' else 'clean_completed' end as row_status from r),
@@ -262,7 +262,7 @@ v as (select *, case when ok then mean_score * cov * coalesce(valid, 1) end as a
 
 def _rows(spark, sf) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select(F.col("s_name").alias("model_id"), F.when(k % 19 == 0, "sanity_check").otherwise("base").alias("mode"), F.round(0.5 + F.col("s_acctbal") / 40000, 6).alias("mean_score"), F.lit(10).alias("total_cases_attempted"), F.when(k % 7 == 0, 9).otherwise(10).alias("total_cases_completed"), F.when(k % 5 == 0, 0.9).alias("valid_prediction_rate"), F.when(k % 13 == 0, 2).otherwise(0).alias("api_error_count"), F.when(k % 5 == 0, 1).otherwise(0).alias("invalid_json_count"), F.when(k % 10 == 0, 1).otherwise(0).alias("failed_prediction_count"), (k % 17 == 0).alias("is_baseline"))
+    return table(spark, sf, "supplier").select(F.col("s_name").alias("model_id"), F.when(k % 19 == 0, "sanity_check").otherwise("base").alias("mode"), (0.5 + (k % 97) / 1000).alias("mean_score"), F.lit(10).alias("total_cases_attempted"), F.when(k % 7 == 0, 9).otherwise(10).alias("total_cases_completed"), F.when(k % 5 == 0, 0.9).alias("valid_prediction_rate"), F.when(k % 13 == 0, 2).otherwise(0).alias("api_error_count"), F.when(k % 5 == 0, 1).otherwise(0).alias("invalid_json_count"), F.when(k % 10 == 0, 1).otherwise(0).alias("failed_prediction_count"), (k % 17 == 0).alias("is_baseline"))
 
 
 @query(f"with {_ROWS} select model_id, mode, row_status, ok as competitive, round(adjusted, 6) as adjusted, case when ok then row_number() over (partition by ok order by adjusted desc, mean_score desc, model_id, mode) end as rank from v")

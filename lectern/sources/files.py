@@ -18,19 +18,19 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; all columns are strings, empty cells are empty strings."""
-    return spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).na.fill("")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Sources of a YAML manifest (a list under ``sources``): a small file, parsed on the driver."""
     import yaml
 
-    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     sources = (yaml.safe_load(text) or {}).get("sources")
     if not isinstance(sources, list):
         raise ValueError(f"{path}: sources must be a list")
