@@ -63,10 +63,11 @@ def pieces(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     """Non-negative least squares by the active-set method of Lawson and Hanson."""
+    gram, target = a.T @ a, a.T @ b
     x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
-    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
     for _ in range(rounds):
-        gain = a.T @ (b - a @ x)
+        gain = target - gram @ x
         gain[on] = -np.inf
         best = int(gain.argmax()) if len(gain) else 0
         if not len(gain) or gain[best] <= tolerance:
@@ -74,7 +75,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
         on[best] = True
         while True:
             z = np.zeros_like(x)
-            z[on] = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            part = np.flatnonzero(on)
+            inner = gram[np.ix_(part, part)]
+            z[part] = np.linalg.solve(inner + 1e-12 * np.trace(inner) * np.eye(len(part)), target[part])
             if (z[on] > 0).all():
                 x = z
                 break
