@@ -134,3 +134,21 @@ def leaderboard_page(public: DataFrame) -> str:
     cells = "".join("<tr>" + "".join(f"<td>{html.escape('' if r[c] is None else str(r[c]))}</td>" for c in columns) + "</tr>" for r in public.collect())
     script = "document.querySelectorAll('th').forEach((h,i)=>h.onclick=()=>{const b=document.querySelector('tbody'),v=r=>{const x=r.cells[i].textContent,n=parseFloat(x);return x===''?-Infinity:isNaN(n)?x:n},d=h.dataset.d=h.dataset.d==='1'?'-1':'1';[...b.rows].sort((p,q)=>(v(p)>v(q)?1:v(p)<v(q)?-1:0)*d).forEach(r=>b.append(r))})"
     return f"<!doctype html><meta charset=utf-8><title>Leaderboard</title><table><thead><tr>{''.join(f'<th>{c}</th>' for c in columns)}</tr></thead><tbody>{cells}</tbody></table><script>{script}</script>\n"
+
+
+def copy_redacted(source: str, target: str, binary: tuple[str, ...] = (".safetensors", ".bin", ".pt", ".pth")) -> bool:
+    """Copy a file of the driver's; text loses its secrets. True if something was redacted."""
+    import re
+    import shutil
+
+    from lectern.functions.text import SECRET_PATTERNS
+
+    Path(target).parent.mkdir(parents=True, exist_ok=True)
+    if Path(source).suffix in binary:
+        shutil.copyfile(source, target)
+        return False
+    text = clean = Path(source).read_text(encoding="utf-8", errors="replace")
+    for p in SECRET_PATTERNS:
+        clean = re.sub(p, "[REDACTED]", clean)
+    write_text(target, clean)
+    return clean != text

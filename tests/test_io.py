@@ -151,3 +151,11 @@ def test_streams(spark, tmp_path):
     q = logs.event_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 20
+
+
+def test_copies_lose_secrets(tmp_path):
+    (tmp_path / "a.txt").write_text("token: abcdefgh12 rest")
+    assert sinks.copy_redacted(str(tmp_path / "a.txt"), str(tmp_path / "b" / "a.txt"))
+    assert (tmp_path / "b" / "a.txt").read_text() == "[REDACTED] rest"
+    (tmp_path / "w.bin").write_bytes(b"token: abcdefgh12")
+    assert not sinks.copy_redacted(str(tmp_path / "w.bin"), str(tmp_path / "b" / "w.bin"))
