@@ -5,7 +5,7 @@
    corpus) goes to the driver. Lengths are rounded up to coarse bins, patterns
    of up to three bins that fill a sequence are enumerated, and non-negative
    least squares fits how often each is used. Counts are rounded down to what
-   the histogram supports.
+   the histogram supports. A pattern's last piece takes up what rounding left.
 3. Pieces left over are packed by best fit, also into what the patterns left
    free. This runs on the histogram: whole groups of equal gaps at once.
 4. The plan maps (length, rank among pieces of that length) to a sequence and
@@ -63,11 +63,11 @@ def pieces(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     """Non-negative least squares by the active-set method of Lawson and Hanson."""
-    gram, target = a.T @ a, a.T @ b
+    target = a.T @ b
     x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
     for _ in range(rounds):
-        gain = target - gram @ x
+        gain = target - a.T @ (a @ x)
         gain[on] = -np.inf
         best = int(gain.argmax()) if len(gain) else 0
         if not len(gain) or gain[best] <= tolerance:
@@ -76,7 +76,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
         while True:
             z = np.zeros_like(x)
             part = np.flatnonzero(on)
-            inner = gram[np.ix_(part, part)]
+            inner = a[:, part].T @ a[:, part]
             z[part] = np.linalg.solve(inner + 1e-12 * np.trace(inner) * np.eye(len(part)), target[part])
             if (z[on] > 0).all():
                 x = z
@@ -151,10 +151,10 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS) -> tup
     for pattern, repeats in fit_patterns(counts, limit, bins):
         open_runs = [(sequences, repeats, limit)]
         sequences += repeats
-        for b in sorted(pattern, reverse=True):
+        for b, last in ((b, i == len(pattern) - 1) for i, b in enumerate(sorted(pattern, reverse=True))):
             filled = []
-            for first, n, free in open_runs:
-                for length in range(min(b * width, free), (b - 1) * width, -1):
+            for first, n, free in open_runs:  # the last piece is the longest that fits what rounding left free
+                for length in range(free if last else min(b * width, free), (b - 1) * width, -1):
                     use = min(n, int(counts[length] - taken[length]))
                     if use > 0:
                         put(length, use, first, free)
