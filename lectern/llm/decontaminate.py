@@ -38,7 +38,7 @@ from lectern.llm.session import cut
 
 SEED = 3
 COMMON = 0.001
-LEAST = 0.5
+LEAST = 0.4
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_WORDS = 1_000_000
 BATCH_CELLS = 1 << 16
