@@ -12,9 +12,17 @@ count out of every context; what pruning took away is left to escapes, too.
 
 Counting covers the whole training text: a task sums the n-grams of what it
 reads, a shuffle joins the sums, and each level is one aggregation of the level
-below. The trie that scores is pruned to ``MOST_NODES`` nodes, the model's
-capacity: nodes counted fewer than t times go, for the least t that is enough,
-so a kept node's suffixes are kept too and the broadcast has a proven bound.
+below. The trie that scores has all nodes, however many, as tables by key:
+
+* A gram of the training text is coded at the deepest level, from its own
+  count and its context's: one window over the contexts of that level.
+* A gram that only held-out documents have goes down level by level, joined
+  with contexts and nodes by key.
+* A document's grams meet these code lengths by a join. Those of the ``CACHE``
+  most frequent grams are broadcast instead, which changes no result.
+
+``train_trie`` makes the same model as arrays in memory, for texts known to be
+small; pruned to a number of nodes, it drops those counted fewer than t times.
 
 Beside it stands a word model as a base line: log10((c + 1) / (N + V + 1)) a
 token. Counts of the ``HEAD`` most frequent words are broadcast, and what texts
@@ -29,22 +37,23 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import kernel
 from lectern.llm.session import cut
 
 ORDER = 6
-MOST_NODES = 2_000_000
+CACHE = 1_000_000
 HEAD = 500_000
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 2 << 20
-FLUSH = 24 << 20
+FLUSH = 10 << 20
 _END, _SPACE = 10, 32
 _8 = np.uint64(8)
 
@@ -147,7 +156,7 @@ def escape_table(totals: np.ndarray, symbols: np.ndarray, once: np.ndarray, cont
 
 
 class Trie:
-    """The pruned trie as sorted arrays, one set for each order."""
+    """The trie, whole or pruned, as sorted arrays, one set for each order."""
 
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], escapes: list[np.ndarray]):
         self.levels = []
@@ -198,36 +207,108 @@ class Trie:
         return out
 
 
-def train_trie(train: DataFrame, order: int = ORDER, most: int = MOST_NODES) -> Trie:
-    """The trie of a training text (column text), pruned to ``most`` nodes."""
+def _levels(train: DataFrame, order: int) -> list[DataFrame]:
+    """(key, raw, c) of each order: all nodes, how often they occur and what they count in their context."""
     level = cut(_count(train, True, order).select("key", F.col("n").alias("raw"), F.col("n").alias("c")))
     levels = [level]
     for o in range(order, 0, -1):
         level = cut(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * o)) - 1)).alias("key")).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("c")))
         levels.insert(0, level)
-    steps = F.when(F.col("raw") < 1024, F.col("raw")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("raw")))).cast("long"))
+    return levels
+
+
+def _contexts(level: DataFrame, *more: Column) -> DataFrame:
+    """(ctx, total, symbols, once, more...) of a level's contexts."""
+    return cut(level.groupBy(_context("key").alias("ctx")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("c") == 1).alias("once"), *more))
+
+
+def _context(key: str) -> Column:
+    return F.shiftrightunsigned(key, 8)
+
+
+def _escapes(contexts: DataFrame) -> np.ndarray:
+    alike = contexts.groupBy(_half_octave(F.col("total")).alias("total"), F.least("symbols", F.lit(Q_BINS)).alias("symbols")).agg(F.avg("total").alias("n"), F.avg("once").alias("once"), F.count(F.lit(1)).alias("contexts")).toArrow()  # N_BINS * Q_BINS rows at most
+    return escape_table(*(alike.column(c).to_numpy() for c in ("n", "symbols", "once", "contexts")))
+
+
+def _least_kept(levels: list[DataFrame], column: str, most: int) -> int:
+    """Least count for which at most ``most`` rows have as much."""
+    steps = F.when(F.col(column) < 4096, F.col(column)).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(column)))).cast("long"))
     sizes: dict[int, int] = {}
     for level in levels:
-        for r in level.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():  # 1,100 rows at most
+        for r in level.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():  # 4,150 rows at most
             sizes[r.step] = sizes.get(r.step, 0) + r.n
-    least, kept = max(sizes, default=0) + 1, 0
+    least, kept = 1 << 62, 0
     for step in sorted(sizes, reverse=True):
         kept += sizes[step]
         if kept > most:
             break
         least = step
+    return least
+
+
+def train_trie(train: DataFrame, order: int = ORDER, most: int = CACHE) -> Trie:
+    """The trie of a small training text (column text) in memory, pruned to ``most`` nodes."""
+    levels = _levels(train, order)
+    least = _least_kept(levels, "raw", most)
     nodes, contexts, escapes = [], [], []
     for level in levels:
         keep = F.col("raw") >= least
-        by_context = level.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(keep).alias("kept"))
-        by_context = cut(by_context)
-        alike = by_context.groupBy(_half_octave(F.col("total")).alias("total"), F.least("symbols", F.lit(Q_BINS)).alias("symbols")).agg(F.avg("total").alias("n"), F.avg("once").alias("once"), F.count(F.lit(1)).alias("contexts")).toArrow()  # N_BINS * Q_BINS rows at most
-        escapes.append(escape_table(*(alike.column(c).to_numpy() for c in ("n", "symbols", "once", "contexts"))))
+        by_context = _contexts(level, F.count_if(keep).alias("kept"))
+        escapes.append(_escapes(by_context))
         nodes.append(_sorted(level.where(keep).select("key", "c")))
         contexts.append(_sorted(by_context.where("kept > 0").select("ctx", "total", "symbols")))
     return Trie(nodes, contexts, escapes)
 
 
+def _step(rest: Column, left: Column, count: Column, escapes: np.ndarray) -> Column:
+    """log10 of coding a symbol counted ``count`` times, or an escape where that is null, of ``rest`` counts of ``left`` symbols."""
+    row = F.when(rest < 16, rest).otherwise(F.least(8 + 2 * F.log2(F.greatest(rest, F.lit(1))) + 1e-9, F.lit(N_BINS - 1.0))).cast("int")
+    new = F.when(rest > 0, F.get(F.lit(escapes.reshape(-1)), row * Q_BINS + F.greatest(F.least(left, F.lit(Q_BINS - 1)), F.lit(0)).cast("int"))).otherwise(1.0)
+    p = F.when(count.isNotNull(), (1 - new) * count / F.greatest(rest, F.lit(1))).otherwise(new)
+    return F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-9)))
+
+
+class Model:
+    """The whole trie as tables."""
+
+    def __init__(self, train: DataFrame, order: int):
+        self.levels = _levels(train, order)
+        siblings = Window.partitionBy("ctx")  # 256 at most
+        deepest = self.levels[-1].withColumn("ctx", _context("key")).select("*", F.sum("c").over(siblings).alias("total"), F.count(F.lit(1)).over(siblings).alias("symbols"), F.count_if(F.col("c") == 1).over(siblings).alias("once"), (F.row_number().over(siblings.orderBy("key")) == 1).alias("first"))
+        self.levels[-1] = deepest = cut(deepest)
+        self.contexts = [*(_contexts(level) for level in self.levels[:-1]), deepest.where("first").select("ctx", "total", "symbols", "once")]
+        self.escapes = [_escapes(c) for c in self.contexts]
+        #: (key, raw, code) of the training text's grams
+        self.known = deepest.select("key", "raw", _step(F.col("total"), F.col("symbols"), F.col("c"), self.escapes[-1]).alias("code"))
+
+    def code_unseen(self, grams: DataFrame) -> DataFrame:
+        """(key, code) of distinct grams that the training text doesn't have."""
+        order = len(self.levels) - 1
+        out = []
+        todo = grams.select("key", F.lit(0.0).alias("code"), F.lit(0).cast("long").alias("out_n"), F.lit(0).cast("long").alias("out_q"))
+        for o in range(order, -1, -1):
+            part = F.col("key").bitwiseAND(F.lit((1 << (8 * (o + 1))) - 1))
+            node = self.levels[o].select(F.col("key").alias("node"), F.col("c").alias("count"))
+            here = todo.withColumn("node", part).withColumn("ctx", _context("node")).join(self.contexts[o].drop("once"), "ctx", "left").join(node, "node", "left")
+            step = _step(F.greatest(F.col("total") - F.col("out_n"), F.lit(0)), F.col("symbols") - F.col("out_q"), F.col("count"), self.escapes[o])
+            here = cut(here.withColumn("code", F.col("code") + F.when(F.col("total").isNotNull(), step).otherwise(0.0)))
+            out.append(here.where("count is not null").select("key", "code"))
+            here = here.where("count is null")
+            if o:  # what the next shorter context counts of the symbols seen here
+                need = here.where("total is not null").select("ctx").distinct()
+                low = F.col("node").bitwiseAND(F.lit((1 << (8 * o)) - 1))
+                seen = self.levels[o].select(F.col("key").alias("node"), _context("key").alias("ctx")).join(need, "ctx", "left_semi").withColumn("below", low)
+                lows = seen.join(self.levels[o - 1].select(F.col("key").alias("below"), "c"), "below").groupBy("ctx").agg(F.sum("c").alias("low"))
+                here = here.join(lows, "ctx", "left")
+                out_n = F.coalesce("low", "out_n")
+            else:
+                out_n = F.col("out_n")
+            todo = here.select("key", "code", out_n.alias("out_n"), F.coalesce("symbols", "out_q").alias("out_q"))
+        out.append(todo.select("key", (F.col("code") - F.log10(F.greatest(256.0 - F.col("out_q"), F.lit(1.0)))).alias("code")))
+        return reduce(DataFrame.unionByName, out)
+
+
 def _half_octave(total: Column) -> Column:
     return F.when(total <= 16, total).otherwise(16 + F.floor(2 * F.log2(total)))
 
@@ -240,7 +321,24 @@ def _sorted(df: DataFrame, kind: type = np.float32) -> tuple[np.ndarray, ...]:
     return key[order], *(c.to_numpy().astype(kind)[order] for c in found.columns[1:])
 
 
-def score(docs: DataFrame, order: int = ORDER, most: int = MOST_NODES, head: int = HEAD) -> DataFrame:
+def _looked_up(keys: np.ndarray, codes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, cached) of each gram; 0 where it isn't cached."""
+    if not len(keys):
+        return np.zeros(len(grams)), np.zeros(len(grams), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+    cached = keys[at] == grams
+    return np.where(cached, codes[at], 0.0), cached
+
+
+def _rare(found: np.ndarray, each: np.ndarray, rare: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, times, offsets): each document's distinct grams among the rare ones."""
+    at = np.flatnonzero(rare[each])
+    doc = np.searchsorted(offs, at, side="right") - 1
+    pair, times = np.unique(doc * len(found) + each[at], return_counts=True)
+    return found[pair % max(len(found), 1)], times, np.searchsorted(pair, np.arange(len(offs)) * len(found))
+
+
+def score(docs: DataFrame, order: int = ORDER, cache: int = CACHE, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
@@ -249,22 +347,26 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MOST_NODES, head: int
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = total.n + end, total.v + (end > 0)
     per_token = float(np.log10(n_train + n_types + 1))
-    least = _head_from(words, head)
+    least = _least_kept([words], "n", head)
     head_keys, head_counts = _sorted(words.where(F.col("n") >= least), np.float64)
+    model = Model(train, order)
+    cached = _sorted(model.known.where(F.col("raw") >= _least_kept([model.known], "raw", cache)).select("key", "code"), np.float64)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((train_trie(train, order, most), head_keys, head_counts))
+    shared = spark.sparkContext.broadcast((*cached, head_keys, head_counts))
     end_score = float(np.log10(end + 1)) - per_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, counts = shared.value
+        grams_known, codes, keys, counts = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, buf, offs in kernel.blocks(batch, "text", BLOCK):
                 start, end_at, first = kernel.words(buf, offs)
                 grams, at = line_of(buf, start, end_at, first, order)
                 found, each = np.unique(grams, return_inverse=True)
+                code, cached = _looked_up(grams_known, codes, found)
                 sums = np.zeros(len(grams) + 1)
-                np.cumsum(trie.code_lengths(found)[each], out=sums[1:])
+                np.cumsum(code[each], out=sums[1:])
+                rare, times, rare_cuts = _rare(found, each, ~cached, at)
                 h = kernel.span_hashes(buf, start, end_at)
                 types, which = np.unique(h, return_inverse=True)
                 place = np.minimum(np.searchsorted(keys, types), max(len(keys) - 1, 0))
@@ -277,34 +379,27 @@ def score(docs: DataFrame, order: int = ORDER, most: int = MOST_NODES, head: int
                 rest = np.flatnonzero(~known[which])
                 cuts = np.searchsorted(rest, first)
                 tail = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rest].view(np.int64)))
+                rare_keys, rare_times = (pa.ListArray.from_arrays(pa.array(rare_cuts.astype(np.int32)), pa.array(x)) for x in (rare.view(np.int64), times.astype(np.int32)))
                 many = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(many)), part.column(0), part.column(1), pa.array(n + 1), pa.array(np.diff(n_head[first])), pa.array(np.diff(base[first]) - n * per_token + end_score), pa.array(sums[at[1:]] - sums[at[:-1]]), tail],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "tail"],
+                    [pa.array(row + np.arange(many)), part.column(0), part.column(1), pa.array(n + 1), pa.array(np.diff(n_head[first])), pa.array(np.diff(base[first]) - n * per_token + end_score), pa.array(sums[at[1:]] - sums[at[:-1]]), tail, rare_keys, rare_times],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "tail", "grams", "times"],
                 )
                 row += many
 
-    scored = cut(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, tail array<long>"))
+    scored = cut(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, tail array<long>, grams array<long>, times array<int>"))
     tail = scored.select("row", F.explode("tail").alias("key")).join(words.where(F.col("n") < least), "key").groupBy("row").agg(F.count(F.lit(1)).alias("n_tail"), F.sum(F.log10(F.col("n") + 1)).alias("base_tail"))
+    rare = scored.select("row", "held_out", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", "held_out", F.col("g.grams").alias("key"), F.col("g.times").alias("times"))
+    unseen = cut(rare.where("held_out").select("key").distinct().join(model.known, "key", "left_anti"))
+    codes = model.known.select("key", "code").unionByName(model.code_unseen(unseen))
+    rare = rare.join(codes, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("code")).alias("rare_score"))
     known_end = F.lit(int(end > 0))
-    return scored.drop("tail").join(tail, "row", "left").select(
+    return scored.drop("tail", "grams", "times").join(tail, "row", "left").join(rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + known_end).cast("long").alias("n_known"),
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (F.col("base_head") + F.coalesce("base_tail", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
-
-
-def _head_from(words: DataFrame, head: int) -> int:
-    """Least count for which at most ``head`` words are as frequent."""
-    steps = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n")))).cast("long"))
-    least, kept = None, 0
-    for r in sorted(words.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
-        kept += r.n
-        if kept > head:
-            break
-        least = r.step
-    return least if least is not None else (1 << 62)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import components, decontaminate, fingerprint, near, packing, ppm, quality, repeats, reputation, secrets, shards
+from lectern.llm import components, decontaminate, fingerprint, kernel, near, packing, ppm, quality, repeats, reputation, secrets, shards
 from lectern.llm.tokens import tokenizer
 from tests.llm import plain
 from tests.llm.conftest import prose
@@ -265,6 +265,16 @@ def test_pruned_trie_and_odd_rows(spark, docs, odd, nothing):
     assert ppm.score(odd).count() == 6 and ppm.score(nothing).count() == 0
 
 
+def test_scores_are_of_the_whole_trie_whatever_is_cached(spark, docs):
+    whole = ppm.train_trie(docs.where(~ppm.held_out(F.col("doc_id"))).select("text"), most=1 << 40)
+    found = [{r.doc_id: r.score for r in ppm.score(docs, cache=n).collect()} for n in (0, 300, 1 << 40)]
+    for r in docs.collect():
+        buf, offs = kernel.encode_spans_as_text([r.text or ""])
+        grams, _ = ppm.line_of(buf, *kernel.words(buf, offs))
+        want = whole.code_lengths(grams).sum()
+        assert all(f[r.doc_id] == pytest.approx(want, rel=1e-5) for f in found), r.doc_id
+
+
 # 8 secrets
 
 
