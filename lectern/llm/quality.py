@@ -11,8 +11,11 @@ A document's score is its mean surprise per symbol in nats, drawn to its
 language's mean by ``PRIOR`` symbols so that a short text needs strong
 evidence. One in ``FOLDS`` trusted documents, by hash of its id, is kept from
 training, and these give the thresholds: a language's is the quantile
-``QUANTILE`` of their scores (exact on a grid of 1e-3), or their mean and
-``SPREADS`` standard deviations where that is more, plus ``MARGIN``.
+``QUANTILE`` of their scores (exact on a grid of 1e-3) plus ``MARGIN``, and
+alike on the other side, since text that surprises too little repeats itself.
+With less than ``FEWEST`` of them a language takes these distances from its mean
+from all languages; with less than that in all, the quantile is estimated from
+their spread as well (Student's t) and the wider one counts.
 
 Trusted: labelled with quality 1 and, where known, toxic 0; a document with
 several labels needs all of them. Defined cases: null text counts as empty; an
@@ -25,6 +28,8 @@ row; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,8 @@ from lectern.llm.session import cut, partitions
 
 SYMBOLS, ORDER = 48, 4
 PRIOR = 40.0
-QUANTILE, SPREADS, MARGIN = 0.999, 6.0, 0.02
+QUANTILE, MARGIN = 0.999, 0.02
+FEWEST = 100
 FOLDS = 5
 GRID = 1e-3
 MOST_LANGUAGES = 10_000
@@ -150,16 +156,24 @@ def surprise(docs: DataFrame, table: np.ndarray, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _quantile(scores: DataFrame, q: float, by: str) -> DataFrame:
-    """(by, limit): lower quantile of ``score`` in each group, exact on the grid."""
+def _quantiles(scores: DataFrame, q: float, by: str) -> DataFrame:
+    """(by, low, high): the quantiles 1 - q and q of ``score`` in each group, exact on the grid."""
     bins = scores.groupBy(by, F.floor(F.col("score") / GRID).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy(by)
     ranked = bins.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
-    return ranked.where(F.col("upto") >= F.lit(q) * F.col("all")).groupBy(by).agg(((F.min("bin") + 1) * GRID).alias("limit"))
+    high = F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), F.col("bin") + 1))
+    low = F.max(F.when(F.col("all") - F.col("upto") + F.col("n") >= F.lit(q) * F.col("all"), F.col("bin")))
+    return ranked.groupBy(by).agg((low * GRID).alias("low"), (high * GRID).alias("high"))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> tuple[np.ndarray, DataFrame, DataFrame, float, float]:
-    """(table, scored documents, (language, mean, threshold), mean and threshold of languages without trusted documents)."""
+class Fitted(NamedTuple):
+    table: np.ndarray
+    scored: DataFrame
+    by_language: DataFrame  # (language, mean, lowest, threshold)
+    other: tuple[float, float, float]  # mean, lowest and threshold of languages without trusted documents
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> Fitted:
     trusted = trusted_ids(labels)
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
     fit, rest = trusted.where(~aside), trusted.where(aside)
@@ -172,15 +186,28 @@ def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, margin: float)
     overall = known.agg(F.coalesce(mean, F.lit(0.0)).alias("mean")).first()["mean"]
     means = known.groupBy("language").agg(mean.alias("mean"))
     known = known.join(means, "language").withColumn("score", _score(F.col("mean")))
-    of_all = _threshold(known.select(F.lit(0).alias("one"), "score"), quantile, margin, "one").first()
-    limits = _threshold(known, quantile, margin, "language")
-    return table, scored, cut(means.join(limits, "language"), light=True), overall, of_all["threshold"] if of_all else float("inf")
-
-
-def _threshold(scores: DataFrame, quantile: float, margin: float, by: str) -> DataFrame:
-    """(by, threshold) of each group."""
-    spread = scores.groupBy(by).agg((F.avg("score") + SPREADS * F.stddev_pop("score")).alias("spread"))
-    return _quantile(scores, quantile, by).join(spread, by).select(by, (F.greatest("limit", "spread") + margin).alias("threshold"))
+    of_all = _limits(known.select(F.lit(0).alias("one"), "score"), quantile, margin, "one").first()
+    off = _limits(known.select(F.lit(0).alias("one"), (F.col("score") - F.col("mean")).alias("score")), quantile, margin, "one").first()
+    if not (of_all and off):
+        return Fitted(table, scored, means.select("language", "mean", F.lit(0.0).alias("lowest"), F.lit(0.0).alias("threshold")), (overall, float("-inf"), float("inf")))
+    enough = F.col("n") >= FEWEST
+    limits = means.join(_limits(known, quantile, margin, "language"), "language").select(
+        "language",
+        "mean",
+        F.when(enough, F.col("lowest")).otherwise(F.col("mean") + off.lowest).alias("lowest"),
+        F.when(enough, F.col("threshold")).otherwise(F.col("mean") + off.threshold).alias("threshold"),
+    )
+    return Fitted(table, scored, cut(limits, light=True), (overall, of_all.lowest, of_all.threshold))
+
+
+def _limits(scores: DataFrame, quantile: float, margin: float, by: str) -> DataFrame:
+    """(by, n, lowest, threshold) of each group."""
+    z = NormalDist().inv_cdf(quantile)
+    free = F.greatest(F.col("n") - 1, F.lit(1))
+    t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free * free)
+    spread = scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd"))
+    wide = F.when(F.col("n") < FEWEST, t * F.col("sd") * F.sqrt(1 + 1 / F.col("n")))
+    return _quantiles(scores, quantile, by).join(spread, by).select(by, "n", (F.least("low", F.col("avg") - wide) - margin).alias("lowest"), (F.greatest("high", F.col("avg") + wide) + margin).alias("threshold"))
 
 
 def _language() -> Column:
@@ -192,10 +219,14 @@ def _score(mean: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, lang, n_symbols, score, threshold, kept) of every row of ``docs``."""
-    _, scored, by_language, mean, threshold = _fitted(docs, labels, quantile, margin)
-    out = scored.join(by_language, "language", "left").withColumn("score", _score(F.coalesce("mean", F.lit(mean)))).withColumn("threshold", F.coalesce("threshold", F.lit(threshold)))
-    return out.select("doc_id", "lang", "n_symbols", "score", "threshold", (F.col("score") <= F.col("threshold")).alias("kept"))
+    """(doc_id, lang, n_symbols, score, lowest, threshold, kept) of every row of ``docs``."""
+    return _judged(_fitted(docs, labels, quantile, margin)).select("doc_id", "lang", "n_symbols", "score", "lowest", "threshold", "kept")
+
+
+def _judged(fitted: Fitted) -> DataFrame:
+    mean, lowest, threshold = (F.coalesce(c, F.lit(x)) for c, x in zip(("mean", "lowest", "threshold"), fitted.other, strict=True))
+    out = fitted.scored.join(fitted.by_language, "language", "left").withColumn("score", _score(mean)).withColumns({"lowest": lowest, "threshold": threshold})
+    return out.withColumn("kept", F.col("score").between(F.col("lowest"), F.col("threshold")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -205,12 +236,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ma
     tasks, which score again while they filter; texts are not shuffled for it.
     Beyond that, the rejected ids are joined.
     """
-    table, scored, by_language, mean, threshold = _fitted(docs, labels, quantile, margin)
+    fitted = _fitted(docs, labels, quantile, margin)
+    by_language, other = fitted.by_language, fitted.other
     if by_language.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        judged = scored.join(by_language, "language", "left").withColumn("score", _score(F.coalesce("mean", F.lit(mean))))
-        bad = judged.where(F.col("score") > F.coalesce("threshold", F.lit(threshold))).select("doc_id").distinct()
+        bad = _judged(fitted).where(~F.col("kept")).select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast((table, {r.language: (r.mean, r.threshold) for r in by_language.collect()}))
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.table, {r.language: (r.mean, r.lowest, r.threshold) for r in by_language.collect()}))
     lang = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +250,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ma
             for rows, buf, offs in kernel.blocks(batch, "text"):
                 sums = np.zeros(len(buf) + 1)
                 np.cumsum(table[ngram_keys(buf, offs)], dtype=np.float64, out=sums[1:])
-                stats = np.array([known.get(x or "", (mean, threshold)) for x in rows.column(lang).to_pylist()]).reshape(-1, 2)
+                stats = np.array([known.get(x or "", other) for x in rows.column(lang).to_pylist()]).reshape(-1, 3)
                 score = (sums[offs[:-1]] - sums[offs[1:]] + PRIOR * stats[:, 0]) / (np.diff(offs) + PRIOR)
-                yield rows.filter(pa.array(score <= stats[:, 1]))
+                yield rows.filter(pa.array((score >= stats[:, 1]) & (score <= stats[:, 2])))
 
     return docs.mapInArrow(run, docs.schema)

@@ -334,6 +334,22 @@ def test_quality(spark):
     assert {r.doc_id for r in quality.trusted_ids(labels).collect()} == set(range(0, 80, 2))
 
 
+def test_thresholds_are_quantiles_on_both_sides(spark):
+    import random
+
+    rng = random.Random(4)
+    good = [(i, prose(rng, 60, 200), "en") for i in range(1200)]
+    bad = [(3000, "w1 " * 100, "en"), (3001, "|$ " * 150, "en")]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    held = [r["doc_id"] for r in spark.range(1200).select(F.col("id").alias("doc_id")).where("pmod(xxhash64(doc_id), 5) = 0").collect()]
+    scores = [found[i].score for i in held]
+    assert found[0].threshold == pytest.approx(max(scores) + quality.MARGIN, abs=2 * quality.GRID) and found[0].lowest == pytest.approx(min(scores) - quality.MARGIN, abs=2 * quality.GRID)
+    assert not found[3000].kept and not found[3001].kept and sum(found[i].kept for i in range(1200)) > 1190
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {d for d, r in found.items() if r.kept}
+
+
 def test_quality_beyond_the_language_limit(spark, monkeypatch):
     docs, labels = _labelled(spark)
     monkeypatch.setattr(quality, "MOST_LANGUAGES", 0)
