@@ -4,8 +4,11 @@
    broadcast has a fixed bound and a larger benchmark takes more passes.
 2. Seeds are the word 3-grams of the items. Their document frequencies are
    counted over the whole corpus, and an item's common seeds (in more than
-   ``COMMON`` of all documents) are dropped as long as its rarer half stays: an
-   item that leaked into very many documents is still found by its own seeds.
+   ``COMMON`` of all documents) are dropped if they are also in its more common
+   half and over twice as frequent as the median seed of their stretch of the
+   item. Stretches are so
+   short that any copied part of ``LEAST`` of an item has a whole one, so parts
+   of an item that leaked into very many documents are still found by its seeds.
 3. A task streams its documents; where seeds hit, the stretch of words around
    them is aligned with the item (match 2, mismatch -1, gap -1), all stretches
    of a block of text at once.
@@ -78,14 +81,23 @@ class Items:
         self.begin = np.append(begin, len(grams))
         self.item, self.at = item[order], at[order]
 
-    def keep_rare(self, frequency: np.ndarray, documents: int) -> None:
-        """Drop postings of common seeds, never from the rarer half of an item's."""
+    def keep_rare(self, frequency: np.ndarray, documents: int, least: float = LEAST) -> None:
+        """Drop postings of common seeds, never from the rarer half of an item's, nor where their whole stretch of the item is about as common."""
         df = np.repeat(frequency, np.diff(self.begin))
         order = np.lexsort((self.at, df, self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
+        many = np.bincount(self.item, minlength=len(self.ids))
         rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        keep = (df <= max(COMMON * documents, 2)) | (2 * rank < size[self.item])
+        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.maximum((least * np.diff(self.first) - SEED + 1) // 2, 1).astype(np.int64)
+        stretch = self.at // length[self.item]
+        order = np.lexsort((df, stretch, self.item))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(self.item[order]) != 0) | (np.diff(stretch[order]) != 0)
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(order)))
+        median = np.empty(len(order), dtype=np.int64)
+        median[order] = np.repeat(df[order][begin + size // 2], size)
+        keep = (df <= max(COMMON * documents, 2)) | (2 * rank < many[self.item]) | (df <= 2 * median)
         seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.begin))[keep]
         self.item, self.at = self.item[keep], self.at[keep]
         there, begin = np.unique(seed, return_index=True)
@@ -226,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     """(doc_id, item_id, score, coverage, first_word, last_word) of each document and item that it holds a copy of."""
     out = None
     for items in _blocks_of(benchmark):
-        items.keep_rare(*_frequencies(docs, items))
+        items.keep_rare(*_frequencies(docs, items), least)
         part = _leaks_of(docs, items, least)
         out = part if out is None else out.union(part)
     if out is None:

@@ -70,6 +70,19 @@ def test_leaks(spark, rows):
     assert kept == {d for d, _ in clean} | {500, 501}
 
 
+def test_parts_of_an_item_beside_many_whole_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    words = prose(rng, 26).split()
+    whole = [(i, prose(rng, 5) + " " + " ".join(words)) for i in range(60)]
+    dense = [x if j % 2 or j > 12 else "edited" for j, x in enumerate(words)]
+    parts = [words[:13], words[13:], words[7:20], dense]
+    docs = spark.createDataFrame(whole + [(100 + i, " ".join([prose(rng, 20), *w, prose(rng, 20)])) for i, w in enumerate(parts)], "doc_id long, text string")
+    found = {r.doc_id for r in decontaminate.leaks(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert found == set(range(60)) | {100, 101, 102, 103}
+
+
 def test_leaks_of_blocks_and_nothing(spark, docs, nothing, monkeypatch):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8"), (2, "a b c d e f g h")], "item_id long, text string")
     some = spark.createDataFrame([(1, "x w1 w2 w3 w4 w5 w6 w7 w8 y"), (2, "a b c d e f g h")], "doc_id long, text string")
