@@ -7,8 +7,9 @@ two inductions put all suffixes in order: a sweep over the sorted suffixes sends
 each one's predecessor to the queue of its first character, so the queues are a
 priority queue of suffix tuples by (character, order of arrival) and each
 character's queue is already sorted when its turn comes. A queue keeps runs of
-tuples in memory up to a budget and then on disk, and is read back run by run,
-so the sweeps need little more than the text and one run.
+tuples in memory up to a budget and then on disk, and is read back run by run.
+The text, what the sweeps sort and the order they give stay in memory, so a
+shard has to fit there.
 
 Order is exact to ``depth`` characters; suffixes that agree so far are
 neighbours in any order.
