@@ -6,9 +6,17 @@ shingle hashes of all its documents come from a handful of numpy passes, so no
 per-word Python code runs. Work is cut into blocks of a few MB (whole documents
 only), which bounds the scratch memory; a longer document is a block alone.
 
-Hashes are 64 bits: a polynomial over a random byte table, prefix-summed modulo
-2**64, then finalised. They depend on nothing but the bytes, so any two tasks,
-runs and machines agree.
+Hashes depend on nothing but the bytes, so any two tasks, runs and machines
+agree. There are two kinds:
+
+* ``span_hashes`` (words): eight bytes at a time through an invertible mixer, so
+  words of up to eight bytes are told apart by construction; spans of more than
+  ``LONG`` bytes are hashed by xxh3. ``same_spans`` compares bytes where a result
+  depends on identity.
+* ``prefix_sums`` and ``span_sums`` (any span of a long line): polynomials modulo
+  two 31-bit primes. Modulo a power of two, such polynomials give
+  some strings and their complements equal values whatever the base (the
+  Thue-Morse word); modulo a prime they don't.
 """
 
 from __future__ import annotations
@@ -17,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -45,21 +54,6 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE = stream64(256, 11)
-_R = 0xD6E8FEB86659FD93  # odd, 3 modulo 8: R - 1 has one factor of two only
-_R_INV = pow(_R, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for at, base in enumerate((_R, _R_INV)):
-            steps = np.full(n, base, dtype=_U)
-            steps[0] = 1
-            _POWERS[at] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
-
-
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -102,12 +96,48 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, offs)
 
 
+LONG = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
+_ODD, _SIZE = _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
+
+
+def _chunks(buf: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(folded bytes, the eight bytes from each place as one value)."""
+    line = np.zeros(len(buf) + 8, dtype=np.uint8)
+    np.take(fold, buf, out=line[: len(buf)])
+    return line, np.ndarray(len(buf) + 1, dtype="<u8", buffer=line.data, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     """Hash of each buf[start:end], bytes taken through ``fold``."""
-    up, down = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=_U)
-    np.cumsum(_BYTE[fold][buf] * up[: len(buf)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    line, eight = _chunks(buf, fold)
+    size = end - start
+    out = mix64((eight[start] & _KEEP[np.minimum(size, 8)]) * _ODD + size.astype(_U) * _SIZE)
+    todo, at = np.flatnonzero(size > 8), 8
+    while len(todo) and at < LONG:
+        chunk = eight[start[todo] + at] & _KEEP[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix64((out[todo] ^ chunk) * _ODD + _SIZE)
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in todo.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(line[start[i] : end[i]])
+    return out
+
+
+def same_spans(one: np.ndarray, start: np.ndarray, end: np.ndarray, two: np.ndarray, other: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """Whether one[start:end] has the bytes of two[other:other + end - start], both through ``fold``."""
+    (line, eight), (line2, eight2) = _chunks(one, fold), _chunks(two, fold)
+    size = end - start
+    same = np.ones(len(size), dtype=bool)
+    todo, at = np.flatnonzero(size > 0), 0
+    while len(todo) and at < LONG:
+        equal = (eight[start[todo] + at] ^ eight2[other[todo] + at]) & _KEEP[np.minimum(size[todo] - at, 8)] == 0
+        same[todo[~equal]] = False
+        at += 8
+        todo = todo[equal & (size[todo] > at)]
+    for i in todo.tolist():
+        same[i] = line[start[i] : end[i]].tobytes() == line2[other[i] : other[i] + size[i]].tobytes()
+    return same
 
 
 _STEP = stream64(64, 23) | _U(1)
@@ -161,20 +191,56 @@ def encode_spans_as_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return column_bytes(pa.array(texts, type=pa.large_string()))
 
 
-_WIDE = stream64(1 << 10, 13)
-
-
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums of small integers, for ``span_sums``."""
-    sums = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum(_WIDE[values] * _powers(len(values) + 1)[0][: len(values)], out=sums[1:])
-    return sums
+_PRIMES = (_U(2147483647), _U(2147483629))
+_WIDE = [stream64(1 << 10, 13) % p for p in _PRIMES]
+_BASES = (1103515245, 1220703125)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse, n at least."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        _POWERS.clear()
+        many = 1 << max(n - 1, 1).bit_length()
+        for base, p in zip(_BASES, _PRIMES, strict=True):
+            both = []
+            for b in (base, pow(base, -1, int(p))):
+                out = np.ones(many, dtype=_U)
+                done, step = 1, b
+                while done < many:  # the powers so far, moved on by as many
+                    out[done : 2 * done] = out[:done] * _U(step) % p
+                    done, step = 2 * done, step * step % int(p)
+                both.append(out)
+            _POWERS.append((both[0], both[1]))
+    return _POWERS
+
+
+def prefix_sums(values: np.ndarray) -> list[np.ndarray]:
+    """Polynomial prefix sums of small integers modulo each prime, for ``span_sums``."""
+    out = []
+    for (up, _), wide, p in zip(_powers(len(values) + 1), _WIDE, _PRIMES, strict=True):
+        sums = np.zeros(len(values) + 1, dtype=_U)
+        np.cumsum(wide[values] * up[: len(values)] % p, out=sums[1:])
+        out.append(sums % p)
+    return out
 
 
-def span_sums(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_sums(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each values[start:end] from their prefix sums."""
-    return mix64((sums[end] - sums[start]) * _powers(len(sums))[1][start])
+    one, two = ((s[end] + p - s[start]) * down[start] % p for s, (_, down), p in zip(sums, _powers(len(sums[0])), _PRIMES, strict=True))
+    return mix64(one << _U(32) | two)
 
 
 def span_hashes_of(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return span_sums(prefix_sums(values), start, end)
+
+
+def rolling(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` successive bytes, for choosing places only (a sum of multiples of eight-byte values)."""
+    n = max(len(buf) - width + 1, 0)
+    _, eight = _chunks(buf, IDENTITY)
+    out = np.zeros(n, dtype=_U)
+    for i, at in enumerate([*range(0, width - 7, 8), *([max(width - 8, 0)] if width % 8 else [])]):
+        part = eight[at : at + n]
+        out += (part if width >= 8 else part & _KEEP[width]) * _STEP[i % 64]
+    return mix64(out)

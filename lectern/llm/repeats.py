@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,13 +69,11 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first start, number of starts, content hash, whether the anchor occurs in it twice) of one text's windows; each start of ``length`` bytes is in one."""
+    """(anchor hash, first start, number of starts, 16-byte content hash, whether the anchor occurs in it twice) of one text's windows; each start of ``length`` bytes is in one."""
     starts = len(buf) - length + 1
     if starts <= 0:
-        return (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool))
-    sums = kernel.prefix_sums(buf)
-    n = len(buf) - gram + 1
-    hashes = kernel.span_sums(sums, np.arange(n), np.arange(gram, len(buf) + 1))
+        return (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), _U), np.zeros(0, bool))
+    hashes = kernel.rolling(buf, gram)
     low = _sliding(hashes, length - gram + 1, True)
     first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     many = np.diff(np.append(first, starts))
@@ -86,7 +85,9 @@ def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         equal = hashes[kernel.ragged(first[part], grams[part])] == np.repeat(low[first[part]], grams[part])
         twice[part] = np.add.reduceat(equal, np.cumsum(grams[part]) - grams[part], dtype=np.int64) > 1
         at = end
-    return low[first], first, many, kernel.span_sums(sums, first, first + many - 1 + length), twice
+    raw = memoryview(np.ascontiguousarray(buf))
+    content = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (first + many - 1 + length).tolist(), strict=True)])
+    return low[first], first, many, np.frombuffer(content, _U).reshape(-1, 2), twice
 
 
 def _uids(rows: int, at: int) -> np.ndarray:
@@ -103,13 +104,14 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                 found = [anchors(buf[a:b], length) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 cuts = np.append(0, np.cumsum([len(f[0]) for f in found])).astype(np.int32)
                 key, first, many, content, twice = (np.concatenate([f[i] for f in found]) for i in range(5))
-                windows = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(twice)], ["key", "content", "first", "many", "twice"])
+                content = np.ascontiguousarray(content.T).view(np.int64)
+                windows = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(content[0]), pa.array(content[1]), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(twice)], ["key", "content", "check", "first", "many", "twice"])
                 raw = memoryview(np.ascontiguousarray(buf))
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(_uids(rows.num_rows, at)), rows.column(0), pa.array(np.diff(offs)), pa.array(digests), pa.ListArray.from_arrays(pa.array(cuts), windows)], ["uid", "doc_id", "n_bytes", "sha256", "windows"])
                 at += rows.num_rows
 
-    return docs.mapInArrow(run, "uid long, doc_id long, n_bytes long, sha256 string, windows array<struct<key:long,content:long,first:int,many:int,twice:boolean>>")
+    return docs.mapInArrow(run, "uid long, doc_id long, n_bytes long, sha256 string, windows array<struct<key:long,content:long,check:long,first:int,many:int,twice:boolean>>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,8 +160,8 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _ranges(docs: DataFrame, seen: DataFrame, length: int) -> DataFrame:
     """(uid, n_bytes, first, many): ranges of repeated starts."""
     windows = seen.select("uid", "n_bytes", F.explode("windows").alias("w")).select("uid", "n_bytes", "w.*")
-    contents = cut(windows.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "many", "n_bytes", "twice")).alias("one")))
-    copies = windows.join(contents.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("uid", "n_bytes", "first", "many")
+    contents = cut(windows.groupBy("key", "content", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "many", "n_bytes", "twice")).alias("one")))
+    copies = windows.join(contents.where("n > 1").select("key", "content", "check"), ["key", "content", "check"], "left_semi").select("uid", "n_bytes", "first", "many")
     keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least"), F.max(F.col("one.twice") & (F.col("n") == 1)).alias("inner"))
     mixed = keys.where("contents > 1 and least = 1 or inner").select("key")
     sent = cut(contents.join(mixed, "key", "left_semi").select("key", "n", "one.*"))
