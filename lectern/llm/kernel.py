@@ -101,17 +101,26 @@ _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
 _ODD, _SIZE = _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
 
 
-def _chunks(buf: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(folded bytes, the eight bytes from each place as one value)."""
+def chunks(line: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``line`` but the last eight as one value."""
+    return np.ndarray(max(len(line) - 7, 0), dtype="<u8", buffer=line.data, strides=(1,))
+
+
+def folded(buf: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """``buf`` through ``fold``, with eight more bytes behind it."""
     line = np.zeros(len(buf) + 8, dtype=np.uint8)
     np.take(fold, buf, out=line[: len(buf)])
-    return line, np.ndarray(len(buf) + 1, dtype="<u8", buffer=line.data, strides=(1,))
+    return line
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
     """Hash of each buf[start:end], bytes taken through ``fold``."""
-    line, eight = _chunks(buf, fold)
-    size = end - start
+    return line_hashes(folded(buf, fold), start, end)
+
+
+def line_hashes(line: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of a folded line."""
+    eight, size = chunks(line), end - start
     out = mix64((eight[start] & _KEEP[np.minimum(size, 8)]) * _ODD + size.astype(_U) * _SIZE)
     todo, at = np.flatnonzero(size > 8), 8
     while len(todo) and at < LONG:
@@ -124,19 +133,19 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.nd
     return out
 
 
-def same_spans(one: np.ndarray, start: np.ndarray, end: np.ndarray, two: np.ndarray, other: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """Whether one[start:end] has the bytes of two[other:other + end - start], both through ``fold``."""
-    (line, eight), (line2, eight2) = _chunks(one, fold), _chunks(two, fold)
-    size = end - start
+def same_spans(line: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether line[start:start + size] has the bytes of other[place:place + size]; both lines have eight more bytes behind their spans."""
+    eight, eight2 = chunks(line), chunks(other)
     same = np.ones(len(size), dtype=bool)
     todo, at = np.flatnonzero(size > 0), 0
     while len(todo) and at < LONG:
-        equal = (eight[start[todo] + at] ^ eight2[other[todo] + at]) & _KEEP[np.minimum(size[todo] - at, 8)] == 0
+        equal = (eight[start[todo] + at] ^ eight2[place[todo] + at]) & _KEEP[np.minimum(size[todo] - at, 8)] == 0
         same[todo[~equal]] = False
         at += 8
-        todo = todo[equal & (size[todo] > at)]
+        todo = todo[equal]
+        todo = todo[size[todo] > at]
     for i in todo.tolist():
-        same[i] = line[start[i] : end[i]].tobytes() == line2[other[i] : other[i] + size[i]].tobytes()
+        same[i] = line[start[i] : start[i] + size[i]].tobytes() == other[place[i] : place[i] + size[i]].tobytes()
     return same
 
 
@@ -238,7 +247,7 @@ def span_hashes_of(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
 def rolling(buf: np.ndarray, width: int) -> np.ndarray:
     """Hash of each ``width`` successive bytes, for choosing places only (a sum of multiples of eight-byte values)."""
     n = max(len(buf) - width + 1, 0)
-    _, eight = _chunks(buf, IDENTITY)
+    eight = chunks(folded(buf, IDENTITY))
     out = np.zeros(n, dtype=_U)
     for i, at in enumerate([*range(0, width - 7, 8), *([max(width - 8, 0)] if width % 8 else [])]):
         part = eight[at : at + n]

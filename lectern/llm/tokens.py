@@ -4,8 +4,9 @@
 the border from a letter to punctuation, so a text's ids are its words' ids in
 order, and a word's are those of what precedes its closing punctuation and of
 that punctuation. A block's words are hashed, each distinct word is looked up
-(or tokenized once) and the ids are gathered by numpy. The cache is bounded
-and only a cache: emptying it costs time, never results.
+(or tokenized once) and the ids are gathered by numpy. Words that share a hash
+are told apart by their bytes. The cache is bounded and only a cache: emptying
+it costs time, never results.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import numpy as np
 
 from lectern.llm import kernel
 
-TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MOST_WORDS, MOST_LATEST = 2_000_000, 50_000
@@ -63,32 +63,36 @@ class WordTokenizer:
         self.met = 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.letters, self.written = np.zeros(1 << 20, np.uint8), 0
+        self.places, self.spans = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        """Tokenize words not met before."""
-        found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Tokenize words not met before; their places among the words met."""
+        found = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        raw = kernel.LOWER[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        spans = np.fromiter(map(len, words), np.int64, len(words))
         while self.met + len(found) > len(self.starts):
-            self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
+            self.starts, self.lengths, self.places, self.spans = (np.concatenate([a, a]) for a in (self.starts, self.lengths, self.places, self.spans))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
+        while self.written + len(raw) + 8 > len(self.letters):
+            self.letters = np.concatenate([self.letters, self.letters])
         new = slice(self.met, self.met + len(found))
         self.ids[self.used : self.used + len(flat)] = flat
+        self.letters[self.written : self.written + len(raw)] = raw
         self.starts[new], self.lengths[new] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.latest.update(zip(hashes, range(new.start, new.stop), strict=True))
-        self.met, self.used = new.stop, self.used + len(flat)
-        if len(self.latest) > MOST_LATEST:
-            h = np.concatenate([self.hashes, np.fromiter(self.latest, np.uint64, len(self.latest))])
-            at = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
-            order = np.argsort(h)
-            self.hashes, self.slots, self.latest = h[order], at[order], {}
+        self.places[new], self.spans[new] = self.written + np.cumsum(spans) - spans, spans
+        self.met, self.used, self.written = new.stop, self.used + len(flat), self.written + len(raw)
+        return np.arange(new.start, new.stop)
 
-    def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, again: bool = False) -> np.ndarray:
+    def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Each word's place among the words met."""
-        if self.met > MOST_WORDS and not again:
+        if self.met > MOST_WORDS:
             self._reset()
-        hashes, at, each = np.unique(kernel.span_hashes(buf, start, end), return_index=True, return_inverse=True)
+        line, size = kernel.folded(buf), end - start
+        hashes, at, each = np.unique(kernel.line_hashes(line, start, end), return_index=True, return_inverse=True)
         slot = np.full(len(hashes), -1, np.int64)
         if len(self.hashes) and len(hashes):
             place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -97,15 +101,25 @@ class WordTokenizer:
         rest = np.flatnonzero(slot < 0)
         keys = hashes[rest].tolist()
         new = [i for i, h in enumerate(keys) if h not in self.latest]
+        whole = memoryview(np.ascontiguousarray(buf))
         for i in range(0, len(new), 1 << 15):
             part = new[i : i + (1 << 15)]
             s, e = start[at[rest[part]]].tolist(), end[at[rest[part]]].tolist()
-            whole = memoryview(buf)
-            self._learn([keys[k] for k in part], [str(whole[a:b], "utf-8", "replace") for a, b in zip(s, e, strict=True)])
-            if not self.latest:  # they moved to the sorted arrays
-                return self._slots(buf, start, end, again=True)
+            learnt = self._learn([bytes(whole[a:b]) for a, b in zip(s, e, strict=True)])
+            self.latest.update(zip((keys[k] for k in part), learnt.tolist(), strict=True))
         slot[rest] = np.fromiter((self.latest[h] for h in keys), np.int64, len(keys))
-        return slot[each]
+        if len(self.latest) > MOST_LATEST:
+            h = np.concatenate([self.hashes, np.fromiter(self.latest, np.uint64, len(self.latest))])
+            found = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
+            order = np.argsort(h)
+            self.hashes, self.slots, self.latest = h[order], found[order], {}
+        out = slot[each]
+        same = self.spans[out] == size  # words of up to eight bytes with equal hash and size are equal
+        wide = np.flatnonzero(same & (size > 8))
+        same[wide] = kernel.same_spans(line, start[wide], size[wide], self.letters, self.places[out[wide]])
+        for i in np.flatnonzero(~same).tolist():  # another word has this one's hash
+            out[i] = self._learn([bytes(whole[start[i] : end[i]])])[0]
+        return out
 
     def count(self, buf: np.ndarray, offs: np.ndarray, end_id: int | None = END_ID) -> np.ndarray:
         """Offsets of each document's ids, as ``encode`` has them."""
@@ -141,8 +155,11 @@ def _spread(mine: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
 
 
 def tokenizer(path: str | None = None) -> WordTokenizer:
-    """This process's tokenizer for a vocabulary file."""
-    path = path or os.path.join(TOKENIZER_DIR, TOKENIZER)
+    """This process's tokenizer for a vocabulary file (by default the public one, wherever this machine has it)."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
     if path not in _OPEN:
         _OPEN[path] = WordTokenizer(path)
     return _OPEN[path]

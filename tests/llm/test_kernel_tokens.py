@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,7 +46,7 @@ def test_tokens_are_the_tokenizers(texts):
 def test_word_cache_survives_its_limits(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_LATEST", 3)
     monkeypatch.setattr(tokens, "MOST_WORDS", 10)
-    tok = tokens.WordTokenizer(f"{tokens.TOKENIZER_DIR}/{tokens.TOKENIZER}")
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER))
     for texts in (["a b c d e", "f g. h!"], ["i j k l m n o p q r s"], ["a z b."]):
         buf, offs = kernel.column_bytes(pa.array(texts, pa.string()))
         ids, cuts = tok.encode(buf, offs, None)
@@ -83,6 +85,43 @@ def test_repeated_starts():
     assert [f.tolist() for f in found] == [[count[t[i : i + 6]] > 1 for i in range(len(t) - 5)] for t in texts]
 
 
+def test_words_that_share_a_hash_keep_their_ids(monkeypatch):
+    honest = kernel.line_hashes
+    monkeypatch.setattr(kernel, "line_hashes", lambda line, start, end: np.where(end - start > 8, (end - start).astype(np.uint64) % np.uint64(3), honest(line, start, end)))
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER))
+    for texts in (["abc abd extraordinary extraordinarz tokenization", "of Of the"], ["extraordinarz abc x internationally"]):
+        buf, offs = kernel.column_bytes(pa.array(texts, pa.string()))
+        ids, cuts = tok.encode(buf, offs, None)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [tok.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("size", [16, 64, 1024, 4096])
+def test_thue_morse_words_differ(size):
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    buf, offs = kernel.column_bytes(pa.array([word, other, word], pa.string()))
+    start, end, _ = kernel.words(buf, offs)
+    hashes = kernel.span_hashes(buf, start, end)
+    sums = kernel.span_hashes_of(buf, start, end)
+    assert hashes[0] == hashes[2] != hashes[1] and sums[0] == sums[2] != sums[1]
+    tok = tokens.tokenizer()
+    ids, cuts = tok.encode(buf, offs)
+    for i, t in enumerate((word, other, word)):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == [*tok.model.encode(t, add_special_tokens=False).ids, tokens.END_ID]
+
+
+@given(st.binary(max_size=200), st.integers(1, 60))
+@settings(max_examples=60, deadline=None)
+def test_rolling_hashes_follow_content(raw, width):
+    twice = np.frombuffer(raw + b"-" + raw, dtype=np.uint8)
+    found = kernel.rolling(twice, width)
+    assert len(found) == max(len(twice) - width + 1, 0)
+    inside = max(len(raw) - width + 1, 0)
+    assert (found[:inside] == found[len(raw) + 1 : len(raw) + 1 + inside]).all()
+
+
 def test_ids_of_the_bitmap(spark):
     ids = [0, 1, 5, (3 << 40) + 7, -9]
     found = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(idset.place()).collect()]
