@@ -1,23 +1,33 @@
 """Secret scans: key patterns, and Markov models of random strings against identifiers.
 
 Three base patterns give spans as leftmost non-overlapping matches. Beyond
-them, long tokens are scored by two first-order character Markov models, one of
-random strings and one of ordinary identifiers, trained from labelled samples;
-a token whose log-likelihood ratio passes ``LEAST_RATIO`` is a span of kind
-``markov`` unless a base span overlaps it. Positions are code points.
+them, long runs of key characters are scored by two first-order character Markov
+models, one of random strings and one of ordinary identifiers, trained from
+labelled samples. A run's best part is the stretch of greatest log-likelihood
+ratio, drawn out to the next mark on both sides, so that a key inside a longer
+path or identifier is judged by itself. With at least ``LEAST_TOKEN`` characters
+and a ratio of the model's threshold it is a span of kind ``markov``, unless a
+base span overlaps it. Positions are code points.
+
+The threshold comes from labelled samples that the models aren't trained on (one
+in ``FOLDS`` by hash): the ``QUANTILE`` of what ordinary ones have there. Both
+error rates on them are part of the model.
 
 DataFrame functions only: a match's position is the length of all that precedes
 it (what a split by the pattern leaves, and the matches before it), summed in
 two levels so that a text of n matches costs n**1.5 at most.
 
 Defined cases: null text counts as empty; an empty text has no spans, an empty
-``spans`` and the digest of the empty string; repeated rows and null ids are
-scanned row by row; other columns are ignored.
+``spans`` and the digest of the empty string; a ratio that equals the threshold
+is found; repeated rows and null ids are scanned row by row; other columns are
+ignored, whatever their names, and ``redact`` returns them as they are; very long
+texts are scanned whole, in the time said above.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +37,8 @@ SEPARATED = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: pattern, group whose length counts, least length
 BASE = {"assign": (r"(?i:(password|passwd|secret|token|api_?key))" + SEPARATED, 2, 8), "access": (r"AKIA[A-Z0-9]{12,}", 0, 16), "hex": (r"[0-9a-f]{32,}", 0, 32)}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST_TOKEN, LEAST_RATIO = 20, 12.0
+LEAST_TOKEN = 20
+FOLDS, QUANTILE = 4, 0.999
 MARK = "[SECRET]"
 _CODES = 128
 
@@ -44,18 +55,38 @@ def default_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     pool = F.array(*[F.lit(w) for w in WORDS])
     word = lambda seed: F.element_at(pool, (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(WORDS))) + 1).cast("int"))
     words = F.array(word(1), word(2), word(3), word(4))
-    styles = F.array(F.array_join(words, "_"), F.array_join(words, "-"), F.array_join(words, "/"), F.array_join(F.transform(words, F.initcap), ""), F.upper(F.array_join(words, "_")), F.array_join(words, ""), F.concat(F.array_join(words, "_"), F.lit("_"), (F.col("id") % 2100).cast("string")))
-    plain = spark.range(n).select(F.element_at(styles, (F.col("id") % 7 + 1).cast("int")).alias("sample"), F.lit(False).alias("random"))
+    styles = F.array(F.array_join(words, "_"), F.array_join(words, "-"), F.array_join(words, "/"), F.array_join(F.transform(words, F.initcap), ""), F.upper(F.array_join(words, "_")), F.array_join(words, ""), F.concat(F.array_join(words, "_"), F.lit("_"), (F.col("id") % 2100).cast("string")), F.concat(word(1), F.lit("="), word(2), F.lit("/"), word(3), F.lit("="), word(4)))
+    plain = spark.range(n).select(F.element_at(styles, (F.col("id") % 8 + 1).cast("int")).alias("sample"), F.lit(False).alias("random"))
     return random.unionByName(plain)
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of successive characters, at 128 * first + second (add-one smoothed).
+class Model(NamedTuple):
+    """What the two Markov models say, and how they did on samples kept aside."""
 
-    Counted by group; at most 2 * 128**2 counts come to the driver.
+    ratios: list[float]  # log-likelihood ratio of successive characters, at 128 * first + second
+    threshold: float
+    found: float  # share of random samples at or above the threshold
+    alarms: float  # share of ordinary ones
+
+
+def train(samples: DataFrame, quantile: float = QUANTILE) -> Model:
+    """Both models (add-one smoothed) and the threshold, from labelled samples (sample, random).
+
+    Counted by group; at most 2 * 128**2 counts and two rows come to the driver.
     """
+    known = samples.where(F.col("sample").isNotNull() & F.col("random").isNotNull()).select("sample", "random")
+    aside = F.pmod(F.xxhash64(F.lit("aside"), "sample"), F.lit(FOLDS)) == 0
+    ratios = _ratios(known.where(~aside))
+    scored = known.where(aside).select("random", best_part(F.col("sample"), ratios)["ratio"].alias("ratio"))
+    limit = scored.where(~F.col("random")).agg(F.percentile("ratio", quantile).alias("t")).first().t
+    threshold = max(0.0, limit or 0.0)
+    shares = {r.random: r.share for r in scored.groupBy("random").agg(F.avg((F.col("ratio") >= threshold).cast("double")).alias("share")).collect()}
+    return Model(ratios, threshold, shares.get(True, 0.0), shares.get(False, 0.0))
+
+
+def _ratios(samples: DataFrame) -> list[float]:
     chars = F.filter(F.split(F.col("sample"), ""), lambda c: (c != "") & (F.ascii(c) < _CODES) & (F.ascii(c) > 0))
-    codes = samples.where(F.col("sample").isNotNull() & F.col("random").isNotNull()).select("random", F.transform(chars, F.ascii).alias("c"))
+    codes = samples.select("random", F.transform(chars, F.ascii).alias("c"))
     pairs = codes.where(F.size("c") > 1).select("random", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("p")).groupBy("random", "p").agg(F.count(F.lit(1)).alias("n"))
     counts = {True: {}, False: {}}
     for r in pairs.collect():
@@ -66,11 +97,33 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log(prob(True, at) / prob(False, at)) for at in range(_CODES * _CODES)]
 
 
-def ratio(token: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of an ASCII token."""
-    weights = F.lit(np.array(table, dtype=np.float64))
+def best_part(token: Column, ratios: list[float]) -> Column:
+    """(ratio, start, value) of an ASCII token: its stretch of greatest log-likelihood ratio, drawn out to the next marks; start counts from 0."""
+    weights = F.lit(np.array(ratios, dtype=np.float64))
     code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + F.get(weights, code(i) * _CODES + code(i + 1)))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(1).alias("since"), F.lit(0.0).alias("best"), F.lit(1).alias("first"), F.lit(0).alias("last"))
+
+    def step(s: Column, i: Column) -> Column:
+        now = s["sum"] + F.get(weights, code(i) * _CODES + code(i + 1))
+        better = now > s["best"]
+        return F.struct(
+            F.greatest(now, F.lit(0.0)).alias("sum"),
+            F.when(now > 0, s["since"]).otherwise(i + 1).alias("since"),
+            F.when(better, now).otherwise(s["best"]).alias("best"),
+            F.when(better, s["since"]).otherwise(s["first"]).alias("first"),
+            F.when(better, i + 1).otherwise(s["last"]).alias("last"),
+        )
+
+    def drawn_out(s: Column) -> Column:
+        left = F.length(F.regexp_extract(F.substr(token, F.lit(1), s["first"] - 1), "[A-Za-z0-9+]*$", 0))
+        right = F.length(F.regexp_extract(F.substr(token, s["last"] + 1), "^[A-Za-z0-9+]*", 0))
+        marks = F.length(F.regexp_extract(F.substr(token, s["first"]), "^[/=_-]*", 0))
+        behind = F.length(F.regexp_extract(F.substr(token, F.lit(1), s["last"]), "[/_-]*$", 0))
+        last = s["last"] + F.when(behind > 0, -behind).otherwise(right)
+        first = s["first"] + F.when(marks > 0, marks).otherwise(-left)
+        return F.struct(s["best"].alias("ratio"), (first - 1).alias("start"), F.substr(token, first, F.greatest(last - first + 1, F.lit(0))).alias("value"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), none, step, drawn_out)
 
 
 def _offsets(lengths: Column) -> Column:
@@ -98,16 +151,32 @@ def _spans(df: DataFrame, kind: str, pattern: str, group: int, least: int, rank:
     return df.withColumn(kind, F.coalesce(found, F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>"))).drop("m", "g", "t", "o")
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, text_col: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """Adds array columns of spans (start, rank, end, value): one for each base kind, ``markov``, and ``found`` with all of them in order."""
-    model = train(default_samples(docs.sparkSession)) if model is None else model
-    df = docs.withColumn("text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _scanned(texts: DataFrame, model: Model | None) -> DataFrame:
+    """Adds array columns of spans to ``texts``, whose only columns are ``text`` and ``row``."""
+    model = train(default_samples(texts.sparkSession)) if model is None else model
+    df = texts.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     for rank, (kind, (pattern, group, least)) in enumerate(BASE.items()):
         df = _spans(df, kind, pattern, group, least, rank)
     df = _spans(df, "markov", CANDIDATE, 0, LEAST_TOKEN, len(BASE))
     base = F.concat(*BASE)
-    odd = F.filter("markov", lambda s: (ratio(s["value"], model) >= least_ratio) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("markov", odd).withColumn("found", F.array_sort(F.concat(base, "markov")))
+    parts = F.transform("markov", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), best_part(s["value"], model.ratios).alias("part")))
+    likely = F.filter(parts, lambda s: (s["part"]["ratio"] >= model.threshold) & (F.length(s["part"]["value"]) >= LEAST_TOKEN))
+
+    def span(s: Column) -> Column:
+        start = s["start"] + s["part"]["start"]
+        return F.struct(start.alias("start"), s["rank"].alias("rank"), (start + F.length(s["part"]["value"])).alias("end"), s["part"]["value"].alias("value"))
+
+    odd = F.filter(F.transform(likely, span), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return df.withColumn("markov", F.when(F.size("markov") > 0, odd).otherwise(F.col("markov"))).withColumn("found", F.array_sort(F.concat(base, "markov")))
+
+
+def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
+    """(row, text, the spans (start, rank, end, value) of each base kind and of ``markov``, and ``found`` with all in order); ``row`` is the row of ``docs``."""
+    return _scanned(docs.select(F.struct(*[_field(c) for c in docs.columns]).alias("row"), _field(text_col).alias("text")), model)
+
+
+def _field(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
 def _listed(spans: Column | str) -> Column:
@@ -115,22 +184,20 @@ def _listed(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document."""
     df = scan(docs.select("doc_id", "text"), model)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
-    return df.select("doc_id", *counts, F.sha2(_listed(F.array_sort(F.concat(*BASE))), 256).alias("base_sha256"), _listed("found").alias("spans"))
+    return df.select("row.doc_id", *counts, F.sha2(_listed(F.array_sort(F.concat(*BASE))), 256).alias("base_sha256"), _listed("found").alias("spans"))
 
 
-def redact(docs: DataFrame, model: list[float] | None = None, mark: str = MARK) -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, mark: str = MARK) -> DataFrame:
     """The documents with each found secret, and every other occurrence of the same string, replaced by ``mark``; n_chars follows the text.
 
-    Longer secrets go first, so one that contains another leaves no rest. Texts without secrets stay as they are, null included.
+    Longer secrets go first, so one that contains another leaves no rest. Texts without secrets stay as they are, null included, and so does every other column.
     """
-    df = scan(docs.withColumn("kept", F.col("text")), model)
     values = F.array_sort(F.array_distinct(F.transform("found", lambda s: s["value"])), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    clean = F.when(F.size("found") == 0, F.col("kept")).otherwise(F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    df = df.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return df.select(*docs.columns)
+    clean = F.when(F.size("found") == 0, F.col("row.text")).otherwise(F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    df = scan(docs, model).select("row", "found", clean.alias("clean"))
+    changed = {"text": F.col("clean"), "n_chars": F.when(F.size("found") == 0, F.col("row.n_chars")).otherwise(F.length("clean")).cast("long")} if "n_chars" in docs.columns else {"text": F.col("clean")}
+    return df.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
