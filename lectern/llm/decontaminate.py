@@ -23,8 +23,11 @@ documents with one passage is a third of the rows, in whatever tasks read them.
 Defined cases: null text counts as empty; items without words, or with a null
 id, are left out; an item of fewer than three words is found only in documents
 that consist of it; rows that repeat an item id count as one item (best score
-wins), rows that repeat a document id are judged row by row; either table may
-be empty; other columns are ignored.
+wins); ``leaks`` reports rows that repeat a document id as one document, with its
+best score, and ``decontaminate`` judges every row by its own text, whatever its
+id; a score that equals the least one is a leak, and of equally good alignments
+the first in the text is reported; a very long text is a block by itself; either
+table may be empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lectern.llm import kernel
-from lectern.llm.session import cut
 
 SEED = 3
 COMMON = 0.001
@@ -248,6 +251,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents that hold no copy of any item."""
-    found = cut(leaks(docs, benchmark, least).select("doc_id").distinct(), light=True)
-    return docs.join(found, "doc_id", "left_anti")
+    """The rows of ``docs`` whose texts hold no copy of any item. A row is judged where it is read; nothing is shuffled."""
+    out = docs
+    for items in _blocks_of(benchmark):
+        items.keep_rare(*_frequencies(docs, items), least)
+        out = _clean(out, items, least)
+    return out
+
+
+def _clean(docs: DataFrame, items: Items, least: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        full = MATCH * np.diff(items.first)
+        for batch in batches:
+            for rows, buf, offs in kernel.blocks(batch, text):
+                keep = np.ones(rows.num_rows, dtype=bool)
+                keep[[d for (d, i), (s, _, _) in _aligned(items, *bare_words(buf, offs)).items() if s >= least * full[i]]] = False
+                yield rows.filter(pa.array(keep))
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)

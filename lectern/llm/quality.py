@@ -21,8 +21,9 @@ Trusted: labelled with quality 1 and, where known, toxic 0; a document with
 several labels needs all of them. Defined cases: null text counts as empty; an
 empty text has its language's mean and is kept; a language without trusted
 documents takes the threshold of all trusted ones; without any, everything is
-kept; null is a language of its own; rows that repeat an id are scored row by
-row; other columns are ignored.
+kept; null is a language of its own; rows that repeat an id, or have none, are
+scored row by row; a score that equals a threshold is kept; a very long text is a
+block by itself; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lectern.llm import kernel
 from lectern.llm.idset import texts_of
@@ -230,28 +232,29 @@ def _judged(fitted: Fitted) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps.
+    """The rows of ``docs`` whose texts are kept, each judged by itself as ``classify`` does, whatever its id.
 
-    With up to ``MOST_LANGUAGES`` languages their thresholds are sent to the
-    tasks, which score again while they filter; texts are not shuffled for it.
-    Beyond that, the rejected ids are joined.
+    Limits of languages are joined with the rows (up to ``MOST_LANGUAGES`` of
+    them by broadcast), which are scored again where they are read.
     """
     fitted = _fitted(docs, labels, quantile, margin)
-    by_language, other = fitted.by_language, fitted.other
-    if by_language.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        bad = _judged(fitted).where(~F.col("kept")).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast((fitted.table, {r.language: (r.mean, r.lowest, r.threshold) for r in by_language.collect()}))
-    lang = docs.columns.index("lang")
+    few = fitted.by_language.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    limits = fitted.by_language.select(F.col("language").alias("l"), "mean", "lowest", "threshold")
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.table)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, other = names[docs.columns.index("text")], fitted.other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value
+        table = shared.value
         for batch in batches:
-            for rows, buf, offs in kernel.blocks(batch, "text"):
+            for rows, buf, offs in kernel.blocks(batch, text):
                 sums = np.zeros(len(buf) + 1)
                 np.cumsum(table[ngram_keys(buf, offs)], dtype=np.float64, out=sums[1:])
-                stats = np.array([known.get(x or "", other) for x in rows.column(lang).to_pylist()]).reshape(-1, 3)
-                score = (sums[offs[:-1]] - sums[offs[1:]] + PRIOR * stats[:, 0]) / (np.diff(offs) + PRIOR)
-                yield rows.filter(pa.array((score >= stats[:, 1]) & (score <= stats[:, 2])))
-
-    return docs.mapInArrow(run, docs.schema)
+                mean, lowest, threshold = (c.fill_null(x).to_numpy() for c, x in zip(rows.columns[-3:], other, strict=True))
+                score = (sums[offs[:-1]] - sums[offs[1:]] + PRIOR * mean) / (np.diff(offs) + PRIOR)
+                yield rows.select(names).filter(pa.array((score >= lowest) & (score <= threshold)))
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    rows = docs.toDF(*names).withColumn("l", F.coalesce(F.col(names[docs.columns.index("lang")]), F.lit("")))
+    joined = rows.join(F.broadcast(limits) if few else limits, "l", "left").select(*names, "mean", "lowest", "threshold")
+    return joined.mapInArrow(run, schema).toDF(*docs.columns)

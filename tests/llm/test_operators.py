@@ -83,6 +83,53 @@ def test_parts_of_an_item_beside_many_whole_copies(spark):
     assert found == set(range(60)) | {100, 101, 102, 103}
 
 
+def test_rows_leak_by_their_own_texts(spark):
+    import random
+
+    rng = random.Random(12)
+    item = prose(rng, 25)
+    clean = [prose(rng, 60) for _ in range(4)]
+    leak = clean[0] + " " + item + " " + clean[1]
+    rows = [(1, leak), (1, clean[2]), (None, leak), (None, clean[3]), (2, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "a", "b") for d, t in rows], "doc_id long, text string, c0 string, item_id string")
+    kept = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, clean[2]), (0, clean[3]), (2, ""), (3, "")])
+
+
+def test_leaks_against_alignment_of_all_pairs(spark):
+    """Every document with every item by a plain Smith-Waterman; copies edited at known rates."""
+    import random
+
+    rng = random.Random(23)
+    items = [prose(rng, rng.randrange(20, 45), 900) for _ in range(10)]
+    docs, rate = [prose(rng, 80, 900) for _ in range(60)], {}
+    for share in (0.0, 0.1, 0.2, 0.3):
+        for i, item in enumerate(items):
+            w = [f"new{rng.randrange(999)}" if rng.random() < share else x for x in item.split()]
+            rate[len(docs)] = (share, i)
+            docs.append(" ".join([prose(rng, 30, 900), *w, prose(rng, 30, 900)]))
+
+    def best(x, y):
+        last, top = [0] * (len(y) + 1), 0
+        for a in x:
+            now = [0]
+            for j, b in enumerate(y):
+                now.append(max(0, last[j] + (2 if a == b else -1), last[j + 1] - 1, now[j] - 1))
+            last, top = now, max(top, *now)
+        return top
+
+    bare = lambda t: [w.strip(".,") for w in t.split()]
+    want = {(d, i): best(bare(item), bare(t)) for d, t in enumerate(docs) for i, item in enumerate(items)}
+    want = {(d, i): s for (d, i), s in want.items() if s >= decontaminate.LEAST * 2 * len(bare(items[i]))}
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert set(found) <= set(want) and all(found[k] == want[k] for k in found)
+    for share, least in ((0.0, 1.0), (0.1, 1.0), (0.2, 0.9), (0.3, 0.8)):
+        true = [k for k in want if rate.get(k[0]) == (share, k[1])]
+        assert sum(k in found for k in true) >= least * len(true), share
+    assert len([k for k in found if k[0] < 60]) == 0
+
+
 def test_leaks_of_blocks_and_nothing(spark, docs, nothing, monkeypatch):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8"), (2, "a b c d e f g h")], "item_id long, text string")
     some = spark.createDataFrame([(1, "x w1 w2 w3 w4 w5 w6 w7 w8 y"), (2, "a b c d e f g h")], "doc_id long, text string")
@@ -401,10 +448,18 @@ def test_thresholds_are_quantiles_on_both_sides(spark):
     assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {d for d, r in found.items() if r.kept}
 
 
-def test_quality_beyond_the_language_limit(spark, monkeypatch):
+@pytest.mark.parametrize("languages", [0, 10_000])
+def test_rows_are_judged_by_themselves(spark, monkeypatch, languages):
+    """Ids that are null or shared, however many languages there are."""
     docs, labels = _labelled(spark)
-    monkeypatch.setattr(quality, "MOST_LANGUAGES", 0)
+    monkeypatch.setattr(quality, "MOST_LANGUAGES", languages)
     assert quality.keep_good(docs, labels).count() == 84
+    junk, clean = (docs.where(F.col("doc_id") == i).first().text for i in (100, 5))
+    more = docs.unionByName(spark.createDataFrame([(5, junk, "en"), (None, junk, "en"), (None, clean, "en")], docs.schema))
+    more = more.select("*", *[F.lit("x").alias(c) for c in ("mean", "lowest", "threshold", "l", "c0", "language")])
+    kept = quality.keep_good(more, labels)
+    assert kept.columns == more.columns
+    assert sorted((r.doc_id is None, r.text == junk) for r in kept.where("doc_id is null or doc_id = 5").collect()) == [(False, False), (True, False)]
 
 
 def test_quality_without_labels(spark, docs, nothing):
