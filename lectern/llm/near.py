@@ -33,11 +33,12 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import kernel
@@ -99,8 +100,8 @@ def may_be_similar(above: np.ndarray, below: np.ndarray, n: np.ndarray, other: n
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig, regs): set size, 128-bit set signature, registers."""
-    names = ["doc_id", "n", "sig", "regs"]
+    """(doc_id, digest, n, sig, regs): md5 of the text, set size, 128-bit set signature, registers."""
+    names = ["doc_id", "digest", "n", "sig", "regs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(0x5851F42D4C957F2D)
@@ -111,9 +112,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 sets = [np.unique(h[i:j]) for i, j in zip(at, at[1:], strict=False)]
                 sigs = [np.array([s.sum(), kernel.mix64(s ^ salt).sum() + np.uint64(len(s))], dtype=np.uint64).tobytes() for s in sets]
                 regs = registers(h, first)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names)
+                raw, ends = memoryview(np.ascontiguousarray(buf)), offs.tolist()
+                digests = [hashlib.md5(raw[a:b]).digest() if there else None for a, b, there in zip(ends, ends[1:], rows.column(1).is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, sig binary, regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, n long, sig binary, regs binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -132,14 +135,14 @@ def _stack(col: pa.Array) -> np.ndarray:
     return kernel.column_bytes(col)[0].view(np.uint16).reshape(-1, M)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the registers don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = _stack(batch.column(4)), _stack(batch.column(5))
-                keep = may_be_similar((x > y).sum(1), (x < y).sum(1), batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float))
+                keep = may_be_similar((x > y).sum(1), (x < y).sum(1), batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float), percent / 100)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("regs").alias("ar"))
@@ -215,7 +218,7 @@ def _across(star: DataFrame, classes: DataFrame, component: DataFrame, docs: Dat
                     other = np.flatnonzero((comp2 != comp[j]) & (np.minimum(n2, n[j]) * 100 >= percent * np.maximum(n2, n[j])))
                     if len(other):
                         x, y = regs[j], regs2[other]
-                        keep = other[may_be_similar((x > y).sum(1), (x < y).sum(1), np.full(len(other), n[j]), n2[other])]
+                        keep = other[may_be_similar((x > y).sum(1), (x < y).sum(1), np.full(len(other), n[j]), n2[other], percent / 100)]
                         partner[keep] = True
                         has[j] = len(keep) > 0
                 found = np.concatenate([rep[has], rep2[partner]])
@@ -253,14 +256,20 @@ def _row(col: pa.ListArray, i: int) -> pa.StructArray:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text). The bands are made for 75 percent and more."""
+    return _judged(docs, percent).drop("digest")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    if percent < PERCENT:
+        raise ValueError(f"links below {PERCENT} percent would be lost")
     sketches = cut(_sketch(docs))
     linked = sketches.where("n > 0 and doc_id is not null")
     classes = cut(linked.groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), light=True)
     buckets = _buckets(classes)
     centres = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
     star = cut(buckets.join(centres, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), light=True)
-    edges = cut(_verified(cut(_likely(star, classes), light=True), docs, percent), light=True)
+    edges = cut(_verified(cut(_likely(star, classes, percent), light=True), docs, percent), light=True)
     component = connected_components(edges).select(F.col("node").alias("rep"), "component")
     more = cut(_across(star, classes, component, docs, percent), light=True)
     if not more.isEmpty():
@@ -268,4 +277,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     group = classes.join(component, "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component"))
     found = sketches.drop("regs").join(group, ["sig", "n"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps; of rows that repeat an id and a text, one stays.
+
+    Rows are told apart by id and md5 of the text, so one of two texts of an id
+    can go. Texts are shuffled only where rows repeat both, or where too many
+    go for a broadcast.
+    """
+    rows = _judged(docs, percent).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = cut(rows.where("not kept or n > 1").select(F.col("doc_id").alias("d"), "digest", "kept", "n"), light=True)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    ident, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    digest = F.unhex(F.md5(text.cast("string").cast("binary")))
+    left = renamed.join(marked, ident.cast("long").eqNullSafe(F.col("d")) & digest.eqNullSafe(F.col("digest")), "left").where("kept is null or kept")
+    if not marked.where("kept and n > 1").isEmpty():
+        one = Window.partitionBy(ident, digest).orderBy(ident)
+        left = left.withColumn("nth", F.when(F.col("n") > 1, F.row_number().over(one)).otherwise(1)).where("nth = 1")
+    return left.select(*names).toDF(*docs.columns)

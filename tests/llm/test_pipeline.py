@@ -58,6 +58,31 @@ def test_repeated_rows_count_once(spark, corpus):
     assert out.where("doc_id = 0").count() == 1
 
 
+def test_rows_of_odd_tables_pass_every_stage(spark, corpus):
+    """Null and repeated ids, repeated ids of unequal texts, further columns with clashing names."""
+    where, texts, _ = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    names = ["kept", "found", "hex", "m", "t", "c0", "d", "digest", "n", "nth", "row", "mean"]
+    more = [(None, texts[0]), (None, texts[300]), (7, texts[0]), (7, texts[301]), (7, texts[2]), (400, texts[400])]
+    wide = docs.unionByName(spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in more], docs.schema)).select("*", *[F.lit("x").alias(c) for c in names])
+    out = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, where)
+        assert out.columns == wide.columns, name
+    got = {(r.doc_id, r.text) for r in out.where("doc_id is null or doc_id in (0, 2, 7, 300, 301, 400)").collect()}
+    secret = texts[400].replace('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff', secrets.MARK)
+    assert got == {(0, texts[0]), (2, texts[2]), (7, texts[7]), (None, texts[0]), (400, secret)}
+    assert out.where("doc_id = 400").count() == 1
+
+
+def test_empty_tables_pass_every_stage(spark, corpus):
+    where, _, _ = corpus
+    out = spark.read.parquet(f"{where}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, where)
+        assert out.count() == 0, name
+
+
 def test_registered_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
