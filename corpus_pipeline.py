@@ -8,8 +8,10 @@
 
 Between stages the documents are a Parquet table in the shared folder, so a lost
 executor costs no earlier stage. All stages but the last return the columns of
-``documents``. Rows that repeat an id and a text count once after stage 2; rows
-with a null id pass stages 1 to 4 on their texts alone.
+``documents``, further ones included, whatever their names. Every stage judges a
+row by its own text: rows that share an id can fare differently. Rows that repeat
+an id and a text count once after stage 2; a row with a null id links with
+nothing there. An empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -17,34 +19,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, near, packing, quality, secrets
 from lectern.llm.queries import table
-from lectern.llm.session import fresh_path, ready
+from lectern.llm.session import fresh_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the quantiles of their language. Null and empty texts stay; a score that equals a threshold stays."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
-    gone = near.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """The document of least id of each group stays; texts without words and rows with a null id link with nothing."""
+    return near.without_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that hold no copy of a benchmark item. An empty benchmark, null and empty texts drop nothing."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced in the texts and n_chars with them; a null text stays null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece with its place in a sequence; a null text is an end token alone, rows that share an id are documents of their own."""
     return packing.pack(docs)
 
 
