@@ -8,7 +8,9 @@ values in ascending order, so equal shingle sets give equal strings.
 
 Defined cases: null text counts as empty; a text without words has the empty
 fingerprint; two empty fingerprints are alike (1.0), an empty and a full one
-are not (0.0); equal ids are ordered by text; a null id sorts first.
+are not (0.0); equal ids are ordered by text; a null id sorts first; a lone row is
+its own next one; an empty table gives no rows; other columns are ignored; a very
+long text is a block of its own, whole.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import kernel
-from lectern.llm.session import partitions
 
 K = 128
 BITS = 48
-MOST_RANGES = 1024
+BUCKET_BYTES, ROW_BYTES = 8 << 20, 64
 _FIRST = -(1 << 63)
 
 
@@ -106,33 +107,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, n_shingles double")
 
 
-def _range_of(key: F.Column, bounds: list[int], low: int = 0) -> F.Column:
-    """Number of bounds at or below the key, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(key < F.lit(bounds[mid]), _range_of(key, bounds[:mid], low)).otherwise(_range_of(key, bounds[mid + 1 :], low + mid + 1))
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (bucket, guest, key, doc_id, text): each bucket is a range of ids, in one partition and in order.
 
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """Rows (bucket, key, doc_id, text, guest), each bucket a range of ids in one partition and in order.
-
-    The row after a bucket's last one is the next bucket's first row, which is
-    copied there as its guest; the last bucket's guest is the first row of all.
-    Only range bounds and one id a bucket (1,024 at most) come to the driver.
+    The row after a bucket's last one is the first row of the next bucket that
+    has any. As its guests a bucket gets the rows with that row's id, and the
+    last bucket those with the least id of all. There is a bucket for each
+    ``BUCKET_BYTES`` of text, by quantiles of the ids; its bound and its least id
+    are all that comes to the driver and goes to the tasks.
     """
-    spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(_FIRST)))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0))).first()[0]
+    wide = max(1, -(-total // BUCKET_BYTES))
     ids = rows.select("key")
-    wide = min(MOST_RANGES, 2 * partitions(spark))
-    bounds = sorted({int(x) for x in ids.approxQuantile("key", [i / wide for i in range(1, wide)], 0.25 / wide)})
-    firsts = ids.groupBy(_range_of(F.col("key"), bounds).alias("bucket")).agg(F.min("key").alias("key")).orderBy("bucket").collect()
-    guests = [(firsts[i].key, firsts[i - 1].bucket) for i in range(len(firsts))]
-    table = spark.createDataFrame(guests, "key long, guest_of int")
-    own = F.struct(_range_of(F.col("key"), bounds).cast("int").alias("bucket"), F.lit(False).alias("guest"))
-    also = F.struct(F.col("guest_of").alias("bucket"), F.lit(True).alias("guest"))
-    placed = rows.join(F.broadcast(table), "key", "left").select("key", "doc_id", "text", F.explode(F.when(F.col("guest_of").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("at")).select("at.*", "key", "doc_id", "text")
-    return placed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", "key", "text"), len(firsts)
+    bounds = np.unique(np.array(ids.approxQuantile("key", [i / wide for i in range(1, wide)], 0.25 / wide) if wide > 1 else [], dtype=np.int64))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def bucket_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, key.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    firsts = ids.withColumn("bucket", bucket_of("key")).groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").toArrow()
+    least, bucket = firsts.column("key").to_numpy(), firsts.column("bucket").to_numpy()
+    hosts = context.broadcast((least, np.roll(bucket, 1)))  # the bucket before, for the first id of all the last one
+
+    @F.arrow_udf("int")
+    def guest_of(key: pa.Array) -> pa.Array:
+        key = key.to_numpy(zero_copy_only=False)
+        least, before = hosts.value
+        at = np.minimum(np.searchsorted(least, key), len(least) - 1)
+        return pa.array(before[at], mask=least[at] != key)
+
+    own = rows.select(bucket_of("key").alias("bucket"), F.lit(False).alias("guest"), "key", "doc_id", "text")
+    guests = rows.select(guest_of("key").alias("bucket"), F.lit(True).alias("guest"), "key", "doc_id", "text").where("bucket is not null")
+    return own.union(guests).repartitionById(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", "guest", "key", "text")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -141,6 +150,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last floor(n/2) code points replaced by as many
     first ones (or all) of the next document by ascending id. One shuffle of the
     texts by ranges of ids; a task streams its rows and holds one row over.
+    Rows that repeat an id follow one another by text.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -175,7 +185,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     [c.split()[0] for c in schema.split(", ")],
                 )
 
-    placed, n = with_next(docs, id_col, text_col)
-    if not n:
-        return docs.sparkSession.createDataFrame([], schema)
-    return placed.select("bucket", "guest", "key", "doc_id", "text").mapInArrow(run, schema)
+    return with_next(docs, id_col, text_col).mapInArrow(run, schema)

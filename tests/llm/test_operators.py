@@ -284,10 +284,25 @@ def test_fingerprints_merge_and_estimate():
     assert abs(fingerprint.distinct_count(a) / 3000 - 1) < 0.25 and abs(fingerprint.containment(a, b) - 1 / 3) < 0.2
 
 
+def edited(line):
+    """[(doc_id, edited text)] of (doc_id, text) rows in order."""
+    return [(d, t[: len(t) - len(t) // 2] + after[: len(t) // 2]) for (d, t), (_, after) in zip(line, line[1:] + line[:1], strict=True)]
+
+
+@pytest.mark.parametrize("size", [300, 5000])
+def test_edited_fingerprints_over_many_buckets(docs, rows, monkeypatch, size):
+    monkeypatch.setattr(fingerprint, "BUCKET_BYTES", size)
+    line = sorted((d, t or "") for d, t in rows)
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint.edited_fingerprints(docs).collect()}
+    assert got == {d: hashlib.sha256(e.encode()).hexdigest() for d, e in edited(line)}
+
+
 def test_fingerprints_of_odd_rows(odd, nothing):
-    assert fingerprint.edited_fingerprints(odd).count() == 6
+    line = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited_fingerprints(odd).collect()]
+    assert sorted(got, key=str) == sorted([(d, len(t), hashlib.sha256(e.encode()).hexdigest()) for (d, t), (_, e) in zip(line, edited(line), strict=True)], key=str)
     assert fingerprint.edited_fingerprints(nothing).count() == 0
-    assert fingerprint.fingerprints(odd).count() == 6
+    assert [r.fingerprint for r in fingerprint.fingerprints(odd).where("n_shingles = 0").collect()] == [""]
 
 
 # 7 prediction by partial matching
