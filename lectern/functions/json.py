@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from lectern.functions.text import balanced_object
+from lectern.functions import braces
 
+# What precedes an answer.
 MARKERS = ("assistantfinal", "<|channel|>final", "final")
 OPEN, CLOSE = "<json>", "</json>"
 
@@ -46,73 +46,68 @@ def repaired(c: Column) -> Column:
     return F.regexp_replace(inner, r",\s*([}\]])", "$1")
 
 
-def _dict(text: str, key: str | None) -> bool:
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return False
-    return isinstance(found, dict) and (key is None or key in found)
-
-
-def _candidates(text: str) -> Iterator[tuple[str, str]]:
-    tails = [text.rsplit(m, 1)[1] for m in MARKERS if m in text]
-    for tail in (t.strip() for t in (*tails, text)):
-        if tail:
-            if OPEN in tail:
-                yield "tagged_json", tail.split(OPEN, 1)[1].split(CLOSE, 1)[0].strip()
-            yield "raw", tail
-
-
-def extract(text: str, key: str | None = None) -> tuple[str | None, str | None]:
-    """(JSON text, method) of the first acceptable object: whole text, then balanced objects, then a repair."""
-    for kind, part in _candidates(text):
-        if _dict(part, key):
-            return part, f"{kind}:full_json"
-        for m in re.finditer(r"\{", part):
-            found = balanced_object(part, m.start())
-            if found and _dict(found, key):
-                return found, f"{kind}:first_balanced_object"
-        a, b = part.find("{"), part.rfind("}")
-        if 0 <= a < b:
-            fixed = re.sub(r",\s*([}\]])", r"\1", part[a : b + 1])
-            if _dict(fixed, key):
-                return json.dumps(json.loads(fixed), sort_keys=True, separators=(",", ":")), f"{kind}:local_repair"
-    return None, None
+def is_object(c: Column, key: str | None = None) -> Column:
+    """The text is a JSON object, with ``key`` if given."""
+    v = F.try_parse_json(c)
+    found = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return found if key is None else found & F.try_variant_get(v, f"$['{key}']", "variant").isNotNull()
 
 
-def extraction(key: str | None = None):
-    """Pandas UDF: struct of payload and method of a model output; nulls where no object is found."""
+_OBJECTS = ArrayType(StructType([StructField("position", IntegerType()), StructField("object", StringType())]))
+_VALUES = ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())]))
+
+
+@F.arrow_udf(_OBJECTS)
+def balanced_objects(texts: pa.Array) -> pa.Array:
+    """(position, object) of every balanced object of a text, outer ones first; explode it for rows."""
+    return braces.balanced_objects(texts)
+
 
-    @F.pandas_udf(StructType([StructField("payload", StringType()), StructField("method", StringType())]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(t or "", key) for t in texts.fillna("")], columns=["payload", "method"], dtype=object)
+@F.arrow_udf(ArrayType(_OBJECTS))
+def _objects_of_each(texts: pa.Array) -> pa.Array:
+    """``balanced_objects`` of each member of an array."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int32)), braces.balanced_objects(texts.flatten()))
 
-    return run
 
+def candidates(c: Column) -> Column:
+    """Array of (kind, text) in which to look for an answer: behind each marker, then everywhere; what a tag holds before what it stands in."""
+    c = F.coalesce(c, F.lit(""))
+    tails = [F.when(c.contains(m), F.trim(F.substring_index(c, m, -1))) for m in MARKERS] + [F.trim(c)]
+    both = [F.struct(F.lit(kind).alias("kind"), text.alias("text")) for t in tails for kind, text in (("tagged_json", F.trim(tagged(t))), ("raw", t))]
+    return F.filter(F.array(*both), lambda x: F.coalesce(F.length(x["text"]), F.lit(0)) > 0)
+
+
+def extraction(key: str | None = None):
+    """Function of a text column: struct of payload and method, the first attempt that gives an object; nulls where none does.
+
+    A candidate is tried whole, then by its balanced objects, then repaired.
+    """
 
-@F.udtf(returnType=StructType([StructField("position", IntegerType()), StructField("object", StringType())]))
-class BalancedObjects:
-    """Table function: every balanced object of a text, outer ones first."""
+    def attempts(candidate: Column, objects: Column) -> Column:
+        one = lambda json, how: F.struct(json.alias("payload"), F.concat(candidate["kind"], F.lit(":"), F.lit(how)).alias("method"))
+        return F.concat(F.array(one(candidate["text"], "full_json")), F.transform(objects, lambda o: one(o["object"], "first_balanced_object")), F.array(one(F.to_json(F.try_parse_json(repaired(candidate["text"]))), "local_repair")))
 
-    def eval(self, text: str):
-        for m in re.finditer(r"\{", text or ""):
-            found = balanced_object(text, m.start())
-            if found:
-                yield m.start(), found
+    def of(c: Column) -> Column:
+        found = candidates(c)
+        objects = _objects_of_each(F.transform(found, lambda x: x["text"]))
+        tried = F.flatten(F.zip_with(found, objects, attempts))
+        first = F.get(F.filter(tried, lambda a: is_object(a["payload"], key)), F.lit(0))
+        return F.struct(first["payload"].alias("payload"), first["method"].alias("method"))
 
+    return of
 
-@F.udtf(returnType=StructType([StructField("key", StringType()), StructField("value", StringType())]))
-class FlattenValues:
-    """Table function: (key, value) of the scalar values under the named keys, at any depth."""
 
-    def eval(self, text: str, keys: list):
-        wanted = {k.lower() for k in keys or []}
-        todo = [(None, json.loads(text))] if text else []
+@F.arrow_udf(_VALUES)
+def flattened(texts: pa.Array, keys: pa.Array) -> pa.Array:
+    """(key, value) of the scalar values under the named keys at any depth, for records without a schema."""
+    out = []
+    for text, wanted in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
+        names, todo, found = {k.lower() for k in wanted or []}, [(None, json.loads(text))] if text else [], []
         while todo:
             key, value = todo.pop()
-            if isinstance(value, dict):
-                todo += value.items()
-            elif isinstance(value, list):
-                todo += [(key, v) for v in value]
-            elif key and key.lower() in wanted and value is not None and str(value).strip():
-                yield key, str(value).strip()
+            if isinstance(value, (dict, list)):
+                todo += value.items() if isinstance(value, dict) else [(key, v) for v in value]
+            elif key and key.lower() in names and value is not None and str(value).strip():
+                found.append({"key": key, "value": str(value).strip()})
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType
+
+from lectern.functions.braces import balanced_spans, bytes_and_offsets
 
 # What makes a prompt or a document suspect.
 ANSWER_MARKERS = ("normalized_rank", "measured_value", "evidence_level", "claim_status", "safety_status", "native_contacts", "gold_coordinates")
@@ -16,6 +16,10 @@ SECRET_PATTERNS = (r"sk-or-v1-[A-Za-z0-9_-]+", r"sk-[A-Za-z0-9_-]{16,}", r"hf_[A
 CONTRADICTORY_PHRASES = ("release candidate with issueers", "issueer", "issueed", "quality check required", "curation required", "license qc required", "required before release", "needs chain-role gates", "needs assay compatibility gates", "needs conservative classification", "scientifically complete", "fully complete", "release-ready")
 PROHIBITED_CLAIMS = ("clinically validated", "safe for human use", "predicts human effects", "provides medical advice", "is medical advice", "validates human use")
 UNLESS_NEGATED = (("externally checked", "not externally checked"), ("direct human-effect prediction", "not direct human-effect prediction"))
+# What counts as a loop: pattern, least number of matches, greatest share of different ones; length of a beginning.
+CASE_IDS = (r"(?i)(?:[a-z]+-)?(?:struct|pose)-[0-9]{3,}", 12, 0.6)
+CODES = (r"[A-Za-z]+-[0-9]+[A-Za-z0-9_:-]*|[A-Z]{3,}[A-Z0-9_:-]*", 40, 0.35)
+LOOP = 12
 CONFIDENCE = {"high": 0.8, "medium": 0.5, "low": 0.2}
 
 
@@ -115,8 +119,9 @@ def confidence_value(c: Column) -> Column:
     return out
 
 
-def word_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))
+def first_reason(*rules: tuple[Column, str | Column]) -> Column:
+    """Reason of the first rule that holds, null if none does."""
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r) if isinstance(r, str) else r) for c, r in rules])
 
 
 def unique_ratio(tokens: Column) -> Column:
@@ -124,68 +129,46 @@ def unique_ratio(tokens: Column) -> Column:
     return F.try_divide(F.size(F.array_distinct(tokens)), F.size(tokens))
 
 
-def _balanced(text: str) -> bool:
-    """Some brace opens an object that closes, strings respected."""
-    for m in re.finditer(r"\{", text):
-        if balanced_object(text, m.start()) is not None:
-            return True
-    return False
-
-
-def balanced_object(text: str, start: int) -> str | None:
-    """The object that opens at ``start``, or None if it doesn't close."""
-    depth, quoted = 0, False
-    for m in re.compile(r'\\.|["{}]', re.S).finditer(text, start):
-        c = m.group()
-        if c[0] == "\\":
-            continue
-        if c == '"':
-            quoted = not quoted
-        elif not quoted:
-            depth += 1 if c == "{" else -1
-            if depth == 0:
-                return text[start : m.end()]
-    return None
-
-
-def _looping(text: str) -> bool:
-    """The text's beginning (12 to 119 characters, at most half of it) comes at least four times."""
-    return any(text.count(text[:n]) >= 4 for n in range(12, min(120, max(13, len(text) // 2)))) if len(text) >= 12 else False
-
-
-def repetition(text: str) -> str | None:
-    ids = re.findall(r"\b[A-Z]{2,}(?:-[A-Z0-9]+)+\b", text)
-    if len(ids) >= 12 and len(set(ids)) <= 0.6 * len(ids):
-        return "repeated_struct_pose_identifier_loop"
-    tokens = re.findall(r"[A-Za-z0-9_]+", text)
-    if len(tokens) >= 40 and len(set(tokens)) <= 0.35 * len(tokens):
-        return "mostly_repeated_tokens"
-    return "repeated_substring_loop" if _looping(text) else None
-
-
-@F.pandas_udf(StringType())
-def repetition_reason(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Why a text counts as a loop, else null (Arrow batches: the prefix test has no built-in form)."""
-    for s in texts:
-        yield s.fillna("").map(repetition)
-
-
-def _degenerate(text: str) -> str | None:
-    t = text.strip()
-    low, loop = t.lower(), repetition(t)
-    if not t:
-        return "empty_output"
-    if low.startswith("<noinput"):
-        return "noinput_output"
-    if low.startswith("<no-"):
-        return loop or "no_prefixed_non_json_output"
-    if "{" not in t:
-        return loop or "no_json_object_marker"
-    return None if _balanced(t) else "no_balanced_json_object"
-
-
-@F.pandas_udf(StringType())
-def degenerate_reason(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Why a model output can't hold a JSON object, else null (Arrow batches: braces must balance)."""
-    for s in texts:
-        yield s.fillna("").map(_degenerate)
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends; null counts as empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def _crowded(c: Column, pattern: str, least: int, share: float) -> Column:
+    """At least ``least`` matches, of which at most ``share`` differ."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return (F.size(found) >= least) & (unique_ratio(found) <= share)
+
+
+def _starts_over(c: Column) -> Column:
+    """The first ``LOOP`` characters come four times and more. A longer beginning can't come oftener, so no other needs a look."""
+    return (F.length(c) >= LOOP) & (F.length(c) - F.length(F.replace(c, F.left(c, F.lit(LOOP)), F.lit(""))) >= 4 * LOOP)
+
+
+def repetition_reason(c: Column | str) -> Column:
+    """Why a text counts as a loop, else null."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return first_reason((_crowded(c, *CASE_IDS), "repeated_struct_pose_identifier_loop"), (_crowded(c, *CODES), "mostly_repeated_tokens"), (_starts_over(c), "repeated_substring_loop"))
+
+
+@F.arrow_udf(BooleanType())
+def has_object(texts: pa.Array) -> pa.Array:
+    """Some brace opens an object that closes."""
+    buf, offs = bytes_and_offsets(texts)
+    found = np.zeros(len(offs) - 1, dtype=bool)
+    found[balanced_spans(buf, offs)[0]] = True
+    return pa.array(found)
+
+
+def degenerate_reason(c: Column | str) -> Column:
+    """Why a model output can't hold a JSON object, else null."""
+    t = stripped(F.col(c) if isinstance(c, str) else c)
+    tagged, braces, loop = F.lower(t).startswith("<no-"), t.contains("{"), repetition_reason(t)
+    return first_reason(
+        (t == "", "empty_output"),
+        (F.lower(t).startswith("<noinput"), "noinput_output"),
+        (loop.isNotNull() & (tagged | ~braces), loop),
+        (tagged, "no_prefixed_non_json_output"),
+        (~braces, "no_json_object_marker"),
+        (~has_object(t), "no_balanced_json_object"),
+    )

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.functions import hashes, numbers, text
-from lectern.functions.json import BalancedObjects, FlattenValues, extract, message_content, object_in, repaired, tagged
+from lectern.functions import braces, hashes, numbers, text
+from lectern.functions.json import balanced_objects, extraction, flattened, message_content, object_in, repaired, tagged
 from lectern.schemas import case_schema, missing, prediction_schema, quote_too_long, validate, validation_report
 
 
@@ -29,7 +32,7 @@ def one(spark, value, f):
     (lambda c: F.to_json(object_in(c)), 'text {"a": 1} more', '{"a":1}'), (lambda c: object_in(c).isNull(), "[1]", True),
     (hashes.sha256, "abc", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"),
     (text.degenerate_reason, "", "empty_output"), (text.degenerate_reason, "<noinput", "noinput_output"), (text.degenerate_reason, "words", "no_json_object_marker"), (text.degenerate_reason, '{"a": "}"', "no_balanced_json_object"), (text.degenerate_reason, '{"a": "}"}', None),
-    (text.repetition_reason, "abcdefghijkl" * 5, "repeated_substring_loop"), (text.repetition_reason, "x y " * 30, "mostly_repeated_tokens"),
+    (text.repetition_reason, "abcdefghijkl" * 5, "repeated_substring_loop"), (text.repetition_reason, "AB-1 cd XYZ " * 30, "mostly_repeated_tokens"), (text.repetition_reason, "see struct-0012 or pose-004 " * 8, "repeated_struct_pose_identifier_loop"), (text.repetition_reason, "each word here is another one", None), (text.degenerate_reason, "<no- {}", "no_prefixed_non_json_output"),
 ])
 def test_columns(spark, f, value, want):
     assert one(spark, value, f) == want
@@ -51,16 +54,40 @@ def test_group_ids_and_redaction(spark):
     ('{"a": 1}', None, "raw:full_json"), ('noise {"a": 1} tail', None, "raw:first_balanced_object"), ('<json>{"a": 1}</json> junk', "a", "tagged_json:full_json"),
     ('{"x": {"b": 1}}', "b", "raw:first_balanced_object"), ('final {"a": [1, 2,],}', None, "raw:local_repair"), ("nothing", None, None), ('{"a": ', None, None),
 ])
-def test_extraction(answer, key, method):
-    payload, how = extract(answer, key)
-    assert how == method and (payload is None) == (method is None)
-    assert payload is None or isinstance(json.loads(payload), dict)
-
-
-def test_table_functions(spark):
-    text_ = F.lit('a {"b": {"c": 1}} {"d": 2}')
-    assert [r.object for r in BalancedObjects(text_).collect()] == ['{"b": {"c": 1}}', '{"c": 1}', '{"d": 2}']
-    assert {(r.key, r.value) for r in FlattenValues(F.lit('{"case_id": "x", "n": [{"item_id": 3}]}'), F.array(F.lit("case_id"), F.lit("item_id"))).collect()} == {("case_id", "x"), ("item_id", "3")}
+def test_extraction(spark, answer, key, method):
+    r = spark.createDataFrame([(answer,)], "s string").select(extraction(key)(F.col("s")).alias("x")).first().x
+    assert r.method == method and (r.payload is None) == (method is None)
+    assert r.payload is None or isinstance(json.loads(r.payload), dict)
+
+
+def test_objects_inside_texts(spark):
+    df = spark.createDataFrame([(1, 'a {"b": {"c": 1}} {"d": 2}'), (2, None), (3, '{"case_id": "x", "n": [{"item_id": 3}]}'), (4, "} { {}")], "i int, s string")
+    found = {r.i: [(o.position, o.object) for o in r.o] for r in df.select("i", balanced_objects("s").alias("o")).collect()}
+    assert found[1] == [(2, '{"b": {"c": 1}}'), (8, '{"c": 1}'), (18, '{"d": 2}')] and found[2] == [] and found[4] == [(4, "{}")]
+    values = df.where("i = 3").select(F.explode(flattened("s", F.array(F.lit("case_id"), F.lit("item_id")))).alias("v")).select("v.*").collect()
+    assert {(r.key, r.value) for r in values} == {("case_id", "x"), ("item_id", "3")}
+
+
+@given(st.lists(st.text(alphabet='{}"ab\\', max_size=14), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_balanced_spans_against_a_scan_from_each_brace(texts):
+    def scan(t):
+        out = []
+        for i in [i for i, c in enumerate(t) if c == "{"]:
+            depth, quoted, j = 0, False, i
+            while j < len(t):
+                if t[j] == '"' and (j - len(t[:j].rstrip("\\"))) % 2 == 0:
+                    quoted = not quoted
+                elif t[j] in "{}" and not quoted:
+                    depth += 1 if t[j] == "{" else -1
+                    if not depth:
+                        out.append((i, t[i : j + 1]))
+                        break
+                j += 1
+        return out
+
+    found = braces.balanced_objects(pa.array(texts, pa.string())).to_pylist()
+    assert [[(o["position"], o["object"]) for o in x] for x in found] == [scan(t) for t in texts]
 
 
 def test_features_and_costs(spark):
