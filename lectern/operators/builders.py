@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import model_price
 from lectern.functions.text import clean_sequence, joined_lower, number_in_markup
 from lectern.operators.evidence import UNSUPPORTED
-from lectern.operators.keys import first_by, union_all
+from lectern.operators.keys import first_by, union_all, with_order
 
 SEED = 13
 NONE = "no_known_human_effect_evidence"
@@ -41,9 +47,37 @@ def _base(model: str) -> list[Column]:
     return [F.concat_ws(":", F.col("benchmark_id"), F.lit(model)).alias("prediction_id"), F.col("benchmark_id"), F.col("track"), F.lit(model).alias("model_name")]
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """Number in [0, 1) that depends on seed and keys alone, so rows may be computed anywhere and in any order."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
+def seeded_scores(cases: DataFrame, seed: int = SEED) -> DataFrame:
+    """(benchmark_id, scores): one number an item from one seeded stream (Mersenne Twister) that runs through the cases in their order.
+
+    A task draws its own part: the driver counts the items of each partition, a
+    row a partition, and hands every task the generator's state where it begins.
+    """
+    spark = cases.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = with_order(cases).select("ord", "benchmark_id", F.transform("items", lambda i: i["item_id"]).alias("ids")).repartitionByRange(n, "ord").sortWithinPartitions("ord")
+    counts = {r.part: r.n for r in placed.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.size("ids")).alias("n")).collect()}
+    kind, words, _ = random.Random(seed).getstate()
+    stream, states = np.random.RandomState(), {}
+    stream.set_state(("MT19937", np.array(words[:-1], dtype=np.uint32), words[-1]))
+    for part in sorted(counts):
+        states[part] = stream.get_state()
+        for first in range(0, counts[part], 1 << 20):
+            stream.random_sample(min(1 << 20, counts[part] - first))
+    shared = spark.sparkContext.broadcast(states)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.random.RandomState()
+        own.set_state(shared.value.get(TaskContext.get().partitionId(), own.get_state()))
+        for b in batches:
+            ids = b.column(2)
+            items = ids.flatten()
+            at = np.append(0, np.cumsum([len(x) for x in ids]))
+            rank = np.arange(len(items)) - np.repeat(at[:-1], np.diff(at)) + 1
+            scores = pa.StructArray.from_arrays([items, pa.array(own.random_sample(len(items))), pa.array(rank.astype(np.int32))], ["item_id", "score", "rank"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), scores)], ["benchmark_id", "scores"])
+
+    return placed.mapInArrow(draw, "benchmark_id string, scores array<struct<item_id:string,score:double,rank:int>>")
 
 
 def baseline(cases: DataFrame, track: str, model: str = "weak_seeded_baseline", seed: int = SEED) -> DataFrame:
@@ -55,8 +89,7 @@ def baseline(cases: DataFrame, track: str, model: str = "weak_seeded_baseline",
     if track == "pose":
         return cases.select(*_base(model), F.slice("native_contacts", 1, 1).alias("predicted_contacts"), F.slice("binding_site_residues", 1, 1).alias("binding_site_residues"), "orientation_label", F.lit(0.0).alias("clash_score"))
     if track == "binding_rank":
-        scored = F.transform("items", lambda x, i: F.struct(x["item_id"].alias("item_id"), uniform(seed, F.col("benchmark_id"), x["item_id"]).alias("score"), (i + 1).alias("rank")))
-        return cases.select(*_base(model), scored.alias("scores"))
+        return seeded_scores(cases, seed).withColumn("track", F.lit("binding_rank")).select(*_base(model), "scores")
     oracle = is_oracle_name(F.lit(model))
     abstains = F.col("claim_status").isin(*UNSUPPORTED)
     copied = {"category": F.when(abstains, NONE).otherwise(F.col("category")), "evidence_level": F.col("evidence_level"), "evidence_direction": F.col("evidence_direction"), "claim_status": F.when(abstains, "insufficient_information").otherwise(F.col("claim_status")), "safety_status": F.when(abstains, "insufficient_safety_data").otherwise(F.col("safety_status")), "abstained": abstains}
@@ -117,8 +150,8 @@ def negative_queries(spark: SparkSession, n: int, start: int = 1) -> DataFrame:
 
 
 def union_until(n: int, *builders: DataFrame) -> DataFrame:
-    """The builders' rows in order, the first ``n``."""
-    return union_all(*[b.withColumn("_builder", F.lit(i)) for i, b in enumerate(builders)]).orderBy("_builder").limit(n).drop("_builder")
+    """The builders' rows in order, each in its own, the first ``n``."""
+    return union_all(*[with_order(b, "_at").withColumn("_builder", F.lit(i)) for i, b in enumerate(builders)]).orderBy("_builder", "_at").limit(n).drop("_builder", "_at")
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:

@@ -49,7 +49,7 @@ def macro_f1(pairs: DataFrame, gold: str = "gold", pred: str = "pred", *by: str)
 def matched(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """Cases with their last prediction, failed ones as wrong labels: one row a matched case, with every metric's flag."""
     own = [c for c in ("category", "evidence_level", "evidence_direction", "claim_status", "safety_status", "abstained") if c in predictions.columns]
-    last = last_by(with_order(predictions), ["benchmark_id"])
+    last = last_by(with_order(predictions), ["benchmark_id"]).drop("ord")
     last = last.select("benchmark_id", failed(last).alias("failed"), *[F.col(c).alias(f"p_{c}") for c in own])
     df = cases.join(last, "benchmark_id")
     for c in ("category", "evidence_level", "evidence_direction", "claim_status", "safety_status"):
@@ -80,6 +80,7 @@ def evaluate_human_effect(cases: DataFrame, predictions: DataFrame) -> DataFrame
     """One row with all metrics; the denominator is the matched cases."""
     rows = matched(cases, predictions)
     total = lambda c: F.coalesce(F.count_if(F.col(c)), F.lit(0))
+    f1 = macro_f1(rows, "category", "p_category")
     out = rows.agg(
         accuracy(F.col("level_ok")).alias("evidence_level_ordinal_accuracy"),
         accuracy(F.col("direction_ok")).alias("evidence_direction_accuracy"),
@@ -97,5 +98,4 @@ def evaluate_human_effect(cases: DataFrame, predictions: DataFrame) -> DataFrame
         (1 - F.coalesce(F.avg(F.col("failed").cast("int")), F.lit(1.0))).alias("valid_prediction_rate"),
         F.count(F.lit(1)).alias("n_matched"),
     )
-    f1 = macro_f1(rows, "category", "p_category")
-    return out.withColumn("_one", F.lit(1)).join(f1.select(F.coalesce("macro_f1", F.lit(0.0)).alias("category_macro_f1"), F.lit(1).alias("_one")), "_one", "left").drop("_one")
+    return out.withColumn("category_macro_f1", F.coalesce(f1.select("macro_f1").scalar(), F.lit(0.0)))

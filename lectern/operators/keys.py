@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Position in the scan: increases with the file order, without gaps only inside a partition."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds the order of the rows, unless the table has it: by file, place of the split in the file, row in the split.
+
+    Spark packs splits into tasks by size, so a row number alone doesn't follow
+    the files. Tables that aren't read from files have their row number.
+    """
+    if name in df.columns:
+        return df
+    row = F.monotonically_increasing_id()
+    try:
+        placed = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", row.alias("row")).alias(name))
+        placed.schema  # analysed here
+        return placed
+    except AnalysisException:
+        return df.withColumn(name, row)
 
 
 def _pick(df: DataFrame, keys: list[str], order: str, last: bool) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.numbers import clamp, count_of
 from lectern.functions.text import provider
+from lectern.operators.keys import last_by, union_all, with_order
+from lectern.operators.retries import latest
 
 RANKABLE = ("clean_completed", "completed_with_failures")
 STATUSES = (*RANKABLE, "excluded_provider_error", "excluded_invalid_json", "excluded_incomplete", "noncompetitive_baseline", "noncompetitive_oracle")
@@ -162,14 +164,38 @@ def excluded(rows: DataFrame) -> DataFrame:
 
 
 def diagnosis(rows: DataFrame, retries: DataFrame) -> DataFrame:
-    """(kind, key, n): rows by status, and retry results by model, track and error."""
-    parts = [strict(rows).groupBy(F.col("row_status").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("row_status").alias("kind"), "key", "n")]
-    for c in ("model_id", "track", "error_type", "retry_status"):
-        parts.append(retries.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("kind"), "key", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(kind, key, n): rows by status, causes of the failed ones, latest retry results by status, and what still failed by model, mode, track and error."""
+    done, last = strict(rows), latest(retries)
+    still = last.where("retry_status = 'still_failed'")
+    count = lambda df, kind, key: df.groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "key", "n")
+    failed = done.where(~F.coalesce("is_baseline", F.lit(False)) & ~F.col("row_status").isin(*RANKABLE))
+    return union_all(count(done, "row_status", F.col("row_status")), count(failed, "root_cause", failure_reason()), count(last, "retry_status", F.col("retry_status")), *[count(still, c, F.col(c)) for c in ("model_id", "mode", "track", "error_type")])
+
+
+def run_status() -> Column:
+    """Status of a run's row: a known row status counts; else what coverage and errors say."""
+    errors = (count_of(F.col("api_error_count")) > 0) | (count_of(F.col("invalid_json_count")) > 0)
+    return F.when(F.col("row_status").isin(*STATUSES), F.col("row_status")).when(coverage_fraction() < 1, "excluded_incomplete").when(errors, "excluded_provider_error").otherwise("clean_completed")
+
+
+def manifest_status(tracks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, status, reason) of a run's tracks (attempted, completed, unresolved_api_errors, unresolved_invalid_json, retry_recovered_count), with the sums of the errors."""
+    total = lambda c: F.sum(count_of(F.col(c)))
+    sums = tracks.groupBy(*by).agg(total("unresolved_api_errors").alias("api_errors"), total("unresolved_invalid_json").alias("invalid_json"), total("retry_recovered_count").alias("recovered"), F.count_if(count_of(F.col("attempted")) != count_of(F.col("completed"))).alias("incomplete"))
+    open_, bad = (F.col("api_errors") > 0) | (F.col("incomplete") > 0), F.col("invalid_json") > 0
+    return sums.select(*by, F.when(open_, "incomplete").when(bad, "completed_with_failures").otherwise("completed_clean").alias("status"), F.when(open_, "remote_sampler_outputs_incomplete").when(bad, "explicit_failed_prediction_rows").otherwise("completed_clean").alias("reason"), "api_errors", "invalid_json", "recovered")
+
+
+def error_counts(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """(model_id, mode, api_error_count, invalid_json_count) of each pair's last row."""
+    counts = [count_of(F.col(c)).alias(c) for c in ("api_error_count", "invalid_json_count")]
+    return last_by(with_order(rows, order).select("model_id", "mode", *counts, order), ["model_id", "mode"], order).drop(order)
+
+
+def models_for(wanted: DataFrame, models: DataFrame) -> DataFrame:
+    """Each wanted model_id with its record, or one by default: the provider of its id, no structured outputs."""
+    found = wanted.select("model_id").distinct().join(models, "model_id", "left")
+    return found.withColumn("provider", F.coalesce("provider", provider(F.col("model_id")))).withColumn("structured_outputs_supported", F.coalesce("structured_outputs_supported", F.lit(False)))
 
 
 def check(rows: DataFrame) -> DataFrame:

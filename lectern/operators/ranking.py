@@ -100,7 +100,7 @@ def panel_items(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     from lectern.operators.keys import last_by, with_order
 
     gold = cases.where(F.coalesce("comparable_panel", F.lit(True))).select("benchmark_id", "measurement_direction", F.explode("items").alias("i")).select("benchmark_id", F.col("i.item_id").alias("item"), strength(F.col("i.measured_value"), F.col("measurement_direction")).alias("gold"))
-    last = last_by(with_order(predictions.select("benchmark_id", "scores")), ["benchmark_id"])
+    last = last_by(with_order(predictions).select("benchmark_id", "scores", "ord"), ["benchmark_id"])
     scored = last.select("benchmark_id", F.posexplode("scores").alias("at", "s")).groupBy("benchmark_id", F.col("s.item_id").alias("item")).agg(F.max_by("s.score", "at").alias("pred"))
     return gold.join(scored, ["benchmark_id", "item"])
 

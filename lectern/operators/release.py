@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.keys import union_all
+from lectern.operators.keys import union_all, with_order
 from lectern.schemas import DOMAINS, TRACKS, absent, quote_too_long
 
 MINIMUM = {"structure": 200, "pose": 100, "binding_rank": 25, "human_effect": 200}
 LEAST_CONTACT_MAPS = 25
+# The files of a release to publish.
+REQUIRED_FILES = ("release_manifest.json", "release_metadata_summary.json", "quality_check_summary.json", "source_manifest_snapshot.yaml", "source_status_report.jsonl", "references/source_ids.jsonl", "references/citations.jsonl", "references/nonredistributable_source_index.jsonl", "references/exclusion_log.jsonl", "references/case_qc_cards.jsonl", "references/qc_pass_a.jsonl", "references/qc_pass_b.jsonl")
 
 
 def audit_rules(df: DataFrame) -> tuple[Column, Column]:
@@ -49,7 +51,7 @@ def count_violations(cases: DataFrame, minimum: dict[str, int] | None = None) ->
     return need.join(cases.groupBy("track").agg(F.count(F.lit(1)).alias("n")), "track", "left").select("track", F.coalesce("n", F.lit(0)).alias("n"), "minimum").where("n < minimum")
 
 
-def release_check(cases: DataFrame, minimum: dict[str, int] | None = None, files: DataFrame | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+def release_check(cases: DataFrame, minimum: dict[str, int] | None = None, files: DataFrame | None = None, required: tuple[str, ...] = REQUIRED_FILES) -> DataFrame:
     """(scope, message) of all violations: case counts, contact maps, audit errors, files that are missing or not allowed."""
     parts = [
         count_violations(cases, minimum).select(F.col("track").alias("scope"), F.format_string("%d cases, %d needed", F.col("n").cast("int"), "minimum").alias("message")),
@@ -59,13 +61,31 @@ def release_check(cases: DataFrame, minimum: dict[str, int] | None = None, files
         maps = cases.agg(F.count_if((F.col("track") == "pose") & (F.coalesce(F.size("native_contacts"), F.lit(0)) > 0)).alias("n"))
         parts.append(maps.where(F.col("n") < LEAST_CONTACT_MAPS).select(F.lit("pose").alias("scope"), F.format_string("%d contact maps, %d needed", F.col("n").cast("int"), F.lit(LEAST_CONTACT_MAPS)).alias("message")))
     if files is not None:
-        need = cases.sparkSession.createDataFrame([(r,) for r in required], "name string")
         names = files.select(F.substring_index("path", "/", -1).alias("name"))
-        parts.append(need.join(names, "name", "left_anti").select(F.col("name").alias("scope"), F.lit("file missing").alias("message")))
+        parts.append(missing_files(files, required))
         parts.append(names.where(F.lower("name").endswith(".md")).select(F.col("name").alias("scope"), F.lit("file not allowed").alias("message")))
     return union_all(*parts)
 
 
+def missing_files(files: DataFrame, required: tuple[str, ...] = REQUIRED_FILES) -> DataFrame:
+    """(scope, message) of the required files that no path of ``files`` (path) ends with."""
+    need = files.sparkSession.createDataFrame([(r, r.count("/") + 1) for r in required], "scope string, parts int")
+    depths = sorted({r.count("/") + 1 for r in required})
+    have = union_all(*[files.select(F.substring_index("path", "/", -d).alias("scope")) for d in depths]).distinct()
+    return need.join(have, "scope", "left_anti").select("scope", F.lit("file missing").alias("message"))
+
+
+def caveats(df: DataFrame) -> Column:
+    """What a reader of a case should know, as an array in fixed order."""
+    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False)) if c in df.columns else F.lit(False)
+    return F.array_compact(F.array(
+        F.lit("source-backed; no external qc claimed"),
+        F.when(is_("release_mode", "source_reference_only"), "source-reference-only record; raw source record is not bundled"),
+        F.when(is_("track", "pose") & is_("contact_label_status", "coordinate_reference_only"), "excluded from contact-labeled leaderboard subset"),
+        F.when(is_("track", "human_effect"), "evidence classification only; not medical advice or human-use validation"),
+    ))
+
+
 def unreferenced(cases: DataFrame, index: DataFrame) -> DataFrame:
     """Source-reference cases that the reference index lacks."""
     keys = ["benchmark_id", "source_database", "source_id"]
@@ -98,11 +118,12 @@ def histogram(cases: DataFrame, column: str, domain: str | None = None) -> DataF
 
 
 def status_grid(manifest: DataFrame, cases: DataFrame, excluded: DataFrame) -> DataFrame:
-    """One row for each source and track: manifest fields, cases, exclusions and the most frequent release mode (first by name on ties)."""
+    """One row for each source and track: manifest fields, cases, exclusions and the most frequent release mode (the first seen on ties)."""
+    cases = with_order(cases)
     names = manifest.select(F.col("name").alias("source_database")).union(cases.select("source_database")).distinct()
     grid = names.select("source_database", F.explode(F.array(*[F.lit(t) for t in TRACKS])).alias("track"))
     keys = ["source_database", "track"]
-    modes = cases.groupBy(*keys, "release_mode").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("cases"), F.min_by("release_mode", F.struct(-F.col("n"), "release_mode")).alias("release_mode"))
+    modes = cases.groupBy(*keys, "release_mode").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen")).groupBy(*keys).agg(F.sum("n").alias("cases"), F.min_by("release_mode", F.struct(-F.col("n"), "seen")).alias("release_mode"))
     gone = excluded.groupBy(*keys).agg(F.count(F.lit(1)).alias("excluded"))
     about = manifest.select(F.col("name").alias("source_database"), *[c for c in ("bucket", "adapter_status", "raw_redistribution") if c in manifest.columns])
     return grid.join(modes, keys, "left").join(gone, keys, "left").join(about, "source_database", "left").na.fill(0, ["cases", "excluded"])

@@ -17,9 +17,10 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
     """0-based position of each row in a total order, without a single task for all rows.
 
     Rows are sorted by range partitions; positions inside a partition are added
-    to what the partitions before it hold.
+    to what the partitions before it hold. Their number is stated, so that it is
+    the same where rows are numbered and where they are counted.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     inside = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     counts = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
@@ -37,10 +38,13 @@ def case_split(hint: Column) -> Column:
     return F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), (hint % 3 + 1).cast("int"))
 
 
-def seeded_split(df: DataFrame, key: str, seed: int = 13, dev: float = 0.1, holdout: float = 0.1) -> DataFrame:
-    """Adds ``split`` by hash of the key: stable for a row whatever else the table holds, so no sort or shuffle."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.sha2(F.col(key).cast("string"), 256)), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("split", F.when(u < holdout, "holdout").when(u < holdout + dev, "dev").otherwise("train"))
+def seeded_split(df: DataFrame, key: str, seed: int = 7, dev: float = 0.1, holdout: float = 0.1) -> DataFrame:
+    """Adds ``split``: rows in a seeded order (SHA-256 of seed and key), of which the first share is dev, the next holdout, each of the exact size."""
+    mixed = df.withColumn("_mixed", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    n = df.count()
+    first, second = int(n * dev), int(n * holdout)
+    at = F.col("_at")
+    return positions(mixed, ["_mixed", key], "_at").withColumn("split", F.when(at < first, "dev").when(at < first + second, "holdout").otherwise("train")).drop("_mixed", "_at")
 
 
 def is_eval(split: Column) -> Column:
@@ -85,12 +89,12 @@ def leakage(train: DataFrame, bench: DataFrame) -> DataFrame:
 def leakage_report(train: DataFrame, bench: DataFrame, prompt: str = "messages") -> DataFrame:
     """One row: overlaps by kind, prompts that name gold fields, the first 200 overlaps, and whether all is well."""
     text = F.to_json(F.col(prompt)) if prompt in train.columns and dict(train.dtypes)[prompt].startswith(("array", "struct")) else (F.col(prompt) if prompt in train.columns else F.to_json(F.struct(*train.columns)))
-    answers = train.agg(F.count_if(answer_like(text)).alias("answer_like_count"), F.count(F.lit(1)).alias("train_record_count"), F.lit(1).alias("_one"))
+    answers = train.agg(F.count_if(answer_like(text)).alias("answer_like_count"), F.count(F.lit(1)).alias("train_record_count"))
     shared = leakage(train, bench)
     top = F.slice(F.array_sort(F.collect_set("value")), 1, 200)
-    few = shared.orderBy("value").limit(200).agg(top.alias("overlaps"), F.lit(1).alias("_one"))
-    counts = shared.agg(F.count_if(F.col("kind") == "identifier").alias("identifier_overlap_count"), F.count_if(F.col("kind") == "hash").alias("exact_hash_overlap_count"), F.countDistinct("value").alias("overlap_count"), F.lit(1).alias("_one"))
-    out = counts.join(answers, "_one").join(few, "_one").drop("_one")
+    few = shared.orderBy("value").limit(200).agg(top.alias("overlaps"))
+    counts = shared.agg(F.count_if(F.col("kind") == "identifier").alias("identifier_overlap_count"), F.count_if(F.col("kind") == "hash").alias("exact_hash_overlap_count"), F.countDistinct("value").alias("overlap_count"))
+    out = counts.select("*", *[answers.select(c).scalar().alias(c) for c in answers.columns], few.scalar().alias("overlaps"))
     return out.withColumn("passed", (F.col("overlap_count") == 0) & (F.col("answer_like_count") == 0))
 
 

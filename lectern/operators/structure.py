@@ -21,7 +21,7 @@ def sites(site: Column, contacts: Column) -> Column:
 
 def evaluate_pose(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row: contact precision and recall, site recovery and orientation, averaged over the cases that have contact labels."""
-    last = last_by(with_order(predictions.select("benchmark_id", "predicted_contacts", F.col("binding_site_residues").alias("p_site"), F.col("orientation_label").alias("p_orientation"))), ["benchmark_id"])
+    last = last_by(with_order(predictions).select("benchmark_id", "predicted_contacts", F.col("binding_site_residues").alias("p_site"), F.col("orientation_label").alias("p_orientation"), "ord"), ["benchmark_id"]).drop("ord")
     df = cases.join(last, "benchmark_id")
     gold, pred = contact_keys(F.col("native_contacts")), contact_keys(F.col("predicted_contacts"))
     gold_site, pred_site = sites(F.col("binding_site_residues"), F.col("native_contacts")), sites(F.col("p_site"), F.col("predicted_contacts"))
@@ -60,12 +60,18 @@ def _atoms(df: DataFrame, column: str) -> DataFrame:
 
 def evaluate_structure(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row: mean RMSD of the cases with shared atoms (null without any), how many were evaluated and skipped."""
-    last = last_by(with_order(predictions.select("benchmark_id", "coordinates")), ["benchmark_id"])
+    last = last_by(with_order(predictions).select("benchmark_id", "coordinates", "ord"), ["benchmark_id"])
     each = rmsd(_atoms(cases, "gold_coordinates"), _atoms(last, "coordinates"), ["benchmark_id"])
     rows = cases.select("benchmark_id").join(last.select("benchmark_id"), "benchmark_id").join(each, "benchmark_id", "left")
     return rows.agg(F.avg("rmsd").alias("backbone_rmsd"), F.avg("rmsd").alias("all_atom_rmsd"), F.count("rmsd").alias("rmsd_evaluated_cases"), F.count_if(F.col("rmsd").isNull()).alias("rmsd_skipped_count"))
 
 
+def contact_list(found: DataFrame, by: tuple[str, ...], most: int = 200) -> DataFrame:
+    """(by, native_contacts): the contacts of each pair of chains as one array, by target residue, the first ``most``."""
+    one = F.struct(F.col("residue").alias("target_residue"), F.col("other_residue").alias("peptide_residue"), F.col("distance").alias("distance_angstrom"))
+    return found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(one)), 1, most).alias("native_contacts"))
+
+
 def contacts(left: DataFrame, right: DataFrame, cutoff: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, residue, other_residue, distance) of residues with two atoms at most ``cutoff`` apart; the least distance, to 3 digits.
 

@@ -20,8 +20,8 @@ EVALUATORS = {"human_effect": evaluate_human_effect, "binding_rank": evaluate_bi
 def evaluate(track: str, cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row of metrics with the numbers of cases and predictions."""
     out = EVALUATORS[track](cases, predictions)
-    n = cases.agg(F.count(F.lit(1)).alias("n_cases"), F.lit(1).alias("_one")).join(predictions.agg(F.count(F.lit(1)).alias("n_predictions"), F.lit(1).alias("_one")), "_one")
-    return out.withColumn("_one", F.lit(1)).join(n, "_one").drop("_one").withColumn("track", F.lit(track))
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return out.withColumns({"n_cases": count(cases), "n_predictions": count(predictions), "track": F.lit(track)})
 
 
 def long_metrics(result: DataFrame) -> DataFrame:

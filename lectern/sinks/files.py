@@ -16,7 +16,7 @@ from lectern.schemas import CASE_OWN, TRACKS, case_schema, prediction_schema
 from lectern.sources.files import read_jsonl
 
 # Columns of the leaderboard's CSV, in order.
-LEADERBOARD_CSV = ("rank", "model_id", "provider", "mode", "mode_label", "mean_score", "coverage_adjusted_score", "human_effect", "binding_rank", "pose", "structure", "coverage_fraction", "coverage", "api_error_count", "invalid_json_count", "status", "leaderboard_status", "is_baseline", "competitive", "scored", "row_status", "benchmark_release", "run_timestamp", "retry_recovered_count", "retry_still_failed_count", "fallback_prediction_count", "unresolved_provider_error_count", "unresolved_invalid_json_count", "valid_prediction_rate", "failed_prediction_count")
+LEADERBOARD_CSV = ("model_id", "provider", "mode", "mode_label", "completed_tracks", "coverage", "mean_score", "coverage_adjusted_score", "human_effect_category_macro_f1", "human_effect_evidence_accuracy", "human_effect_overclaim_penalty", "binding_rank_spearman", "binding_rank_kendall", "binding_rank_pairwise_accuracy", "pose_contact_precision", "pose_contact_recall", "pose_contact_f1", "structure_score", "structure_rmsd_status", "total_cases_attempted", "total_cases_completed", "invalid_json_count", "api_error_count", "total_cost_estimate_if_available", "run_timestamp", "benchmark_release", "evaluator_commit", "is_baseline", "competitive", "scored", "fallback_prediction_count", "unresolved_provider_error_count", "unresolved_invalid_json_count", "row_status", "status", "leaderboard_status", "retry_recovered_count", "retry_still_failed_count")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -31,13 +31,13 @@ def write_splits(df: DataFrame, path: str, column: str = "split") -> DataFrame:
 
 
 def write_leaderboard(public: DataFrame, path: str) -> None:
-    """The public rows as one JSON and one CSV folder; nested columns are JSON text in the CSV."""
+    """The public rows as a JSON and a CSV folder; the CSV has its fixed columns, nested ones as JSON text."""
     flat = public
     for name, kind in public.dtypes:
         if kind.startswith(("map", "struct", "array")):
             flat = flat.withColumn(name, F.to_json(name))
-    public.coalesce(1).write.mode("overwrite").json(f"{path}/leaderboard.json")
-    flat.select(*[c for c in LEADERBOARD_CSV if c in flat.columns]).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/leaderboard.csv")
+    public.write.mode("overwrite").json(f"{path}/leaderboard.json")
+    flat.select(*[F.col(c) if c in flat.columns else F.lit(None).cast("string").alias(c) for c in LEADERBOARD_CSV]).write.mode("overwrite").option("header", True).csv(f"{path}/leaderboard.csv")
 
 
 def replace_record(df: DataFrame, path: str, key: str, out: str) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from urllib import parse, request
+from urllib import error, parse, request
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +25,20 @@ DAILYMED = "https://dailymed.nlm.nih.gov/dailymed/services/v2"
 BATCH = 100
 
 
+class OutOfCredits(RuntimeError):
+    """The provider wants payment (status 402): asking again is no use."""
+
+
 def http(url: str, body: bytes | None = None, timeout: int = 30) -> str:
     """Text of a GET, or of a POST with a JSON body."""
     headers = {"User-Agent": "lectern", **({"Content-Type": "application/json"} if body else {})}
-    with request.urlopen(request.Request(url, data=body, headers=headers), timeout=timeout) as answer:
-        return answer.read().decode("utf-8", "replace")
+    try:
+        with request.urlopen(request.Request(url, data=body, headers=headers), timeout=timeout) as answer:
+            return answer.read().decode("utf-8", "replace")
+    except error.HTTPError as e:
+        if e.code == 402:
+            raise OutOfCredits(f"out of credits: {url}") from e
+        raise
 
 
 def entry_url(pdb_id: str) -> str:
@@ -66,6 +75,72 @@ def peptide_search(limit: int, longest: int = 50) -> bytes:
     return json.dumps({"query": {"type": "group", "logical_operator": "and", "nodes": terms}, "return_type": "entry", "request_options": {"paginate": {"start": 0, "rows": limit}}}).encode()
 
 
+def text_search(text: str, limit: int) -> bytes:
+    """Search body: ids of entries that a full-text query finds."""
+    return json.dumps({"query": {"type": "terminal", "service": "full_text", "parameters": {"value": text}}, "return_type": "entry", "request_options": {"paginate": {"start": 0, "rows": limit}}}).encode()
+
+
+# The fields of an entry that builders read.
+ENTRY_FIELDS = "rcsb_id polymer_entities { rcsb_id entity_poly { type pdbx_seq_one_letter_code_can rcsb_sample_sequence_length } rcsb_polymer_entity_container_identifiers { auth_asym_ids asym_ids } }"
+ENTRIES = "data struct<entries:array<struct<rcsb_id:string,polymer_entities:array<struct<rcsb_id:string,entity_poly:struct<type:string,pdbx_seq_one_letter_code_can:string,rcsb_sample_sequence_length:int>,rcsb_polymer_entity_container_identifiers:struct<auth_asym_ids:array<string>,asym_ids:array<string>>>>>>>"
+
+
+def entry_batches(ids: DataFrame, size: int = BATCH) -> DataFrame:
+    """(batch, ids, body): entry ids (pdb_id) in batches of ``size`` with the GraphQL body that asks for them."""
+    from lectern.operators.splits import positions
+
+    batch = F.floor(F.col("at") / size).alias("batch")
+    packed = positions(ids.select(F.upper("pdb_id").alias("pdb_id")).distinct(), ["pdb_id"], "at").groupBy(batch).agg(F.array_sort(F.collect_list("pdb_id")).alias("ids"))
+    query = F.concat(F.lit("{ entries(entry_ids: "), F.to_json("ids"), F.lit(") { " + ENTRY_FIELDS + " } }"))
+    return packed.withColumn("body", F.to_json(F.struct(query.alias("query"))))
+
+
+def entities(answers: DataFrame, text: str = "text") -> DataFrame:
+    """(pdb_id, entity_id, chains, asym_chains, kind, sequence, length) of the entities in GraphQL answers; a failed answer has none."""
+    entry = answers.select(F.explode(F.from_json(text, ENTRIES)["data"]["entries"]).alias("e"))
+    one = entry.select(F.col("e.rcsb_id").alias("pdb_id"), F.explode("e.polymer_entities").alias("p"))
+    ids = "p.rcsb_polymer_entity_container_identifiers"
+    sequence = F.col("p.entity_poly.pdbx_seq_one_letter_code_can")
+    return one.select("pdb_id", F.substring_index("p.rcsb_id", "_", -1).alias("entity_id"), F.col(f"{ids}.auth_asym_ids").alias("chains"), F.col(f"{ids}.asym_ids").alias("asym_chains"), F.col("p.entity_poly.type").alias("kind"), sequence.alias("sequence"), F.coalesce("p.entity_poly.rcsb_sample_sequence_length", F.length(sequence), F.lit(0)).alias("length"))
+
+
+def found_ids(answers: DataFrame, text: str = "text") -> DataFrame:
+    """(pdb_id, ord) of a search answer, in its order."""
+    return answers.select(F.posexplode(F.from_json(text, "result_set array<struct<identifier:string>>")["result_set"]).alias("ord", "r")).select(F.col("r.identifier").alias("pdb_id"), "ord")
+
+
+def entry_metadata(answers: DataFrame, text: str = "text") -> DataFrame:
+    """(pdb_id, method, resolution_angstrom, entity_ids) of entry answers."""
+    kind = "rcsb_id string, exptl array<struct<method:string>>, rcsb_entry_info struct<resolution_combined:array<double>>, rcsb_entry_container_identifiers struct<polymer_entity_ids:array<string>>"
+    e = answers.select(F.from_json(text, kind).alias("e"))
+    return e.select("e.rcsb_id", F.get("e.exptl.method", F.lit(0)).alias("method"), F.get("e.rcsb_entry_info.resolution_combined", F.lit(0)).alias("resolution_angstrom"), F.col("e.rcsb_entry_container_identifiers.polymer_entity_ids").alias("entity_ids")).withColumnRenamed("rcsb_id", "pdb_id").where("pdb_id is not null")
+
+
+def labels(answers: DataFrame, text: str = "text") -> DataFrame:
+    """(set_id, version, title) of label searches."""
+    rows = answers.select(F.explode(F.from_json(text, "data array<struct<setid:string,spl_version:string,title:string>>")["data"]).alias("r"))
+    return rows.select(F.col("r.setid").alias("set_id"), F.col("r.spl_version").alias("version"), F.col("r.title").alias("title"))
+
+
+def cached(urls: DataFrame, store: DataFrame | None, fetch: Fetch = http, valid: Column | None = None, timeout: int = 30) -> DataFrame:
+    """(url, text) of each url: from ``store`` (url, text) where it has it, else fetched; null where that fails or the text isn't ``valid``."""
+    wanted = urls.select("url").distinct()
+    known = wanted.join(store, "url") if store is not None else wanted.limit(0).withColumn("text", F.lit(None).cast("string"))
+    rest = fetch_column(wanted.join(store.select("url"), "url", "left_anti") if store is not None else wanted, "url", fetch, timeout).select("url", "text")
+    out = known.select("url", "text").unionByName(rest)
+    return out if valid is None else out.withColumn("text", F.when(valid, F.col("text")))
+
+
+def has_atoms(text: str = "text") -> Column:
+    """The text of a coordinate file has at least one atom line."""
+    return F.coalesce(F.col(text).rlike("(?m)^(ATOM  |HETATM)"), F.lit(False))
+
+
+def save_texts(answers: DataFrame, path: str, name: str = "url") -> None:
+    """Fetched texts as a table below ``path``, a row an answer: a cache that later runs read."""
+    answers.where("text is not null").select(F.col(name), "text").write.mode("append").parquet(path)
+
+
 class _Url(InputPartition):
     def __init__(self, url: str, body: bytes | None):
         self.url, self.body = url, body
@@ -140,3 +215,8 @@ def status(manifest: DataFrame, track: str, created: Column, limitation: Column)
 
 #: Sources whose adapters fetch; all others of a manifest are known by name and url only.
 FETCHING = {"rcsb": (entry_url, entity_url, mmcif_url), "clinicaltrials": (trials_url,), "dailymed": (labels_url, label_url)}
+
+
+def registry(manifest: DataFrame) -> DataFrame:
+    """(name, url, fetches) of every source of a manifest: whether its adapter fetches or only names it."""
+    return manifest.select("name", "url", F.lower("name").isin(*FETCHING).alias("fetches"))

@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.operators import builders, evidence, keys, leaderboard, predictions, projections, qc, ranking, release, retries, splits, structure
-from lectern.plans import workflows
+from lectern.operators import builders, effects, evidence, keys, leaderboard, predictions, projections, qc, ranking, release, retries, splits, structure
+from lectern.plans import model_runs, workflows
 from lectern.schemas import case_schema, prediction_schema
+from lectern.sources import adapters
+from lectern.sources.adapters import OutOfCredits
 
 
 def items(spark, gold, pred):
@@ -114,7 +118,14 @@ def test_leaderboard(spark):
     assert leaderboard.check(df).count() == 0
     bad = df.where("model_id = 'm/b'")
     assert [r.error for r in leaderboard.check(bad).collect()] == ["no rankable competitive rows"]
-    assert leaderboard.diagnosis(df, spark.createDataFrame([("m", "t", "e", "recovered")], "model_id string, track string, error_type string, retry_status string")).count() == 9
+    log = spark.createDataFrame([("m", "base", "t", "1", "e", "still_failed", 0), ("m", "base", "t", "1", "e", "recovered", 1), ("m", "base", "t", "2", None, "still_failed", 2)], "model_id string, mode string, track string, benchmark_id string, error_type string, retry_status string, ord int")
+    found = {(r.kind, r.key): r.n for r in leaderboard.diagnosis(df, log).collect()}
+    assert found == {("row_status", "completed_with_failures"): 1, ("row_status", "clean_completed"): 2, ("row_status", "excluded_incomplete"): 1, ("row_status", "noncompetitive_baseline"): 1, ("row_status", "noncompetitive_oracle"): 1, ("root_cause", "incomplete coverage"): 1, ("root_cause", "noncompetitive_oracle"): 1, ("retry_status", "recovered"): 1, ("retry_status", "still_failed"): 1, ("model_id", "m"): 1, ("mode", "base"): 1, ("track", "t"): 1, ("error_type", "unknown"): 1}
+    assert {r.model_id: r.s for r in leaderboard.complete(df).select("model_id", F.lit(None).cast("string").alias("row_status"), "coverage", "total_cases_attempted", "total_cases_completed", "api_error_count", "invalid_json_count").select("model_id", leaderboard.run_status().alias("s")).collect()} == {"m/a": "excluded_provider_error", "m/b": "excluded_incomplete", "m/c": "clean_completed", "base": "clean_completed", "my_oracle": "clean_completed", "non_oracle": "clean_completed"}
+    tracks = spark.createDataFrame([("a", 5, 5, 0, 0, 1), ("a", 5, 4, 0, 0, 0), ("b", 5, 5, 0, 2, 0), ("c", 5, 5, None, None, None)], "run string, attempted int, completed int, unresolved_api_errors int, unresolved_invalid_json int, retry_recovered_count int")
+    assert {r.run: (r.status, r.invalid_json, r.recovered) for r in leaderboard.manifest_status(tracks, ["run"]).collect()} == {"a": ("incomplete", 0, 1), "b": ("completed_with_failures", 2, 0), "c": ("completed_clean", 0, 0)}
+    wanted = spark.createDataFrame([("p/x",), ("q/y",)], "model_id string")
+    assert {r.model_id: (r.provider, r.structured_outputs_supported) for r in leaderboard.models_for(wanted, spark.createDataFrame([("p/x", "own", True)], "model_id string, provider string, structured_outputs_supported boolean")).collect()} == {"p/x": ("own", True), "q/y": ("q", False)}
 
 
 def test_rows_from_results(spark):
@@ -175,9 +186,11 @@ def test_splits(spark):
     at = splits.positions(df, ["k"]).orderBy("k").collect()
     assert [r.position for r in at] == list(range(1000))
     share = {r.split: r.n for r in splits.seeded_split(df, "id").groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert abs(share["dev"] - 100) < 40 and abs(share["holdout"] - 100) < 40
+    assert share == {"dev": 100, "holdout": 100, "train": 800}
     one = {r.id: r.split for r in splits.seeded_split(df, "id").collect()}
-    assert all(one[r.id] == r.split for r in splits.seeded_split(df.where("id % 3 = 0"), "id").collect())
+    assert one == {r.id: r.split for r in splits.seeded_split(df.repartition(3), "id").collect()}
+    order = sorted(range(1000), key=lambda i: __import__("hashlib").sha256(f"7:{i}".encode()).hexdigest())
+    assert [one[i] for i in order] == ["dev"] * 100 + ["holdout"] * 100 + ["train"] * 800
 
 
 def test_retries(spark):
@@ -220,11 +233,81 @@ def test_answers_to_predictions(spark):
     assert {(r.benchmark_id, r.error) for r in predictions.matching_errors(answers, cases).collect()} == {("b", "unknown benchmark_id"), ("z", "missing prediction")}
 
 
-def test_seeded_scores_repeat(spark):
-    cases = spark.createDataFrame([{"benchmark_id": str(i), "track": "binding_rank", "items": [{"item_id": "i"}, {"item_id": "j"}]} for i in range(5)], case_schema("binding_rank"))
-    a = {r.benchmark_id: r.scores for r in builders.baseline(cases, "binding_rank").collect()}
-    b = {r.benchmark_id: r.scores for r in builders.baseline(cases.repartition(3), "binding_rank").collect()}
-    assert a == b and len({s.score for v in a.values() for s in v}) == 10
+def test_seeded_scores_are_one_stream_through_the_cases(spark):
+    import random
+
+    sizes = [3, 1, 4, 2, 5, 7]
+    data = [{"benchmark_id": str(i), "track": "binding_rank", "items": [{"item_id": f"i{j}"} for j in range(n)]} for i, n in enumerate(sizes)]
+    cases = spark.createDataFrame(data, case_schema("binding_rank")).withColumn("ord", F.col("benchmark_id").cast("int"))
+    rng = random.Random(13)
+    want = {str(i): [(f"i{j}", rng.random(), j + 1) for j in range(n)] for i, n in enumerate(sizes)}
+    for df in (cases, cases.repartition(4)):
+        got = {r.benchmark_id: [(s.item_id, s.score, s["rank"]) for s in r.scores] for r in builders.baseline(df, "binding_rank").collect()}
+        assert got == want
+
+
+def test_effect_builders(spark):
+    answer = lambda q, v: spark.createDataFrame([(q, json.dumps(v))], "query string, text string")
+    labels = effects.label_cases(answer("drug", {"data": [{"setid": "s1", "spl_version": "3"}, {"setid": "s2"}]}), spark.createDataFrame([("drug", "cardiovascular")], "query string, category string"))
+    study = lambda i, **k: {"protocolSection": {"identificationModule": {"nctId": i}, "statusModule": {"overallStatus": "DONE"}, "designModule": {"phases": ["P1", "P2"]}}, **k}
+    trials = effects.trial_cases(answer("peptide", {"studies": [study("N1"), study(None), study("N2", hasResults=True)]}))
+    terms = effects.term_cases(answer("peptide", {"numberOfHits": 9, "results": [{"id": "GO:1"}]}))
+    paths = effects.pathway_cases(answer("peptide", {"results": [{"entries": [{"stId": "R1"}, {"dbId": 7}]}, {"entries": None}]}))
+    assert [(r.source_id, r.category, r.source_result_count) for r in labels.collect()] == [("s1", "cardiovascular", 2)]
+    assert {r.source_id: (r.evidence_direction, r.trial_phase, r.trial_has_results) for r in trials.collect()} == {"N1": ("not_reported", "P1;P2", False), "N2": ("inconclusive", "P1;P2", True)}
+    assert [r.source_id for r in terms.collect()] == ["GO:1"] and {r.source_id for r in paths.collect()} == {"R1", "7"}
+    rows = {r.benchmark_id: (r.source_id, r.split) for r in effects.effect_cases(8, effects.negative_cases(spark, 5), labels, trials, terms, paths).collect()}
+    assert [rows[f"CASE-HFX-{i + 1:05d}"] for i in range(8)] == [("s1", "train"), ("N1", "dev"), ("N2", "test"), ("GO:1", "train"), ("R1", "dev"), ("7", "test"), ("negative_query_000", "train"), ("negative_query_001", "dev")]
+
+
+def test_runs_fail_over_and_resume(spark):
+    rows = [("m", "base", "pose", i, [f"b{i}"], f"ask {i}", f"short {i}") for i in range(4)] + [("n", "base", "pose", 0, ["b0"], "ask 0", "short 0")]
+    requests = spark.createDataFrame(rows, "model_id string, mode string, track string, chunk long, benchmark_ids array<string>, messages string, compact string")
+
+    def caller(model, messages, options):
+        if model == "n":
+            raise OutOfCredits("no")
+        if messages == "ask 2":
+            return "no object"
+        return "{}"
+
+    def check(text):
+        if "{" not in text:
+            raise ValueError("no JSON")
+
+    result = model_runs.run_tracks(requests, caller, check, model_runs.run_ladder(1), wait=lambda s: None)
+    found = {(r.model_id, r.chunk): (r.status, r.attempts, r.error_type) for r in result.collect()}
+    assert found == {("m", 0): ("completed", 1, None), ("m", 1): ("completed", 1, None), ("m", 2): ("failed", 2, "invalid_json"), ("m", 3): ("fallback", 0, None), ("n", 0): ("failed", 1, "credits_exhausted")}
+    done = result.where("status = 'completed'").select("model_id", "mode", "track", "chunk")
+    again = model_runs.run_tracks(requests, caller, check, model_runs.retry_ladder(0), done, fail_over=False, wait=lambda s: None)
+    assert {(r.model_id, r.chunk): (r.status, r.attempts) for r in again.collect()} == {("m", 2): ("completed", 3), ("m", 3): ("completed", 1), ("n", 0): ("failed", 1)}
+
+
+def test_order_of_files(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"part-{i}.jsonl").write_text("".join(json.dumps({"k": "a", "v": i * 1000 + j}) + "\n" for j in range(200 * (5 - i))))
+    df = spark.read.schema("k string, v int").json(str(tmp_path))
+    assert keys.last_by(keys.with_order(df), ["k"]).first().v == 4199 and keys.first_by(keys.with_order(df), ["k"]).first().v == 0
+    assert [r.v for r in keys.with_order(df).orderBy("ord").collect()] == [i * 1000 + j for i in range(5) for j in range(200 * (5 - i))]
+
+
+def test_missing_files_and_caveats(spark):
+    files = spark.createDataFrame([(f"file:/x/{f}",) for f in release.REQUIRED_FILES if "qc_pass_b" not in f], "path string")
+    assert [r.scope for r in release.missing_files(files).collect()] == ["references/qc_pass_b.jsonl"]
+    df = spark.createDataFrame([("pose", "source_reference_only", "coordinate_reference_only"), ("human_effect", "bundled", None)], "track string, release_mode string, contact_label_status string")
+    assert sorted(len(r.c) for r in df.select(release.caveats(df).alias("c")).collect()) == [2, 3]
+
+
+def test_entries_of_a_service(spark):
+    body = {"data": {"entries": [{"rcsb_id": "1ABC", "polymer_entities": [{"rcsb_id": "1ABC_2", "entity_poly": {"type": "polypeptide(L)", "pdbx_seq_one_letter_code_can": "ACD"}, "rcsb_polymer_entity_container_identifiers": {"auth_asym_ids": ["P"], "asym_ids": ["B"]}}]}]}}
+    rows = adapters.entities(spark.createDataFrame([(json.dumps(body),), (None,)], "text string")).collect()
+    assert [(r.pdb_id, r.entity_id, r.chains, r.length) for r in rows] == [("1ABC", "2", ["P"], 3)]
+    batches = adapters.entry_batches(spark.range(250).select(F.format_string("%04d", F.col("id").cast("int")).alias("pdb_id"))).orderBy("batch").collect()
+    assert [len(b.ids) for b in batches] == [100, 100, 50] and "entry_ids" in json.loads(batches[0].body)["query"]
+    urls = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "url string")
+    store = spark.createDataFrame([("u1", "ATOM  1")], "url string, text string")
+    got = adapters.cached(urls, store, lambda u, body, timeout: "nothing" if u == "u2" else 1 / 0, adapters.has_atoms())
+    assert {r.url: r.text for r in got.collect()} == {"u1": "ATOM  1", "u2": None, "u3": None}
 
 
 def test_panels(spark):
