@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.builders import union_until
 from lectern.operators.keys import union_all, with_order
 from lectern.operators.projections import envelope
 from lectern.operators.splits import positions
@@ -126,8 +125,8 @@ def numbered(rows: DataFrame, prefix: str = "CASE-HFX", start: int = 0) -> DataF
 
 def effect_cases(least: int, spare: DataFrame, *builders: DataFrame) -> DataFrame:
     """The builders' rows in order; where they are fewer than ``least``, ``spare`` (negative queries) makes up for the rest."""
-    rows = [b.withColumn("ord", F.struct(F.lit(i).alias("builder"), F.col("ord").cast("string").alias("at"))) for i, b in enumerate(builders)]
-    have = union_all(*rows)
+    placed = lambda i, df: positions(df, ["ord", "source_id"], "_in").withColumn("ord", F.struct(F.lit(i).alias("builder"), F.col("_in").alias("at")))
+    have = union_all(*[placed(i, b).drop("_in") for i, b in enumerate(builders)])
     lacking = max(0, least - have.count())
-    last = spare.withColumn("ord", F.struct(F.lit(len(rows)).alias("builder"), F.col("ord").cast("string").alias("at")))
-    return numbered(union_all(have, union_until(lacking, last.orderBy("ord")))) if lacking else numbered(have)
+    more = placed(len(builders), spare).where(F.col("_in") < lacking).drop("_in")
+    return numbered(union_all(have, more))

@@ -96,29 +96,8 @@ def missing_predictions(spark, sf):
     return keys.without(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("""select coalesce(c.k, e.k) as id, case when c.k is null then 'unknown' else 'missing' end as error
-from (select c_custkey as k from customer) c full join (select distinct user_id as k from events) e using (k) where c.k is null or e.k is null""")
-def match_errors(spark, sf):
-    """JN21: ids on one side only."""
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(True).alias("c"))
-    b = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct().withColumn("e", F.lit(True))
-    return a.join(b, "id", "full").where("c is null or e is null").select("id", F.when(F.col("c").isNull(), "unknown").otherwise("missing").alias("error"))
 
 
-@query("""select n_name, s as status, coalesce(n, 0) as n, coalesce(total, 0) as total from nation cross join (values ('F'), ('O'), ('P')) v(s)
-left join (select c_nationkey as n_nationkey, o_orderstatus as s, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey group by 1, 2) using (n_nationkey, s)""")
-def status_grid(spark, sf):
-    """JN16: every source with every track, zeros included."""
-    counts = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    grid = table(spark, sf, "nation").select("n_nationkey", "n_name", F.explode(F.array(*[F.lit(s) for s in "FOP"])).alias("status"))
-    return grid.join(counts, ["n_nationkey", "status"], "left").select("n_name", "status", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
-
-
-@query("select user_id as value from events intersect select c_custkey from customer")
-def leaked_ids(spark, sf):
-    """JN18, SET2: identifiers that both sides have."""
-    return table(spark, sf, "events").select(F.col("user_id").alias("value")).distinct().join(table(spark, sf, "customer").select(F.col("c_custkey").alias("value")), "value", "left_semi")
-
 
 @query("select sha256(text) as sha256, count(*) as n, min(doc_id) as first_key from documents group by 1 having count(*) > 1")
 def duplicate_texts(spark, sf):
@@ -232,14 +211,6 @@ def effect_metrics(spark, sf):
     return out.select(r("evidence_level_ordinal_accuracy", "level_accuracy"), r("evidence_direction_accuracy", "direction_accuracy"), r("claim_status_accuracy", "claim_accuracy"), r("evidence_level_distance_penalty", "distance"), F.col("overclaim_penalty").alias("overclaims"), F.col("hallucinated_support_penalty").alias("hallucinated"), F.col("safety_overclaim_penalty").alias("unsafe"), F.col("trial_without_results_penalty").alias("trial"), F.col("pathway_only_overclaim_penalty").alias("pathway"), F.col("correct_abstention_credit").alias("abstained"), F.col("failed_prediction_count").alias("failed"), r("unsupported_claim_detection_rate", "detection"), r("category_macro_f1", "category_f1"), F.col("n_matched").alias("matched"))
 
 
-@query("""with s as (select l_suppkey as k, list(distinct l_partkey) filter (l_returnflag = 'R') as g, list(distinct l_partkey) filter (l_returnflag = 'A') as p from lineitem group by 1)
-select k, round(coalesce(len(list_intersect(g, p)) / nullif(len(p), 0), 0), 9) as precision, round(coalesce(len(list_intersect(g, p)) / nullif(len(g), 0), 0), 9) as recall from s""")
-def contact_overlap(spark, sf):
-    """AGG16, AGG17, SET6: precision and recall of sets."""
-    sets = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("g"), F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_partkey"))).alias("p"))
-    hits = F.size(F.array_intersect("g", "p"))
-    return sets.select("k", F.round(numbers.ratio(hits, F.size("p")), 9).alias("precision"), F.round(numbers.ratio(hits, F.size("g")), 9).alias("recall"))
-
 
 @query("""with a as (select vec_id // 2 as pair, vec_id % 2 as side, i, embedding[i*3+1]::double as x, embedding[i*3+2]::double as y, embedding[i*3+3]::double as z from embeddings, range(0, 5) t(i))
 select g.pair, count(*) as n_atoms, round(sqrt(sum((g.x-p.x)**2 + (g.y-p.y)**2 + (g.z-p.z)**2) / count(*)), 6) as rmsd from a g join a p on g.pair = p.pair and g.i = p.i and g.side = 0 and p.side = 1 group by 1""")
@@ -316,12 +287,6 @@ def retry_queue(spark, sf):
 # Counts
 
 
-@query("select c_nationkey, count(*) filter (c_mktsegment = 'BUILDING') as building, count(*) filter (c_mktsegment = 'MACHINERY') as machinery from customer group by 1")
-def counts_by_source(spark, sf):
-    """AGG34: a column a track."""
-    p = table(spark, sf, "customer").groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).count().na.fill(0)
-    return p.select("c_nationkey", F.col("BUILDING").alias("building"), F.col("MACHINERY").alias("machinery"))
-
 
 @query("select v as value, count(o_orderstatus) as n from (values ('bundled'), ('derived'), ('source_reference_only'), ('excluded')) t(v) left join orders on case o_orderstatus when 'O' then 'bundled' when 'F' then 'derived' else 'excluded' end = v group by 1")
 def mode_histogram(spark, sf):
@@ -330,12 +295,6 @@ def mode_histogram(spark, sf):
     return release.histogram(table(spark, sf, "orders").select(mode.alias("release_mode")), "release_mode")
 
 
-@query("select c_nationkey, sum(n)::bigint as cases, min_by(m, (-n, m)) as release_mode from (select c_nationkey, c_mktsegment as m, count(*) as n from customer group by 1, 2) group by 1")
-def modal_value(spark, sf):
-    """AGG39: the most frequent value, ties by name."""
-    n = table(spark, sf, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("c_nationkey").agg(F.sum("n").alias("cases"), F.min_by("m", F.struct(-F.col("n"), "m")).alias("release_mode"))
-
 
 @query("select role, count(*) as n, count(*) filter (length(text) > 80) as valid, round(count(*) filter (length(text) > 80) / count(*), 9) as valid_rate from conversations group by 1")
 def validity_by_task(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,13 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))  # the driver serves it
         context._lectern_shipped = str(archive)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; where that is unset, a local one if the master is local, else an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="lectern-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
