@@ -45,6 +45,15 @@ def balanced_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner[order], start[order], end[order]
 
 
+def whole(col: pa.Array) -> np.ndarray:
+    """Whether each text is one balanced object from its first byte to its last."""
+    buf, offs = bytes_and_offsets(col)
+    owner, start, end = balanced_spans(buf, offs)
+    out = np.zeros(len(offs) - 1, dtype=bool)
+    out[owner[(start == offs[owner]) & (end == offs[owner + 1])]] = True
+    return out
+
+
 def balanced_objects(col: pa.Array) -> pa.ListArray:
     """List of (position, object) of each text; the position is its byte in the text."""
     buf, offs = bytes_and_offsets(col)

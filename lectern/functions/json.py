@@ -6,9 +6,10 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions import braces
 
@@ -21,8 +22,7 @@ def object_in(c: Column) -> Column:
     """VARIANT of the text, or of what lies from its first to its last brace; null if neither is an object."""
     t = F.trim(c)
     inner = F.substr(t, F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") - F.instr(t, "{") + 2)
-    whole = F.try_parse_json(t)
-    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole).when(F.instr(t, "{") > 0, F.try_parse_json(inner))
+    return F.when(is_whole(t), F.try_parse_json(t)).when(is_whole(inner), F.try_parse_json(inner))
 
 
 def message_content(c: Column) -> Column:
@@ -46,8 +46,14 @@ def repaired(c: Column) -> Column:
     return F.regexp_replace(inner, r",\s*([}\]])", "$1")
 
 
-def is_object(c: Column, key: str | None = None) -> Column:
-    """The text is a JSON object, with ``key`` if given."""
+@F.arrow_udf(BooleanType())
+def is_whole(texts: pa.Array) -> pa.Array:
+    """The text is one object from end to end; the parser by itself would pass over what follows the first."""
+    return pa.array(braces.whole(texts))
+
+
+def parses(c: Column, key: str | None = None) -> Column:
+    """The text begins with a JSON object, which has ``key`` if given."""
     v = F.try_parse_json(c)
     found = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     return found if key is None else found & F.try_variant_get(v, f"$['{key}']", "variant").isNotNull()
@@ -63,10 +69,19 @@ def balanced_objects(texts: pa.Array) -> pa.Array:
     return braces.balanced_objects(texts)
 
 
-@F.arrow_udf(ArrayType(_OBJECTS))
-def _objects_of_each(texts: pa.Array) -> pa.Array:
-    """``balanced_objects`` of each member of an array."""
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int32)), braces.balanced_objects(texts.flatten()))
+@F.arrow_udf(ArrayType(ArrayType(StructType([StructField("payload", StringType()), StructField("how", StringType())]))))
+def _attempts(texts: pa.Array) -> pa.Array:
+    """What each member of an array offers as an object: all of it, the balanced objects in it, and its repaired span."""
+    each = texts.flatten()
+    inner = pc.extract_regex(each, r"(?s)(?P<o>\{.*\})")
+    fixed = pc.replace_substring_regex(pc.struct_field(inner, "o"), r",\s*([}\]])", r"\1")
+    out = [[{"payload": t, "how": "full_json"}] if w else [] for t, w in zip(each.to_pylist(), braces.whole(each), strict=True)]
+    for found, objects, repair, fits in zip(out, braces.balanced_objects(each).to_pylist(), fixed.to_pylist(), braces.whole(fixed), strict=True):
+        found += [{"payload": o["object"], "how": "first_balanced_object"} for o in objects]
+        if fits:
+            found.append({"payload": repair, "how": "local_repair"})
+    kind = pa.struct([("payload", pa.string()), ("how", pa.string())])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int32)), pa.array(out, pa.list_(kind)))
 
 
 def candidates(c: Column) -> Column:
@@ -83,16 +98,13 @@ def extraction(key: str | None = None):
     A candidate is tried whole, then by its balanced objects, then repaired.
     """
 
-    def attempts(candidate: Column, objects: Column) -> Column:
-        one = lambda json, how: F.struct(json.alias("payload"), F.concat(candidate["kind"], F.lit(":"), F.lit(how)).alias("method"))
-        return F.concat(F.array(one(candidate["text"], "full_json")), F.transform(objects, lambda o: one(o["object"], "first_balanced_object")), F.array(one(F.to_json(F.try_parse_json(repaired(candidate["text"]))), "local_repair")))
-
     def of(c: Column) -> Column:
         found = candidates(c)
-        objects = _objects_of_each(F.transform(found, lambda x: x["text"]))
-        tried = F.flatten(F.zip_with(found, objects, attempts))
-        first = F.get(F.filter(tried, lambda a: is_object(a["payload"], key)), F.lit(0))
-        return F.struct(first["payload"].alias("payload"), first["method"].alias("method"))
+        named = lambda x, tried: F.transform(tried, lambda a: F.struct(a["payload"].alias("payload"), F.concat(x["kind"], F.lit(":"), a["how"]).alias("method")))
+        tried = F.flatten(F.zip_with(found, _attempts(F.transform(found, lambda x: x["text"])), named))
+        first = F.get(F.filter(tried, lambda a: parses(a["payload"], key)), F.lit(0))
+        payload = F.when(first["method"].endswith("local_repair"), F.to_json(F.try_parse_json(first["payload"]))).otherwise(first["payload"])
+        return F.struct(payload.alias("payload"), first["method"].alias("method"))
 
     return of
 

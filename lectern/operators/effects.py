@@ -125,8 +125,8 @@ def numbered(rows: DataFrame, prefix: str = "CASE-HFX", start: int = 0) -> DataF
 
 def effect_cases(least: int, spare: DataFrame, *builders: DataFrame) -> DataFrame:
     """The builders' rows in order; where they are fewer than ``least``, ``spare`` (negative queries) makes up for the rest."""
-    placed = lambda i, df: positions(df, ["ord", "source_id"], "_in").withColumn("ord", F.struct(F.lit(i).alias("builder"), F.col("_in").alias("at")))
-    have = union_all(*[placed(i, b).drop("_in") for i, b in enumerate(builders)])
+    placed = lambda i, df: positions(df, ["ord", "source_id"], "_nth").withColumn("ord", F.struct(F.lit(i).alias("builder"), F.col("_nth").alias("at")))
+    have = union_all(*[placed(i, b).drop("_nth") for i, b in enumerate(builders)])
     lacking = max(0, least - have.count())
-    more = placed(len(builders), spare).where(F.col("_in") < lacking).drop("_in")
+    more = placed(len(builders), spare).where(F.col("_nth") < lacking).drop("_nth")
     return numbered(union_all(have, more))

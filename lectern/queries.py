@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import numbers, text
-from lectern.functions.json import extraction
+from lectern.functions.json import extraction, message_content
 from lectern.operators import builders, evidence, keys, leaderboard, projections, qc, ranking, release, retries, splits, structure
 from lectern.runtime import ship
 from lectern.schemas import DOMAINS, missing, quote_too_long
@@ -51,8 +51,10 @@ def sql_pick(values: tuple[str, ...], at: str) -> str:
 
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k from events where event_type = 'purchase' and json_extract_string(props, '$.k')::bigint > 50")
 def scan_json_filter(spark, sf):
-    """SRC14, JSN6: scan with a pushed filter and a JSON path."""
-    return table(spark, sf, "events").where("event_type = 'purchase'").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).where("k > 50")
+    """JSN6: the text of a chat answer, and a filter that reaches the scan."""
+    rows = table(spark, sf, "events").where("event_type = 'purchase'")
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("props").alias("content")).alias("message"))).alias("choices")))
+    return rows.select("event_id", F.get_json_object(message_content(answer), "$.k").try_cast("bigint").alias("k")).where("k > 50")
 
 
 @query("select doc_id, case when text is null or text = '' then 'text' when coalesce(source, '') = '' then 'source' end as lacks, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) > 35 as too_long from documents")
@@ -90,10 +92,10 @@ def latest_by_key(spark, sf):
     return keys.last_by(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("ord")), ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select user_id from events)")
 def missing_predictions(spark, sf):
     """JN11: cases that no prediction answers."""
-    return keys.without(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return keys.without(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "events").select(F.col("user_id").alias("c_custkey")), ["c_custkey"])
 
 
 
@@ -212,13 +214,13 @@ def effect_metrics(spark, sf):
 
 
 
-@query("""with a as (select vec_id // 2 as pair, vec_id % 2 as side, i, embedding[i*3+1]::double as x, embedding[i*3+2]::double as y, embedding[i*3+3]::double as z from embeddings, range(0, 5) t(i))
+@query("""with a as (select vec_id // 2 as pair, vec_id % 2 as side, i, embedding[i*3+1]::double as x, embedding[i*3+2]::double as y, embedding[i*3+3]::double as z from embeddings, range(0, 21) t(i))
 select g.pair, count(*) as n_atoms, round(sqrt(sum((g.x-p.x)**2 + (g.y-p.y)**2 + (g.z-p.z)**2) / count(*)), 6) as rmsd from a g join a p on g.pair = p.pair and g.i = p.i and g.side = 0 and p.side = 1 group by 1""")
 def rmsd(spark, sf):
-    """JN5, AGG19: deviation over shared atoms."""
-    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("atom_id"))
-    at = e.select("pair", "side", "atom_id", *[F.try_element_at("embedding", F.col("atom_id") * 3 + i + 1).cast("double").alias(c) for i, c in enumerate("xyz")], F.lit(0).alias("ord"))
-    return structure.rmsd(at.where("side = 0").drop("side"), at.where("side = 1").drop("side"), ["pair"]).select("pair", "n_atoms", F.round("rmsd", 6).alias("rmsd"))
+    """JN5, AGG19: deviation over shared atoms: all whole triples of a vector."""
+    atoms = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1), lambda i: F.struct(i.alias("atom_id"), *[F.element_at("embedding", i * 3 + j + 1).cast("double").alias(c) for j, c in enumerate("xyz")]))
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), F.explode(atoms).alias("a")).select("pair", "side", "a.*", F.lit(0).alias("ord"))
+    return structure.rmsd(e.where("side = 0").drop("side"), e.where("side = 1").drop("side"), ["pair"]).select("pair", "n_atoms", F.round("rmsd", 6).alias("rmsd"))
 
 
 # Leaderboard and retries
@@ -269,19 +271,18 @@ def retry_summary(spark, sf):
     return retries.summary(_log(spark, sf)).select("model_id", "retry_queue_size", "retry_recovered_count", F.col("post_retry_invalid_json_count").alias("invalid"), F.col("post_retry_api_error_count").alias("api"))
 
 
-@query("""with w as (select o_orderkey as b, case when o_orderkey % 9 = 0 then null when o_orderkey % 4 = 0 then 'x' else o_orderpriority end as p from orders),
-done as (select distinct b from (select user_id % 997 as b, max_by(event_type, event_id) as e from events where user_id % 20 = 1 group by 1) where e not in ('error', 'view'))
-select b as benchmark_id, case when p is null then 'missing_prediction' else 'fallback_prediction' end as reason from w where (p is null or p = 'x') and b not in (select b from done)""")
+@query("""with m as (select distinct (user_id % 20)::varchar as model_id from events), w as (select model_id, o_orderkey as b, case o_orderstatus when 'P' then null when 'F' then 'x' else o_orderpriority end as p from m cross join (select * from orders where o_orderstatus in ('P', 'F')) o),
+done as (select distinct m, b from (select (user_id % 20)::varchar as m, user_id % 997 as b, max_by(event_type, event_id) as e from events group by 1, 2) where e not in ('error', 'view'))
+select model_id, case when p is null then 'missing_prediction' else 'fallback_prediction' end as reason, count(*) as n, sum(w.b)::bigint as ids from w left join done d on d.m = w.model_id and d.b = w.b where d.b is null group by 1, 2""")
 def retry_queue(spark, sf):
-    """JN13: what to retry: no prediction or the fallback's, unless recovered since."""
+    """JN13: what to retry for every model: no prediction or the fallback's, unless recovered since."""
     o = table(spark, sf, "orders")
-    case = F.col("o_orderkey").cast("string").alias("benchmark_id")
-    track = F.lit("human_effect").alias("track")
-    models = spark.createDataFrame([("1", "base", "human_effect")], "model_id string, mode string, track string")
-    pred = o.where("o_orderkey % 9 <> 0").select(F.lit("1").alias("model_id"), F.lit("base").alias("mode"), track, case, F.when(F.col("o_orderkey") % 4 == 0, "x").otherwise(F.col("o_orderpriority")).alias("record_key"))
-    spare = o.select(track, case, F.lit("x").alias("record_key"))
-    log = _log(spark, sf).where("model_id = '1'")
-    return retries.queue(o.select(track, case), models, pred, spare, log).select(F.col("benchmark_id").cast("bigint").alias("benchmark_id"), "reason")
+    case, track = F.col("o_orderkey").cast("string").alias("benchmark_id"), F.lit("human_effect").alias("track")
+    log = _log(spark, sf)
+    models = log.select("model_id", "mode", "track").distinct()
+    pred = models.drop("track").join(o.where("o_orderstatus <> 'P'").select(track, case, F.when(F.col("o_orderstatus") == "F", "x").otherwise(F.col("o_orderpriority")).alias("record_key")))
+    found = retries.queue(o.select(track, case), models, pred, o.select(track, case, F.lit("x").alias("record_key")), log)
+    return found.groupBy("model_id", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("benchmark_id").cast("bigint")).alias("ids"))
 
 
 # Counts
@@ -321,9 +322,9 @@ def index_split(spark, sf):
     return at.select("o_orderkey", splits.split_by_position(F.col("position")).alias("split"))
 
 
-@query()
+@query("select doc_id, case when rn <= floor(n * 0.1) then 'dev' when rn <= 2 * floor(n * 0.1) then 'holdout' else 'train' end as split from (select doc_id, row_number() over (order by sha256('7:' || doc_id), doc_id) as rn, count(*) over () as n from documents)")
 def seeded_split(spark, sf):
-    """WIN6: split by a seeded hash of the key (Spark's hash; the tests hold its shares and stability)."""
+    """WIN6: exact shares of a seeded order."""
     return splits.seeded_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
@@ -344,12 +345,6 @@ def panel_builder(spark, sf):
     return builders.panels(rows).select("allele", "assay", F.col("place").cast("bigint").alias("place"), "measured_value", F.col("rank").cast("bigint").alias("rank"), F.round("normalized_rank", 9).alias("normalized_rank"))
 
 
-@query("select p_partkey, p_retailprice from part where p_size >= 0 order by p_retailprice, p_size desc, p_partkey limit 10")
-def cheapest(spark, sf):
-    """SRT2, SRT3: the ten cheapest (a top-k report)."""
-    return table(spark, sf, "part").where("p_size >= 0").orderBy("p_retailprice", F.col("p_size").desc(), "p_partkey").limit(10).select("p_partkey", "p_retailprice")
-
-
 # Scalar functions
 
 
@@ -454,16 +449,19 @@ def audit_findings(spark, sf):
 # Operators without a SQL form
 
 
-@query()
+@query("""with t as (select conv_id, turn, trim(coalesce(text, ''), ' \t\n\r') as s from conversations), f as (select *, regexp_extract_all(s, '(?i)(?:[a-z]+-)?(?:struct|pose)-[0-9]{3,}') as a, regexp_extract_all(s, '[A-Za-z]+-[0-9]+[A-Za-z0-9_:-]*|[A-Z]{3,}[A-Z0-9_:-]*') as b from t),
+g as (select *, case when len(a) >= 12 and len(list_distinct(a)) / len(a) <= 0.6 then 'repeated_struct_pose_identifier_loop' when len(b) >= 40 and len(list_distinct(b)) / len(b) <= 0.35 then 'mostly_repeated_tokens' when length(s) >= 12 and length(s) - length(replace(s, left(s, 12), '')) >= 48 then 'repeated_substring_loop' end as loop from f)
+select conv_id, turn, case when s = '' then 'empty_output' when contains(s, '{') then null else coalesce(loop, 'no_json_object_marker') end as reason from g where not contains(s, '{')""")
 def degenerate_outputs(spark, sf):
     """STR14, STR15: why a text can't be an answer."""
     return table(spark, sf, "conversations").select("conv_id", "turn", text.degenerate_reason("text").alias("reason"))
 
 
-@query()
+@query("select event_id, props as payload, case when event_id % 2 = 0 then 'tagged_json:full_json' when event_id % 3 = 0 then 'raw:first_balanced_object' else 'tagged_json:first_balanced_object' end as method from events")
 def json_extraction(spark, sf):
-    """JSN2-5: objects out of free text."""
-    noisy = F.concat(F.lit("final <json>"), F.col("props"), F.when(F.col("event_id") % 2 == 0, F.lit("</json> trailing")).otherwise(F.lit(",}")))
+    """JSN2, JSN3, JSN4, JSN5: objects out of free text."""
+    e = F.col("event_id")
+    noisy = F.when(e % 2 == 0, F.concat(F.lit("final <json>"), F.col("props"), F.lit("</json> trailing"))).when(e % 3 == 0, F.concat(F.lit("so { : "), F.col("props"), F.lit(" is it"))).otherwise(F.concat(F.lit("final <json>"), F.col("props"), F.lit(",}")))
     return table(spark, sf, "events").select("event_id", extraction("k")(noisy).alias("x")).select("event_id", "x.*")
 
 

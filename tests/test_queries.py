@@ -9,6 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from lectern import queries_records, queries_runs  # noqa: F401 - they register their queries
 from lectern.queries import QUERIES, SQL, flagship
 
 SF = "/root/testdata/sf0.001"
