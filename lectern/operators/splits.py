@@ -87,14 +87,14 @@ def leakage(train: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def leakage_report(train: DataFrame, bench: DataFrame, prompt: str = "messages") -> DataFrame:
-    """One row: overlaps by kind, prompts that name gold fields, the first 200 overlaps, and whether all is well."""
+    """One row: overlaps by kind, prompts that name gold fields, the first 200 overlaps, 20 of them as examples, and whether all is well."""
     text = F.to_json(F.col(prompt)) if prompt in train.columns and dict(train.dtypes)[prompt].startswith(("array", "struct")) else (F.col(prompt) if prompt in train.columns else F.to_json(F.struct(*train.columns)))
     answers = train.agg(F.count_if(answer_like(text)).alias("answer_like_count"), F.count(F.lit(1)).alias("train_record_count"))
     shared = leakage(train, bench)
     top = F.slice(F.array_sort(F.collect_set("value")), 1, 200)
     few = shared.orderBy("value").limit(200).agg(top.alias("overlaps"))
     counts = shared.agg(F.count_if(F.col("kind") == "identifier").alias("identifier_overlap_count"), F.count_if(F.col("kind") == "hash").alias("exact_hash_overlap_count"), F.countDistinct("value").alias("overlap_count"))
-    out = counts.select("*", *[answers.select(c).scalar().alias(c) for c in answers.columns], few.scalar().alias("overlaps"))
+    out = counts.select("*", *[answers.select(c).scalar().alias(c) for c in answers.columns], few.scalar().alias("overlaps")).withColumn("examples", F.slice("overlaps", 1, 20))
     return out.withColumn("passed", (F.col("overlap_count") == 0) & (F.col("answer_like_count") == 0))
 
 

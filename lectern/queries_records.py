@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import hashes
 from lectern.functions.json import record_key
-from lectern.operators import effects, evidence, keys, predictions, projections, qc, release, splits, structure
+from lectern.operators import effects, evidence, keys, predictions, projections, qc, release, reports, splits, structure
+from lectern.plans import builds
 from lectern.queries import pick, query, table
 from lectern.runtime import scratch
 from lectern.schemas import TRACKS, validate, validation_report, without_nulls
@@ -493,3 +494,113 @@ def effect_cases(spark, sf):
     paths = one(F.struct(F.array(F.struct(F.collect_list(F.struct(ident("R").alias("stId"))).alias("entries"))).alias("results")), F.lit("peptide"))
     built = effects.effect_cases(120, effects.negative_cases(spark, 50), effects.label_cases(labels, nation.select(F.col("n_name").alias("query"), F.lit("cardiovascular").alias("category"))), effects.trial_cases(trials), effects.term_cases(terms), effects.pathway_cases(paths))
     return built.select("source_id", "evidence_level", "evidence_direction", "trial_phase")
+
+
+# Reports, curated tables and builds
+
+
+@query("""select c_custkey, case when c_custkey % 4 = 0 then 'high' else 'low' end as confidence, case when c_custkey % 4 = 1 then 'severe' when c_custkey % 4 = 2 then 'mild' else 'unknown' end as stability, case c_custkey % 4 when 0 then 10 when 1 then 11 when 2 then 10 else 11 end + (c_custkey % 4 = 3)::int as notes, case when c_custkey % 4 = 0 then 2 else 0 end::bigint as facts from customer""".replace("case c_custkey % 4 when 0 then 10 when 1 then 11 when 2 then 10 else 11 end + (c_custkey % 4 = 3)::int", "case c_custkey % 4 when 0 then 9 when 1 then 11 when 2 then 10 else 12 end::bigint"))
+def normalised_reports(spark, sf):
+    """PRJ45, PRJ46, PRJ47: reports in the template's shape, with notes on what was moved or defaulted."""
+    k = F.col("c_custkey")
+    payload = F.when(k % 4 == 0, '{"overall_confidence": " HIGH ", "known_source_backed_facts": ["a", 2]}').when(k % 4 == 1, '{"stability_risk": "severe"}').when(k % 4 == 2, '{"developability": {"stability_risk": "mild"}}').otherwise("[1]")
+    out = table(spark, sf, "customer").select("c_custkey", F.parse_json(payload).alias("payload")).select("c_custkey", reports.normalised().alias("x"))
+    r = "x.report"
+    return out.select("c_custkey", F.col(f"{r}.overall_confidence").alias("confidence"), F.col(f"{r}.developability.stability_risk").alias("stability"), big(F.size("x.notes")).alias("notes"), big(F.size(f"{r}.known_source_backed_facts")).alias("facts"))
+
+
+@query("""select c_custkey, unnest(case c_custkey % 3 when 0 then ['missing:' || t] else [] end) as error from customer, (values ('developability'), ('functional_assay_estimate'), ('human_effect_estimate'), ('known_source_backed_facts'), ('missing_evidence'), ('overall_confidence'), ('pose_contact_assessment'), ('recommended_next_assays'), ('structure_source_reference'), ('target_binding'), ('unsupported_claims')) v(t)
+union all select c_custkey, unnest(['type:overall_confidence:str', 'missing:pose_contact_assessment.notes', 'pose_contact_assessment.predicted_contacts.0:extra_fields:colour', 'missing:pose_contact_assessment.predicted_contacts.0.target_residue', 'type:pose_contact_assessment.predicted_contacts.1:dict']) from customer where c_custkey % 3 = 1""")
+def report_errors(spark, sf):
+    """PRJ49: what a report lacks of its template or has of another kind."""
+    import json
+
+    whole = {k: v if isinstance(v, (str, list)) else dict(v) for k, v in reports.TEMPLATE.items()}
+    bad = {**whole, "overall_confidence": 3, reports.POSE: {**{k: v for k, v in whole[reports.POSE].items() if k != "notes"}, "predicted_contacts": [{"peptide_residue": "B:1", "colour": "red"}, 4]}}
+    k = F.col("c_custkey")
+    payload = F.when(k % 3 == 0, "{}").when(k % 3 == 1, json.dumps(bad)).otherwise(json.dumps(whole))
+    return table(spark, sf, "customer").select("c_custkey", F.parse_json(payload).alias("payload")).select("c_custkey", F.explode(reports.report_errors()).alias("error"))
+
+
+@query("select 'human_effect' as track, 34::bigint as words, true as contract union all select 'binding_rank', 0, true union all select 'pose', 0, true union all select 'structure', 0, true")
+def output_contracts(spark, sf):
+    """EXT27, EXT30: what is asked of a model for each track, with the words of the closed domains, behind the last message."""
+    message = F.array(F.struct(F.lit("system").alias("role"), F.lit("s").alias("content")), F.struct(F.lit("user").alias("role"), F.lit("u").alias("content")))
+    parts = []
+    for track in ASKED_ORDER:
+        text = F.element_at(reports.with_contract(message, track), -1)["content"]
+        words = [w for name in reports.LISTED.get(track, ()) for w in reports.DOMAINS[name]]
+        found = sum((text.contains(w).cast("bigint") for w in words), F.lit(0).cast("bigint"))
+        parts.append(spark.range(1).select(F.lit(track).alias("track"), found.alias("words"), text.endswith(reports.ONLY_JSON).alias("contract")))
+    return keys.union_all(*parts)
+
+
+ASKED_ORDER = tuple(reports.ASKED)
+
+
+@query("""select 's' || c_custkey as benchmark_id, 'structure' as track, c_acctbal as number, null::bigint as items, null as second from customer where c_custkey % 3 = 0 union all select 's' || c_custkey, 'pose', 2.5, 1, 'B:2' from customer where c_custkey % 3 = 1 union all select 's' || c_custkey, 'binding_rank', 1.5, 2, 'i1' from customer where c_custkey % 3 = 2""")
+def curated_cases(spark, sf):
+    """PRJ8, PRJ9, PRJ10: curated CSV rows of structures, poses and panels: numbers, contacts and items parsed."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(k, F.concat(F.lit("s"), k).alias("benchmark_id"), text("c_acctbal").alias("resolution_angstrom"))
+    contacts = '[{"target_residue": "A:1", "peptide_residue": "B:1", "distance_angstrom": 2.5}]'
+    items = '[{"item_id": "i0", "measured_value": 1.5, "normalized_rank": 1}, {"item_id": "i1", "measured_value": 2, "normalized_rank": 0}]'
+    structure_rows = projections.prepare(rows.where(k % 3 == 0).drop("c_custkey"), "structure", "2024-01-01").select("benchmark_id", "track", F.col("resolution_angstrom").alias("number"), F.lit(None).cast("bigint").alias("items"), F.lit(None).cast("string").alias("second"))
+    pose_rows = projections.prepare(rows.where(k % 3 == 1).select("benchmark_id", F.lit(contacts).alias("native_contacts_json"), F.lit("B:1;B:2;").alias("binding_site_residues")), "pose", "2024-01-01").select("benchmark_id", "track", F.col("native_contacts")[0]["distance_angstrom"].alias("number"), big(F.size("native_contacts")).alias("items"), F.col("binding_site_residues")[1].alias("second"))
+    panel_rows = projections.prepare(rows.where(k % 3 == 2).select("benchmark_id", F.lit(items).alias("items_json")), "binding_rank", "2024-01-01").select("benchmark_id", "track", F.col("items")[0]["measured_value"].alias("number"), big(F.size("items")).alias("items"), F.col("items")[1]["item_id"].alias("second"))
+    return keys.union_all(structure_rows, pose_rows, panel_rows)
+
+
+@query("""with s as (select user_id::varchar as v from events intersect select c_custkey::varchar from customer) select count(*) as overlap_count, (select count(*) from events) as train_record_count, least(count(*), 200)::bigint as overlaps, least(count(*), 20)::bigint as examples, min(v) as first_value, count(*) = 0 as passed from s""")
+def leakage_reports(spark, sf):
+    """SRT9, CHK26: the report of a leakage check with its first overlaps."""
+    train = table(spark, sf, "events").select(text("user_id").alias("case_id"), F.lit("plain").alias("messages"))
+    bench = table(spark, sf, "customer").select(text("c_custkey").alias("benchmark_id"))
+    r = splits.leakage_report(train, bench)
+    return r.select("overlap_count", "train_record_count", big(F.size("overlaps")).alias("overlaps"), big(F.size("examples")).alias("examples"), F.col("overlaps")[0].alias("first_value"), "passed")
+
+
+@query("""select 'structure' as track, 0::bigint as n, 0::bigint as scanned union all select 'pose', (select count(*) from customer), (select count(*) from customer) union all select 'binding_rank', 0, 0 union all select 'human_effect', (select count(*) from supplier), (select count(*) from supplier)""")
+def built_release(spark, sf):
+    """GEN18, GEN19, SRC11, SNK15: a release written from cases, with its references, status and counts, and scanned again."""
+    root = scratch(spark, "build")
+    effect = table(spark, sf, "supplier").select(text("s_suppkey").alias("benchmark_id"), F.lit("human_effect").alias("track"), F.lit("dailymed").alias("source_database"), F.lit("bundled").alias("release_mode"))
+    counts = builds.write_release({"pose": _poses(spark, sf).drop("evidence_quote_or_label"), "human_effect": effect}, root)
+    scanned = files.read_release(spark, root).groupBy("track").agg(F.count(F.lit(1)).alias("scanned"))
+    return counts.join(scanned, "track", "left").na.fill(0, ["scanned"]).select("track", "n", "scanned")
+
+
+@query("select 25::bigint as members, true as sealed, 1::bigint as refused")
+def packaged_release(spark, sf):
+    """SNK9: an archive with its digest, refused while there are violations (a small folder of the driver's)."""
+    import hashlib
+    import tarfile
+    import tempfile
+    from pathlib import Path
+
+    none = spark.createDataFrame([], "scope string, message string")
+    with tempfile.TemporaryDirectory() as d:
+        for r in table(spark, sf, "nation").select("n_name").collect():  # 25 rows
+            sinks.write_text(f"{d}/release/{r.n_name}.jsonl", r.n_name)
+        digest = sinks.package(f"{d}/release", f"{d}/out.tar.gz", none)
+        with tarfile.open(f"{d}/out.tar.gz") as tar:
+            members = len(tar.getnames())
+        sealed = digest == hashlib.sha256(Path(d, "out.tar.gz").read_bytes()).hexdigest() and Path(d, "out.tar.gz.sha256").read_text().startswith(digest)
+        try:
+            sinks.package(f"{d}/release", f"{d}/no.tar.gz", spark.createDataFrame([("a", "b")], none.schema))
+            refused = 0
+        except ValueError:
+            refused = 1
+    return spark.createDataFrame([(members, sealed, refused)], "members bigint, sealed boolean, refused bigint")
+
+
+@query("select 'search' as what, n_name as id, n_nationkey::bigint as at from nation union all select 'entry', n_name, (n_nationkey % 3)::bigint from nation")
+def service_searches(spark, sf):
+    """SRC19, SRC20, SRC21, SRC30: ids that a search found, in its order, and the metadata of entries."""
+    nation = table(spark, sf, "nation")
+    one = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    answer = nation.agg(F.to_json(F.struct(F.transform(one, lambda x: F.struct(x["n_name"].alias("identifier"))).alias("result_set"))).alias("text"))
+    entity_ids = F.transform(F.slice(F.array(F.lit("1"), F.lit("2")), 1, F.col("n_nationkey") % 3), lambda x: x)
+    entries = nation.select(F.to_json(F.struct(F.col("n_name").alias("rcsb_id"), F.struct(entity_ids.alias("polymer_entity_ids")).alias("rcsb_entry_container_identifiers"))).alias("text"))
+    found = adapters.found_ids(answer).select(F.lit("search").alias("what"), F.col("pdb_id").alias("id"), big(F.col("ord")).alias("at"))
+    return found.union(adapters.entry_metadata(entries).select(F.lit("entry"), "pdb_id", big(F.size("entity_ids"))))

@@ -78,9 +78,9 @@ def cases_for_track(spark: SparkSession, release: str, track: str) -> DataFrame:
 
 
 def read_release(spark: SparkSession, release: str) -> DataFrame:
-    """(track, record) of every case file below a release, tracks in their fixed order."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "cases.jsonl").text(release)
-    track = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    """(track, record) of every case file below a release, whether ``cases.jsonl`` is a file or a folder of parts."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{cases.jsonl,part-*}").text(release)
+    track = F.regexp_extract("_metadata.file_path", r"/([^/]+)/cases\.jsonl(?:/part-[^/]*)?$", 1)
     return text.where(F.trim("value") != "").select(track.alias("track"), F.col("value").alias("record")).where(F.col("track").isin(*TRACKS))
 
 
