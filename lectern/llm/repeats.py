@@ -5,13 +5,15 @@ bytes in each run of ``length`` bytes picks an anchor, so equal strings of
 ``length`` bytes have equal anchors, and every such string belongs to exactly
 one anchor's window of starts. Then:
 
-1. Windows are counted by (anchor, content). Content that occurs twice is
-   repeated as a whole; groups of copies and common passages end here, in
-   aggregation, whatever their number.
-2. Of anchors with several contents, or found twice in one window, one window of
-   each content goes to a shard, by anchor. Shards have about ``SHARD`` bytes of text. A shard's suffixes are put
-   in order by induced sorting (``suffix``); neighbours whose common prefix has
-   ``length`` bytes are repeated.
+1. Equal windows are aggregated by (anchor, content): one stands for all of them,
+   with their number, before any text is sent; groups of copies and common
+   passages are one window, whatever their number. An anchor at one place only
+   can't hold a repeat.
+2. All other windows go to shards, by anchor. Shards have about ``SHARD`` bytes of
+   text. A shard's suffixes are put in order by induced sorting (``suffix``);
+   neighbours whose common prefix has ``length`` bytes are repeated, and so is a
+   suffix that stands for several. The windows found are joined with all equal
+   ones.
 3. Repeated starts become byte runs in their documents; only documents that have
    some are read again.
 
@@ -134,19 +136,20 @@ def _place(uid: np.ndarray) -> np.ndarray:
     return (_spark_hash(uid).view(np.int64) % np.int64(idset.BITS)).astype(np.int64)
 
 
-def repeated_starts(windows: list[tuple[bytes, int]], length: int = LENGTH) -> list[np.ndarray]:
-    """For windows (text, number of starts): which starts' strings of ``length`` bytes occur at another start."""
+def repeated_starts(windows: list[tuple[bytes, int]], length: int = LENGTH, many_times: list[bool] | None = None) -> list[np.ndarray]:
+    """For windows (text, number of starts): which starts' strings of ``length`` bytes occur at another start. A window that stands for several of equal content counts as often."""
     sizes = np.array([len(t) for t, _ in windows])
     text = np.zeros(int(sizes.sum()) + len(windows), dtype=np.uint16)
     begin = np.cumsum(sizes + 1) - sizes - 1
     text[kernel.ragged(begin, sizes)] = np.frombuffer(b"".join(t for t, _ in windows), dtype=np.uint8).astype(np.uint16) + 1
-    valid = np.zeros(len(text), dtype=bool)
-    valid[kernel.ragged(begin, np.array([m for _, m in windows]))] = True
+    starts = np.array([m for _, m in windows])
+    times = np.zeros(len(text), dtype=np.int8)  # of the suffixes that are starts; 2 for several
+    times[kernel.ragged(begin, starts)] = np.repeat(1 + np.array(many_times if many_times is not None else [False] * len(windows), dtype=np.int8), starts)
     order = suffix_order(text, length)
-    order = order[valid[order]].astype(np.int64)
+    order = order[times[order] > 0].astype(np.int64)
     prefix = kernel.span_sums(kernel.prefix_sums(text), order, order + length)
     common = np.append(False, prefix[1:] == prefix[:-1]) if len(order) else np.zeros(0, dtype=bool)
-    twice = np.zeros(len(text), dtype=bool)
+    twice = times > 1
     twice[order[common]] = True
     twice[order[:-1][common[1:]]] = True
     return [twice[b : b + m] for b, (_, m) in zip(begin.tolist(), windows, strict=True)]
@@ -159,50 +162,52 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranges(docs: DataFrame, seen: DataFrame, length: int) -> DataFrame:
     """(uid, n_bytes, first, many): ranges of repeated starts."""
+    place = ["key", "content", "check"]
     windows = seen.select("uid", "n_bytes", F.explode("windows").alias("w")).select("uid", "n_bytes", "w.*")
-    contents = cut(windows.groupBy("key", "content", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "many", "n_bytes", "twice")).alias("one")))
-    copies = windows.join(contents.where("n > 1").select("key", "content", "check"), ["key", "content", "check"], "left_semi").select("uid", "n_bytes", "first", "many")
-    keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.min("n").alias("least"), F.max(F.col("one.twice") & (F.col("n") == 1)).alias("inner"))
-    mixed = keys.where("contents > 1 and least = 1 or inner").select("key")
-    sent = cut(contents.join(mixed, "key", "left_semi").select("key", "n", "one.*"))
+    contents = cut(windows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "many", "n_bytes", "twice")).alias("one")))
+    keys = contents.groupBy("key").agg(F.sum("n").alias("places"), F.max("one.twice").alias("inner")).where("places > 1 or inner").select("key")
+    sent = cut(contents.join(keys, "key", "left_semi").select(*place, "n", "one.*"))
     total = sent.agg(F.coalesce(F.sum(F.col("many") + length), F.lit(0))).first()[0]
     if not total:
-        return copies
+        return windows.select("uid", "n_bytes", "first", "many").limit(0)
     shards = -(-total // SHARD)
-    wanted = sent.groupBy("uid", "n_bytes").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "first", "many", (F.col("n") == 1).alias("single"))).alias("cuts"))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    wanted = sent.groupBy("uid", "n_bytes").agg(F.collect_list(F.struct(shard, *place, (F.col("n") > 1).alias("many_times"), "first", "many")).alias("cuts"))
+    names = ["shard", *place, "many_times", "many", "text"]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                uid, text, n, cuts = (batch.column(j)[i] for j in range(4))
-                raw, cuts = memoryview(text.as_buffer()), cuts.values
-                shard, first, many, single = (cuts.field(j) for j in range(4))
-                pieces = [bytes(raw[a : a + m - 1 + length]) for a, m in zip(first.to_pylist(), many.to_pylist(), strict=True)]
-                rows = len(pieces)
-                yield pa.RecordBatch.from_arrays([shard, pa.array([uid.as_py()] * rows, pa.int64()), pa.array([n.as_py()] * rows, pa.int64()), first, many, single, pa.array(pieces, pa.binary())], ["shard", "uid", "n_bytes", "first", "many", "single", "text"])
+                raw, cuts = memoryview(batch.column(0)[i].as_buffer()), batch.column(1)[i].values
+                first, many = cuts.field(5).to_pylist(), cuts.field(6)
+                pieces = [bytes(raw[a : a + m - 1 + length]) for a, m in zip(first, many.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(cuts.field(j) for j in range(5)), many, pa.array(pieces, pa.binary())], names)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = [], None
 
         def ended() -> Iterator[pa.RecordBatch]:
-            found = [(uid, n, first + int(a), int(m)) for (uid, n, first, single), flags in zip([h[2:] for h in held], repeated_starts([h[:2] for h in held], length), strict=True) if single for a, m in zip(*_runs(flags), strict=True)]
+            found = []
+            for (_, many, key, content, check, many_times), flags in zip(held, repeated_starts([h[:2] for h in held], length, [h[5] for h in held]), strict=True):
+                found += [(key, content, check, int(a), int(m)) for a, m in zip(*_runs(flags), strict=True)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["uid", "n_bytes", "first", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (*[pa.int64()] * 3, *[pa.int32()] * 2), strict=True)], [*place, "after", "long"])
 
         for batch in batches:
-            for s, uid, n, first, many, single, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, key, content, check, many_times, many, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     if held:
                         yield from ended()
                     held, shard = [], s
-                held.append((text, many, uid, n, first, single))
+                held.append((text, many, key, content, check, many_times))
         if held:
             yield from ended()
 
     spread = max(1, min(shards, 4 * partitions(docs.sparkSession)))
-    pieces = _texts(docs, wanted).select("uid", "text", "n_bytes", "cuts").mapInArrow(cut_out, "shard int, uid long, n_bytes long, first int, many int, single boolean, text binary")
-    sorted_ = pieces.repartition(spread, "shard").sortWithinPartitions("shard").mapInArrow(sort, "uid long, n_bytes long, first int, many int")
-    return copies.unionByName(sorted_)
+    pieces = _texts(docs, wanted).select("text", "cuts").mapInArrow(cut_out, "shard int, key long, content long, check long, many_times boolean, many int, text binary")
+    task = (F.col("shard") * F.lit(spread) / F.lit(shards)).cast("int")
+    found = cut(pieces.withColumn("task", task).repartitionById(spread, "task").sortWithinPartitions("shard").drop("task").mapInArrow(sort, "key long, content long, check long, after int, long int"))
+    return windows.join(found, place).select("uid", "n_bytes", (F.col("first") + F.col("after")).alias("first"), F.col("long").alias("many"))
 
 
 def removed_runs(docs: DataFrame, seen: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -6,10 +6,9 @@ string, a third as long or less, comes from ranks of doubling depth. From it,
 two inductions put all suffixes in order: a sweep over the sorted suffixes sends
 each one's predecessor to the queue of its first character, so the queues are a
 priority queue of suffix tuples by (character, order of arrival) and each
-character's queue is already sorted when its turn comes. A queue keeps runs of
-tuples in memory up to a budget and then on disk, and is read back run by run.
-The text, what the sweeps sort and the order they give stay in memory, so a
-shard has to fit there.
+character's queue is already sorted when its turn comes. Queues, the sorted falls among them, keep runs of
+tuples in memory up to a budget and then on disk. The text and the order that
+comes out stay in memory, so a shard has to fit there.
 
 Order is exact to ``depth`` characters; suffixes that agree so far are
 neighbours in any order.
@@ -37,10 +36,18 @@ class Queues:
         if not len(position):
             return
         order = np.argsort(priority, kind="stable")
-        priority, position = priority[order], position[order]
-        cut = np.flatnonzero(np.append(True, priority[1:] != priority[:-1]))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(priority)).tolist(), strict=True):
-            self.runs[priority[a]].append(position[a:b])
+        position = position[order]
+        many = np.bincount(priority, minlength=len(self.runs))
+        end = many.cumsum().tolist()
+        for c in many.nonzero()[0].tolist():
+            self.runs[c].append(position[end[c - 1] if c else 0 : end[c]])
+        self.held += len(position)
+        if self.held > self.run:
+            self._spill()
+
+    def append(self, priority: int, position: np.ndarray) -> None:
+        """Push positions of one priority."""
+        self.runs[priority].append(position)
         self.held += len(position)
         if self.held > self.run:
             self._spill()
@@ -57,8 +64,8 @@ class Queues:
                     self.end += r.nbytes
         self.held = 0
 
-    def pop(self, priority: int) -> list[np.ndarray]:
-        """All runs of a priority, in order."""
+    def pop(self, priority: int) -> np.ndarray:
+        """All positions of a priority, in order of arrival."""
         out = []
         for r in self.runs[priority]:
             if isinstance(r, tuple):
@@ -68,7 +75,10 @@ class Queues:
                 self.held -= len(r)
             out.append(r)
         self.runs[priority] = []
-        return out
+        return np.concatenate(out) if len(out) > 1 else out[0] if out else _NONE
+
+
+_NONE = np.zeros(0, dtype=np.int32)
 
 
 def types_of(text: np.ndarray) -> np.ndarray:
@@ -85,51 +95,40 @@ def types_of(text: np.ndarray) -> np.ndarray:
 def induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, priorities: int) -> np.ndarray:
     """Order of all suffixes from LMS positions that are sorted (or, to sort their substrings, only grouped) by character."""
     n = len(text)
-    stars, falls = Queues(priorities), Queues(priorities)
+    stars, falls, rises = Queues(priorities), Queues(priorities), Queues(priorities)
     stars.push(text[lms], lms)
     if n and not s_type[n - 1]:
         falls.push(text[n - 1 : n], np.array([n - 1], dtype=lms.dtype))  # the end precedes all and induces the last suffix
-    sorted_falls: list[list[np.ndarray]] = [[] for _ in range(priorities)]
+    sorted_falls = Queues(priorities)
+
+    def sweep(run: np.ndarray, c: int, queue: Queues, wanted: bool) -> np.ndarray:
+        """Send the predecessors of the wanted type on; those that begin with c as well come back, to be swept next."""
+        before = run[run > 0] - 1
+        before = before[s_type[before] == wanted]
+        first = text[before]
+        same = first == c
+        queue.push(first[~same], before[~same])
+        return before[same]
+
     for c in range(priorities):
         todo = falls.pop(c)
-        while todo:
-            again = []
-            for run in todo:
-                sorted_falls[c].append(run)
-                before = run[run > 0] - 1
-                before = before[~s_type[before]]
-                first = text[before]
-                same = first == c
-                again.append(before[same])
-                falls.push(first[~same], before[~same])
-            todo = [r for r in again if len(r)]
-        for run in stars.pop(c):
-            before = run[run > 0] - 1
-            before = before[~s_type[before]]
-            falls.push(text[before], before)
-    rises = Queues(priorities)
+        while len(todo):
+            sorted_falls.append(c, todo)
+            todo = sweep(todo, c, falls, False)
+        last = stars.pop(c)
+        if len(last):
+            sweep(last, c, falls, False)
     out: list[np.ndarray] = []
     for c in range(priorities - 1, -1, -1):
         todo = rises.pop(c)
-        while todo:
-            again = []
-            for run in todo:
-                out.append(run)
-                before = run[run > 0] - 1
-                before = before[s_type[before]]
-                first = text[before]
-                same = first == c
-                again.append(before[same])
-                rises.push(first[~same], before[~same])
-            todo = [r for r in again if len(r)]
-        for run in reversed(sorted_falls[c]):
-            run = run[::-1]
-            out.append(run)
-            before = run[run > 0] - 1
-            before = before[s_type[before]]
-            rises.push(text[before], before)
-    order = np.concatenate(out)[::-1] if out else np.zeros(0, dtype=lms.dtype)
-    return order
+        while len(todo):
+            out.append(todo)
+            todo = sweep(todo, c, rises, True)
+        low = sorted_falls.pop(c)[::-1]
+        if len(low):
+            out.append(low)
+            sweep(low, c, rises, True)
+    return np.concatenate(out)[::-1] if out else np.zeros(0, dtype=lms.dtype)
 
 
 def _ranks(order: np.ndarray, same_as_previous: np.ndarray) -> np.ndarray:

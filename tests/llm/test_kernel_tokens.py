@@ -72,7 +72,19 @@ def test_queues_spill_to_disk(monkeypatch):
         for x, y in zip(c.tolist(), p.tolist(), strict=True):
             sent[x].append(y)
     assert q.file is not None
-    assert [np.concatenate(q.pop(c)).tolist() for c in range(4)] == sent
+    assert [q.pop(c).tolist() for c in range(4)] == sent
+
+
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=200))
+@settings(max_examples=40, deadline=None)
+def test_suffix_order_with_queues_on_disk(values):
+    text = np.array(values, dtype=np.uint16)
+    raw, whole = text.astype(np.uint8).tobytes(), suffix.Queues.__init__
+    suffix.Queues.__init__ = lambda self, priorities, run=3: whole(self, priorities, 3)
+    try:
+        assert suffix.suffix_order(text, 1 << 20).tolist() == sorted(range(len(values)), key=lambda i: raw[i:])
+    finally:
+        suffix.Queues.__init__ = whole
 
 
 def test_repeated_starts():
