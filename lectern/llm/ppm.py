@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import kernel
+from lectern.llm.grams import counted, least_kept, looked_up, merged, rare_of, sorted_table
 from lectern.llm.session import cut
 
 ORDER = 6
@@ -87,22 +88,6 @@ def line_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     return key[real], offs
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if len(keys) == 1:
-        return keys[0], counts[0]
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(n, first) if len(k) else n
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
 def _count(train: DataFrame, grams: bool, order: int = ORDER) -> DataFrame:
     """(key, n): counts of the deepest grams, or of words, over the whole training text."""
 
@@ -115,15 +100,15 @@ def _count(train: DataFrame, grams: bool, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for _, buf, offs in kernel.blocks(batch, "text", BLOCK):
                 start, end, first = kernel.words(buf, offs)
-                k, n = _counted(line_of(buf, start, end, first, order)[0] if grams else kernel.span_hashes(buf, start, end))
+                k, n = counted(line_of(buf, start, end, first, order)[0] if grams else kernel.span_hashes(buf, start, end))
                 keys.append(k)
                 counts.append(n)
                 held += len(buf)
                 if held > FLUSH:
-                    yield from out(*_merged(keys, counts))
+                    yield from out(*merged(keys, counts))
                     keys, counts, held = [], [], 0
         if keys:
-            yield from out(*_merged(keys, counts))
+            yield from out(*merged(keys, counts))
 
     return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -231,33 +216,17 @@ def _escapes(contexts: DataFrame) -> np.ndarray:
     return escape_table(*(alike.column(c).to_numpy() for c in ("n", "symbols", "once", "contexts")))
 
 
-def _least_kept(levels: list[DataFrame], column: str, most: int) -> int:
-    """Least count for which at most ``most`` rows have as much."""
-    steps = F.when(F.col(column) < 4096, F.col(column)).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(column)))).cast("long"))
-    sizes: dict[int, int] = {}
-    for level in levels:
-        for r in level.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect():  # 4,150 rows at most
-            sizes[r.step] = sizes.get(r.step, 0) + r.n
-    least, kept = 1 << 62, 0
-    for step in sorted(sizes, reverse=True):
-        kept += sizes[step]
-        if kept > most:
-            break
-        least = step
-    return least
-
-
 def train_trie(train: DataFrame, order: int = ORDER, most: int = CACHE) -> Trie:
     """The trie of a small training text (column text) in memory, pruned to ``most`` nodes."""
     levels = _levels(train, order)
-    least = _least_kept(levels, "raw", most)
+    least = least_kept(levels, "raw", most)
     nodes, contexts, escapes = [], [], []
     for level in levels:
         keep = F.col("raw") >= least
         by_context = _contexts(level, F.count_if(keep).alias("kept"))
         escapes.append(_escapes(by_context))
-        nodes.append(_sorted(level.where(keep).select("key", "c")))
-        contexts.append(_sorted(by_context.where("kept > 0").select("ctx", "total", "symbols")))
+        nodes.append(sorted_table(level.where(keep).select("key", "c")))
+        contexts.append(sorted_table(by_context.where("kept > 0").select("ctx", "total", "symbols")))
     return Trie(nodes, contexts, escapes)
 
 
@@ -313,31 +282,6 @@ def _half_octave(total: Column) -> Column:
     return F.when(total <= 16, total).otherwise(16 + F.floor(2 * F.log2(total)))
 
 
-def _sorted(df: DataFrame, kind: type = np.float32) -> tuple[np.ndarray, ...]:
-    """Columns as arrays in order of the first, the keys; a table of bounded size."""
-    found = df.toArrow()
-    key = found.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    return key[order], *(c.to_numpy().astype(kind)[order] for c in found.columns[1:])
-
-
-def _looked_up(keys: np.ndarray, codes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, cached) of each gram; 0 where it isn't cached."""
-    if not len(keys):
-        return np.zeros(len(grams)), np.zeros(len(grams), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-    cached = keys[at] == grams
-    return np.where(cached, codes[at], 0.0), cached
-
-
-def _rare(found: np.ndarray, each: np.ndarray, rare: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, times, offsets): each document's distinct grams among the rare ones."""
-    at = np.flatnonzero(rare[each])
-    doc = np.searchsorted(offs, at, side="right") - 1
-    pair, times = np.unique(doc * len(found) + each[at], return_counts=True)
-    return found[pair % max(len(found), 1)], times, np.searchsorted(pair, np.arange(len(offs)) * len(found))
-
-
 def score(docs: DataFrame, order: int = ORDER, cache: int = CACHE, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -347,10 +291,10 @@ def score(docs: DataFrame, order: int = ORDER, cache: int = CACHE, head: int = H
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = total.n + end, total.v + (end > 0)
     per_token = float(np.log10(n_train + n_types + 1))
-    least = _least_kept([words], "n", head)
-    head_keys, head_counts = _sorted(words.where(F.col("n") >= least), np.float64)
+    least = least_kept([words], "n", head)
+    head_keys, head_counts = sorted_table(words.where(F.col("n") >= least), np.float64)
     model = Model(train, order)
-    cached = _sorted(model.known.where(F.col("raw") >= _least_kept([model.known], "raw", cache)).select("key", "code"), np.float64)
+    cached = sorted_table(model.known.where(F.col("raw") >= least_kept([model.known], "raw", cache)).select("key", "code"), np.float64)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((*cached, head_keys, head_counts))
     end_score = float(np.log10(end + 1)) - per_token
@@ -363,10 +307,10 @@ def score(docs: DataFrame, order: int = ORDER, cache: int = CACHE, head: int = H
                 start, end_at, first = kernel.words(buf, offs)
                 grams, at = line_of(buf, start, end_at, first, order)
                 found, each = np.unique(grams, return_inverse=True)
-                code, cached = _looked_up(grams_known, codes, found)
+                code, cached = looked_up(grams_known, codes, found)
                 sums = np.zeros(len(grams) + 1)
                 np.cumsum(code[each], out=sums[1:])
-                rare, times, rare_cuts = _rare(found, each, ~cached, at)
+                rare, times, rare_cuts = rare_of(found, each, ~cached, at)
                 h = kernel.span_hashes(buf, start, end_at)
                 types, which = np.unique(h, return_inverse=True)
                 place = np.minimum(np.searchsorted(keys, types), max(len(keys) - 1, 0))

@@ -420,11 +420,53 @@ def test_markov_error_rates_on_samples_kept_aside(spark):
 # 9 quality
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    counts = rng.poisson(0.2, (5, 5, 5, 5)).astype(float)
-    p = np.exp(quality.kneser_ney(counts))
-    assert np.allclose(p.sum(axis=-1), 1.0) and (p > 0).all()
+def plain_kneser_ney(texts, order):
+    """{context: {byte: log p}} as a function of (context bytes, byte), counted with dictionaries."""
+    import collections
+    import math
+
+    counts = collections.Counter()
+    for t in texts:
+        padded = b"\0" * (order - 1) + t.encode()
+        counts.update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    levels = [counts]
+    while len(levels) < order:
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    tables = []
+    for c in reversed(levels):
+        d = quality.discounts([sum(v == i for v in c.values()) for i in range(1, 5)])
+        total, spare = collections.Counter(), collections.Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            spare[g[:-1]] += d[min(n, 3) - 1]
+        tables.append((c, d, total, spare))
+
+    def p(gram, size):
+        if not size:
+            return 1 / 256
+        c, d, total, spare = tables[size - 1]
+        low, ctx = p(gram, size - 1), gram[len(gram) - size : -1]
+        if not total[ctx]:
+            return low
+        n = c[gram[len(gram) - size :]]
+        return (n - (d[min(n, 3) - 1] if n else 0)) / total[ctx] + spare[ctx] / total[ctx] * low
+
+    return lambda gram: math.log(p(gram, order))
+
+
+@pytest.mark.parametrize("cache", [0, 200, 1 << 40])
+def test_kneser_ney_against_dictionaries(spark, cache):
+    texts = ["the cat sat on the mat", "a dog and a cat sat", "", "äöü the end", "the the the"]
+    others = [*texts[:2], "zebra quartz ß", None, "the dog sat on a mat", "日本"]
+    model = quality.Model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(others)], "doc_id long, text string, lang string")
+    code = plain_kneser_ney(texts, quality.ORDER)
+    found = {r.doc_id: r for r in quality.surprise(docs, model, cache).collect()}
+    for i, t in enumerate(others):
+        raw = b"\0" * (quality.ORDER - 1) + (t or "").encode()
+        want = -sum(code(raw[j : j + quality.ORDER]) for j in range(len(raw) - quality.ORDER + 1))
+        assert found[i].surprise == pytest.approx(want, abs=1e-9) and found[i].n_symbols == len((t or "").encode())
+    assert sum(np.exp(code(b"the" + bytes([b]))) for b in range(256)) == pytest.approx(1.0)
 
 
 def _labelled(spark):
@@ -463,11 +505,11 @@ def test_thresholds_are_quantiles_on_both_sides(spark):
     assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {d for d, r in found.items() if r.kept}
 
 
-@pytest.mark.parametrize("languages", [0, 10_000])
-def test_rows_are_judged_by_themselves(spark, monkeypatch, languages):
-    """Ids that are null or shared, however many languages there are."""
+@pytest.mark.parametrize("rows", [0, 10_000])
+def test_rows_are_judged_by_themselves(spark, monkeypatch, rows):
+    """Ids that are null or shared, however many rows go."""
     docs, labels = _labelled(spark)
-    monkeypatch.setattr(quality, "MOST_LANGUAGES", languages)
+    monkeypatch.setattr(quality, "FEW_ROWS", rows)
     assert quality.keep_good(docs, labels).count() == 84
     junk, clean = (docs.where(F.col("doc_id") == i).first().text for i in (100, 5))
     more = docs.unionByName(spark.createDataFrame([(5, junk, "en"), (None, junk, "en"), (None, clean, "en")], docs.schema))
