@@ -15,7 +15,9 @@ language's mean by ``PRIOR`` bytes so that a short text needs strong
 evidence. One in ``FOLDS`` trusted documents, by hash of its id, is kept from
 training, and these give the thresholds: a language's is the quantile
 ``QUANTILE`` of their scores (exact on a grid of 1e-3) plus ``MARGIN``, and
-alike on the other side, since text that surprises too little repeats itself.
+alike on the other side, since text that surprises too little repeats itself;
+that side is lowered by what trained text surprises less than text kept aside, so
+that trusted documents and their copies stay (it shrinks as text grows).
 With less than ``FEWEST`` of them a language takes these distances from its mean
 from all languages; with less than that in all, the quantile is estimated from
 their spread as well (Student's t) and the wider one counts.
@@ -205,6 +207,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, margin: float)
     known = scored.join(rest, "doc_id", "left_semi")
     mean = F.sum("surprise") / F.greatest(F.sum("n_symbols"), F.lit(1))
     overall = known.agg(F.coalesce(mean, F.lit(0.0)).alias("mean")).first()["mean"]
+    trained = scored.join(fit, "doc_id", "left_semi").agg(mean.alias("mean")).first()["mean"]
+    less = max(0.0, overall - (overall if trained is None else trained))
     means = known.groupBy("language").agg(mean.alias("mean"))
     known = known.join(means, "language").withColumn("score", _score(F.col("mean")))
     of_all = _limits(known.select(F.lit(0).alias("one"), "score"), quantile, margin, "one").first()
@@ -215,10 +219,10 @@ def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, margin: float)
     limits = means.join(_limits(known, quantile, margin, "language"), "language").select(
         "language",
         "mean",
-        F.when(enough, F.col("lowest")).otherwise(F.col("mean") + off.lowest).alias("lowest"),
+        (F.when(enough, F.col("lowest")).otherwise(F.col("mean") + off.lowest) - less).alias("lowest"),
         F.when(enough, F.col("threshold")).otherwise(F.col("mean") + off.threshold).alias("threshold"),
     )
-    return Fitted(scored, cut(limits, light=True), (overall, of_all.lowest, of_all.threshold))
+    return Fitted(scored, cut(limits, light=True), (overall, of_all.lowest - less, of_all.threshold))
 
 
 def _limits(scores: DataFrame, quantile: float, margin: float, by: str) -> DataFrame:
