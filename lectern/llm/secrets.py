@@ -40,7 +40,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_TOKEN = 20
 FOLDS, QUANTILE = 4, 0.999
 MARK = "[SECRET]"
-_CODES = 128
+_FIRST, _CODES = 43, 80  # the characters of a candidate, + to z
+_TRAINED: dict[str, "Model"] = {}
 
 #: Words of the ordinary identifiers among the default samples.
 WORDS = "get set user name file path data list item count index value config server client request response error message handler thread session cache buffer stream reader writer parser token event queue table column query result update delete insert select create remove start stop open close connect process memory number string object array length size total average maximum minimum first last next previous current default global local public private static class method function module package import export version release system network address port host domain account password login email phone street city country date time hour minute second month year service manager factory builder adapter provider context scope filter sort order group page link image video audio document".split()
@@ -63,7 +64,7 @@ def default_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 class Model(NamedTuple):
     """What the two Markov models say, and how they did on samples kept aside."""
 
-    ratios: list[float]  # log-likelihood ratio of successive characters, at 128 * first + second
+    ratios: list[float]  # log-likelihood ratio of successive characters a and b, at 80 * (a - 43) + b - 43, to 3 digits
     threshold: float
     found: float  # share of random samples at or above the threshold
     alarms: float  # share of ordinary ones
@@ -72,7 +73,7 @@ class Model(NamedTuple):
 def train(samples: DataFrame, quantile: float = QUANTILE) -> Model:
     """Both models (add-one smoothed) and the threshold, from labelled samples (sample, random).
 
-    Counted by group; at most 2 * 128**2 counts and two rows come to the driver.
+    Counted by group; at most 2 * 80**2 counts and two rows come to the driver.
     """
     known = samples.where(F.col("sample").isNotNull() & F.col("random").isNotNull()).select("sample", "random")
     aside = F.pmod(F.xxhash64(F.lit("aside"), "sample"), F.lit(FOLDS)) == 0
@@ -84,9 +85,17 @@ def train(samples: DataFrame, quantile: float = QUANTILE) -> Model:
     return Model(ratios, threshold, shares.get(True, 0.0), shares.get(False, 0.0))
 
 
+def default_model(spark: SparkSession) -> Model:
+    """The model of the default samples, trained once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _TRAINED:
+        _TRAINED[app] = train(default_samples(spark))
+    return _TRAINED[app]
+
+
 def _ratios(samples: DataFrame) -> list[float]:
-    chars = F.filter(F.split(F.col("sample"), ""), lambda c: (c != "") & (F.ascii(c) < _CODES) & (F.ascii(c) > 0))
-    codes = samples.select("random", F.transform(chars, F.ascii).alias("c"))
+    chars = F.filter(F.split(F.col("sample"), ""), lambda c: (c != "") & F.ascii(c).between(_FIRST, _FIRST + _CODES - 1))
+    codes = samples.select("random", F.transform(chars, lambda c: F.ascii(c) - _FIRST).alias("c"))
     pairs = codes.where(F.size("c") > 1).select("random", F.explode(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c") - 1).alias("b"))).alias("p")).groupBy("random", "p").agg(F.count(F.lit(1)).alias("n"))
     counts = {True: {}, False: {}}
     for r in pairs.collect():
@@ -94,13 +103,13 @@ def _ratios(samples: DataFrame) -> list[float]:
     used = 66  # characters that a candidate can have
     total = {k: [sum(v.get(a * _CODES + b, 0) for b in range(_CODES)) for a in range(_CODES)] for k, v in counts.items()}
     prob = lambda k, at: (counts[k].get(at, 0) + 1) / (total[k][at // _CODES] + used)
-    return [math.log(prob(True, at) / prob(False, at)) for at in range(_CODES * _CODES)]
+    return [round(math.log(prob(True, at) / prob(False, at)), 3) for at in range(_CODES * _CODES)]
 
 
 def best_part(token: Column, ratios: list[float]) -> Column:
     """(ratio, start, value) of an ASCII token: its stretch of greatest log-likelihood ratio, drawn out to the next marks; start counts from 0."""
     weights = F.lit(np.array(ratios, dtype=np.float64))
-    code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
+    code = lambda i: F.ascii(F.substr(token, i, F.lit(1))) - _FIRST
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(1).alias("since"), F.lit(0.0).alias("best"), F.lit(1).alias("first"), F.lit(0).alias("last"))
 
     def step(s: Column, i: Column) -> Column:
@@ -153,7 +162,7 @@ def _spans(df: DataFrame, kind: str, pattern: str, group: int, least: int, rank:
 
 def _scanned(texts: DataFrame, model: Model | None) -> DataFrame:
     """Adds array columns of spans to ``texts``, whose only columns are ``text`` and ``row``."""
-    model = train(default_samples(texts.sparkSession)) if model is None else model
+    model = default_model(texts.sparkSession) if model is None else model
     df = texts.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     for rank, (kind, (pattern, group, least)) in enumerate(BASE.items()):
         df = _spans(df, kind, pattern, group, least, rank)
@@ -167,7 +176,7 @@ def _scanned(texts: DataFrame, model: Model | None) -> DataFrame:
         return F.struct(start.alias("start"), s["rank"].alias("rank"), (start + F.length(s["part"]["value"])).alias("end"), s["part"]["value"].alias("value"))
 
     odd = F.filter(F.transform(likely, span), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("markov", F.when(F.size("markov") > 0, odd).otherwise(F.col("markov"))).withColumn("found", F.array_sort(F.concat(base, "markov")))
+    return df.withColumn("markov", odd).withColumn("found", F.array_sort(F.concat(base, "markov")))
 
 
 def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
