@@ -298,3 +298,16 @@ def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFram
         one = Window.partitionBy(ident, digest).orderBy(ident)
         left = left.withColumn("nth", F.when(F.col("n") > 1, F.row_number().over(one)).otherwise(1)).where("nth = 1")
     return left.select(*names).toDF(*docs.columns)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def near_duplicates_sql() -> str:
+    """``near_duplicates`` of ``documents`` in DuckDB SQL, for tables whose pairs with a common shingle are few enough to list."""
+    return f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] else list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+e as (select doc_id, unnest(s) as h from s), p as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * n >= 75 * (len(x.s) + len(y.s) - n)), u as (select a, b from l union select b, a from l),
+r(node, root) as (select doc_id, doc_id from s union select u.b, r.root from r join u on u.a = r.node), c as (select node, min(root) as component_id from r group by 1)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c on node = doc_id"""

@@ -58,7 +58,8 @@ QUANTILE, MARGIN = 0.999, 0.02
 FEWEST = 100
 FOLDS = 5
 GRID = 1e-3
-FLUSH = 1 << 21
+FLUSH = 1 << 19
+BLOCK = 1 << 18
 
 
 def ngram_keys(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -79,7 +80,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for batch in batches:
-            for _, buf, offs in kernel.blocks(batch, "text"):
+            for _, buf, offs in kernel.blocks(batch, "text", BLOCK):
                 k, n = counted(ngram_keys(buf, offs, order))
                 keys, counts, held = [*keys, k], [*counts, n], held + len(k)
                 if held > FLUSH:
@@ -160,7 +161,7 @@ def surprise(docs: DataFrame, model: Model, cache: int = CACHE) -> DataFrame:
         keys, codes = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part, buf, offs in kernel.blocks(batch, "text"):
+            for part, buf, offs in kernel.blocks(batch, "text", BLOCK):
                 found, each = np.unique(ngram_keys(buf, offs), return_inverse=True)
                 code, known = looked_up(keys, codes, found)
                 sums = np.zeros(len(buf) + 1)

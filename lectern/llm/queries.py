@@ -69,4 +69,4 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_reputation": reputation.judge_urls_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": near.near_duplicates_sql(), "op4_suffix_dedup": repeats.remove_repeats_sql(), "op5_url_reputation": reputation.judge_urls_sql()}

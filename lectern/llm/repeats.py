@@ -243,3 +243,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     out = seen.drop("windows").join(stripped, "uid", "left")
     kept = [F.col("kept")] if with_text else []
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("digest", "sha256").alias("kept_sha256"), *kept)
+
+
+def remove_repeats_sql() -> str:
+    """``remove_repeats`` of ``documents`` in DuckDB SQL: every string of 400 bytes by its digest, for small tables."""
+    return """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents), w as (select doc_id, i, hash(substring(h, 2 * i + 1, 800)) as m from (select doc_id, h, unnest(range(0, greatest(n - 399, 0))) as i from d)),
+f as (select m from w group by 1 having count(*) > 1), v as (select doc_id, i, md5(substring(h, 2 * i + 1, 800)) as m from (select doc_id, i from w semi join f using (m)) join d using (doc_id)),
+c as (select m from v group by 1 having count(*) > 1), g as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from v semi join c using (m)), k as (select doc_id, i, sum(case when gap <= 400 then 0 else 1 end) over (partition by doc_id order by i) as run from g),
+r as (select doc_id, run, min(i) as a, max(i) + 400 as b from k group by 1, 2), q as (select doc_id, h, n, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before, row_number() over (partition by doc_id order by a desc) as last from d left join r using (doc_id)),
+o as (select doc_id, any_value(n) as n, count(a) as spans, coalesce(sum(b - a), 0) as gone, string_agg(case when a is null then h else h[2 * before + 1:2 * a] || case when last = 1 then h[2 * b + 1:] else '' end end, '' order by a) as left_ from q group by 1)
+select doc_id, n::bigint as n_bytes, gone::bigint as n_removed, spans::bigint as n_spans, sha256(unhex(left_)) as kept_sha256 from o"""

@@ -83,6 +83,26 @@ def test_empty_tables_pass_every_stage(spark, corpus):
         assert out.count() == 0, name
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    where = "/root/testdata/sf0.001"
+    if not os.path.isdir(where):
+        pytest.skip("the driver's tables are not here")
+    con = duckdb.connect()
+    for p in glob.glob(f"{where}/*.parquet"):
+        con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    got = queries.QUERIES[name](spark, where).collect()
+    want = con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    rows = [tuple(str(dict(zip(want.columns, r, strict=True))[c]) for c in columns) for r in want.fetchall()]
+    assert sorted(got[0].asDict()) == columns and sorted(tuple(str(r[c]) for c in columns) for r in got) == sorted(rows)
+
+
 def test_registered_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
