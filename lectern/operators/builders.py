@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.mersenne import Stream
 from lectern.functions.numbers import model_price
 from lectern.functions.text import clean_sequence, joined_lower, number_in_markup
 from lectern.operators.evidence import UNSUPPORTED
 from lectern.operators.keys import first_by, union_all, with_order
+from lectern.operators.ordering import positions, running
 
 SEED = 13
 NONE = "no_known_human_effect_evidence"
@@ -50,32 +51,24 @@ def _base(model: str) -> list[Column]:
 def seeded_scores(cases: DataFrame, seed: int = SEED) -> DataFrame:
     """(benchmark_id, scores): one number an item from one seeded stream (Mersenne Twister) that runs through the cases in their order.
 
-    A task draws its own part: the driver counts the items of each partition, a
-    row a partition, and hands every task the generator's state where it begins.
+    How many items lie before a case is a running sum over fixed bounds; a task
+    jumps to its first case's place in the stream and draws on from there. A
+    case without items, or with null ones, has an empty list and moves nothing.
     """
-    spark = cases.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = with_order(cases).select("ord", "benchmark_id", F.transform("items", lambda i: i["item_id"]).alias("ids")).repartitionByRange(n, "ord").sortWithinPartitions("ord")
-    counts = {r.part: r.n for r in placed.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.size("ids")).alias("n")).collect()}
-    kind, words, _ = random.Random(seed).getstate()
-    stream, states = np.random.RandomState(), {}
-    stream.set_state(("MT19937", np.array(words[:-1], dtype=np.uint32), words[-1]))
-    for part in sorted(counts):
-        states[part] = stream.get_state()
-        for first in range(0, counts[part], 1 << 20):
-            stream.random_sample(min(1 << 20, counts[part] - first))
-    shared = spark.sparkContext.broadcast(states)
+    rows = with_order(cases).select("ord", "benchmark_id", F.transform("items", lambda i: i["item_id"]).alias("ids"))
+    placed = running(rows, ["ord"], "start", F.coalesce(F.size("ids"), F.lit(0))).select("benchmark_id", "ids", "start")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.random.RandomState()
-        own.set_state(shared.value.get(TaskContext.get().partitionId(), own.get_state()))
+        stream = Stream(seed)
         for b in batches:
-            ids = b.column(2)
-            items = ids.flatten()
-            at = np.append(0, np.cumsum([len(x) for x in ids]))
-            rank = np.arange(len(items)) - np.repeat(at[:-1], np.diff(at)) + 1
-            scores = pa.StructArray.from_arrays([items, pa.array(own.random_sample(len(items))), pa.array(rank.astype(np.int32))], ["item_id", "score", "rank"])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), scores)], ["benchmark_id", "scores"])
+            ids, start = b.column(1), b.column(2).to_numpy()
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
+            items, at = ids.flatten(), np.append(0, np.cumsum(sizes))
+            breaks = [0, *(np.flatnonzero(start[1:] != start[:-1] + sizes[:-1]) + 1).tolist(), len(start)]
+            drawn = np.concatenate([np.zeros(0), *[stream.draw(int(start[i]), int(at[j] - at[i])) for i, j in zip(breaks, breaks[1:], strict=False) if at[j] > at[i]]])
+            rank = np.arange(len(items)) - np.repeat(at[:-1], sizes) + 1
+            scores = pa.StructArray.from_arrays([items, pa.array(drawn), pa.array(rank.astype(np.int32))], ["item_id", "score", "rank"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), scores)], ["benchmark_id", "scores"])
 
     return placed.mapInArrow(draw, "benchmark_id string, scores array<struct<item_id:string,score:double,rank:int>>")
 
@@ -131,8 +124,6 @@ def structure_cases(entities: DataFrame, least: int = 2, most: int = 50) -> Data
     seq = clean_sequence(F.col("sequence"))
     short = entities.where(F.lower("kind").contains("polypeptide(l)")).withColumn("chain_id", chain).withColumn("sequence", seq).where(F.length("sequence").between(least, most))
     one = first_by(short, ["pdb_id", "entity_id", "chain_id"])
-    from lectern.operators.splits import positions
-
     return positions(one, ["ord"], "at").withColumn("benchmark_id", F.format_string("CASE-STRUCT-%05d", (F.col("at") + 1).cast("int"))).drop("at")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.keys import union_all, with_order
 from lectern.operators.projections import envelope
-from lectern.operators.splits import positions
+from lectern.operators.ordering import positions
 
 NO_EFFECT = "no_known_human_effect_evidence"
 # What a record of each source can show (evidence level, direction, claim status, safety status, evidence type).

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from lectern.functions.hashes import source_hash
 from lectern.functions.text import options
+from lectern.operators.ordering import positions
 from lectern.operators.splits import case_split
 
 # Gold and QC fields that no model input may hold, and the columns that each mode and track shows.
@@ -78,8 +79,6 @@ def prompts(sanitized: DataFrame, track: str, instructions: str, size: int | Non
     user = lambda text: F.struct(F.lit("user").alias("role"), text.alias("content"))
     if size is None:
         return sanitized.select("benchmark_id", F.array(system, user(F.concat(F.lit(f"Track: {track}. Case: "), record))).alias("messages"))
-    from lectern.operators.splits import positions
-
     packed = positions(sanitized.select("benchmark_id", record.alias("record")), ["benchmark_id"]).groupBy(F.floor(F.col("position") / size).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("position", "benchmark_id", "record"))).alias("c"))
     text = F.concat(F.lit(f"Track: {track}. Cases: ["), F.array_join(F.transform("c", lambda x: x["record"]), ","), F.lit("]"))
     return packed.select("chunk", F.transform("c", lambda x: x["benchmark_id"]).alias("benchmark_ids"), F.array(system, user(text)).alias("messages"))

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import token_estimate
 from lectern.functions.text import answer_like
+from lectern.operators.ordering import positions
 
 ID_KEYS = ("benchmark_id", "case_id", "source_id", "source_ids", "panel_id", "target_id", "item_id")
 HASH_KEYS = ("processed_record_hash", "source_record_hash", "record_hash", "case_hash", "hash")
 EVAL_SPLITS = ("test", "dev", "validation", "valid", "eval", "holdout")
 
 
-def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """0-based position of each row in a total order, without a single task for all rows.
-
-    Rows are sorted by range partitions; positions inside a partition are added
-    to what the partitions before it hold. Their number is stated, so that it is
-    the same where rows are numbered and where they are counted.
-    """
-    placed = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    counts = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
-
-
 def split_by_position(position: Column) -> Column:
     """7 of 10 rows train, 2 dev, 1 test."""
     at = position % 10

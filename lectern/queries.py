@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import numbers, text
 from lectern.functions.json import extraction, message_content
-from lectern.operators import builders, evidence, keys, leaderboard, projections, qc, ranking, release, retries, splits, structure
+from lectern.operators import builders, evidence, keys, leaderboard, ordering, projections, qc, ranking, release, retries, splits, structure
 from lectern.runtime import ship
 from lectern.schemas import DOMAINS, missing, quote_too_long
 
@@ -318,10 +318,23 @@ def token_cost(spark, sf):
 @query("select o_orderkey, case when (rn - 1) % 10 < 7 then 'train' when (rn - 1) % 10 < 9 then 'dev' else 'test' end as split from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as rn from orders)")
 def index_split(spark, sf):
     """WIN5: split by position, positions from range partitions."""
-    at = splits.positions(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+    at = ordering.positions(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
     return at.select("o_orderkey", splits.split_by_position(F.col("position")).alias("split"))
 
 
+@query("select *, row_number() over (order by o_orderdate, o_orderkey) - 1 as position from orders")
+def order_positions(spark, sf):
+    """WIN4, WIN5: positions in a total order with every column kept, from bounds that are drawn once."""
+    return ordering.positions(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"])
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag, l_shipdate, row_number() over (partition by l_returnflag order by l_shipdate, l_orderkey, l_linenumber) - 1 as position from lineitem")
+def group_positions(spark, sf):
+    """WIN4, WIN5: positions within groups of any size, a third of all rows and more in one."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    return ordering.positions_within(rows, "l_returnflag", ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
 @query("select doc_id, case when rn <= floor(n * 0.1) then 'dev' when rn <= 2 * floor(n * 0.1) then 'holdout' else 'train' end as split from (select doc_id, row_number() over (order by sha256('7:' || doc_id), doc_id) as rn, count(*) over () as n from documents)")
 def seeded_split(spark, sf):
     """WIN6: exact shares of a seeded order."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import hashes
 from lectern.functions.json import record_key
-from lectern.operators import effects, evidence, keys, predictions, projections, qc, release, reports, splits, structure
+from lectern.operators import effects, evidence, keys, ordering, predictions, projections, qc, release, reports, splits, structure
 from lectern.plans import builds
 from lectern.queries import pick, query, table
 from lectern.runtime import scratch
@@ -117,7 +117,7 @@ def model_lists(spark, sf):
 def written_splits(spark, sf):
     """SNK5, SRC10, WIN5: a folder a split, read back."""
     where = scratch(spark, "splits")
-    at = splits.positions(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
+    at = ordering.positions(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
     sinks.write_splits(at.select("c_custkey", splits.split_by_position(F.col("position")).alias("split")), where)
     return spark.read.schema("c_custkey bigint, split string").json(where).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 

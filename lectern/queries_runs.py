@@ -275,20 +275,27 @@ def pose_baselines(spark, sf):
     return cases.join(first, "benchmark_id").join(none, "benchmark_id").join(low, "benchmark_id").select("benchmark_id", big(F.size("native_contacts")).alias("contacts"), big(F.col("b")).alias("baseline"), big(F.col("f")).alias("fallback"), F.col("confidence").cast("double").alias("confidence"))
 
 
-def first_draws(seed: int, n: int) -> list[float]:
-    """The first numbers of the seeded stream, for the SQL form."""
+def seeded_stream_sql(seed: int, numbers: str) -> str:
+    """Common tables of DuckDB SQL that end with ``stream`` (nth, score): the first numbers of the seeded stream, from its definition word by word; ``numbers`` is a query of how many."""
     import random
 
-    stream = random.Random(seed)
-    return [stream.random() for _ in range(n)]
+    state = ", ".join(map(str, random.Random(seed).getstate()[1][:-1]))
+    twist = lambda high, low: f"xor(((({high}) & 2147483648) | (({low}) & 2147483647)) >> 1, (({low}) & 1) * 2567483615)"
+    part = lambda first, last, known: f"list_transform(range({first}, {last}), lambda k: xor({twist('x[k + 1]', 'x[k + 2]')}, {known}))"
+    return f"""recursive states as (select 0 as step, [{state}]::bigint[] as x union all
+select step + 1, list_concat(a, b, c, [xor({twist("x[624]", "a[1]")}, b[170])]) from (select *, {part(454, 623, "b[k - 453]")} as c from (select *, {part(227, 454, "a[k - 226]")} as b from (select *, {part(0, 227, "x[k + 398]")} as a from states))) where step <= ({numbers}) // 312),
+raw as (select (step - 1) * 624 + i - 1 as nth, x[i] as y from states, range(1, 625) r(i) where step > 0),
+t1 as (select nth, xor(y, y >> 11) as y from raw), t2 as (select nth, xor(y, (y << 7) & 2636928640) as y from t1), t3 as (select nth, xor(y, (y << 15) & 4022730752) as y from t2), t4 as (select nth, xor(y, y >> 18) as y from t3),
+stream as (select nth // 2 as nth, (max(y >> 5) filter (nth % 2 = 0) * 67108864 + max(y >> 6) filter (nth % 2 = 1)) / 9007199254740992 as score from t4 group by nth // 2)"""
 
 
-@query(f"with d as (select unnest(generate_series(1, 50)) as nth, unnest({first_draws(builders.SEED, 50)}::double[]) as score) select n_nationkey::varchar as benchmark_id, 'i' || i as item_id, score from nation, (values (0), (1)) v(i) join d on nth = 2 * n_nationkey + i + 1")
+@query(f"""with {seeded_stream_sql(builders.SEED, "select count(*) from lineitem")}, items as (select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) - 1 as nth from lineitem)
+select l_orderkey::varchar as benchmark_id, 'i' || l_linenumber as item_id, score, (nth - min(nth) over (partition by l_orderkey) + 1)::integer as rank from items join stream using (nth)""")
 def seeded_scores(spark, sf):
-    """GEN4: one seeded stream of scores through the panels in order."""
-    items = F.array(*[F.struct(F.lit(f"i{i}").alias("item_id")) for i in range(2)])
-    cases = table(spark, sf, "nation").select(text("n_nationkey").alias("benchmark_id"), F.lit("binding_rank").alias("track"), items.alias("items"), F.col("n_nationkey").alias("ord"))
-    return builders.baseline(cases, "binding_rank").select("benchmark_id", F.explode("scores").alias("s")).select("benchmark_id", "s.item_id", "s.score")
+    """GEN4: one seeded stream of scores through all orders as panels, by key, a number a line."""
+    items = F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.struct(F.concat(F.lit("i"), n.cast("string")).alias("item_id")))
+    cases = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(items.alias("items")).select(text("l_orderkey").alias("benchmark_id"), F.lit("binding_rank").alias("track"), "items", F.col("l_orderkey").alias("ord"))
+    return builders.baseline(cases, "binding_rank").select("benchmark_id", F.explode("scores").alias("s")).select("benchmark_id", "s.*")
 
 
 @query("""with e as (select p_partkey as k, 'E' || p_partkey % 40 as pdb, (p_partkey % 3)::varchar as entity, 'C' as chain, 2 + p_partkey % 60 as n from part), f as (select pdb, entity, chain, min(k) as k from e where n between 2 and 50 group by all) select 'CASE-STRUCT-' || lpad(row_number() over (order by k)::varchar, 5, '0') as benchmark_id, pdb as pdb_id, entity as entity_id from f""")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lectern.operators.ordering import positions
+
 Fetch = Callable[[str, bytes | None, int], str]
 
 # Public endpoints.
@@ -87,8 +89,6 @@ ENTRIES = "data struct<entries:array<struct<rcsb_id:string,polymer_entities:arra
 
 def entry_batches(ids: DataFrame, size: int = BATCH) -> DataFrame:
     """(batch, ids, body): entry ids (pdb_id) in batches of ``size`` with the GraphQL body that asks for them."""
-    from lectern.operators.splits import positions
-
     batch = F.floor(F.col("at") / size).alias("batch")
     packed = positions(ids.select(F.upper("pdb_id").alias("pdb_id")).distinct(), ["pdb_id"], "at").groupBy(batch).agg(F.array_sort(F.collect_list("pdb_id")).alias("ids"))
     query = F.concat(F.lit("{ entries(entry_ids: "), F.to_json("ids"), F.lit(") { " + ENTRY_FIELDS + " } }"))

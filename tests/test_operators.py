@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.operators import builders, effects, evidence, keys, leaderboard, predictions, projections, qc, ranking, release, retries, splits, structure
+from lectern.operators import builders, effects, evidence, keys, leaderboard, ordering, predictions, projections, qc, ranking, release, retries, splits, structure
 from lectern.plans import model_runs, workflows
 from lectern.schemas import case_schema, prediction_schema
 from lectern.sources import adapters
@@ -183,7 +183,7 @@ def test_leakage(spark):
 
 def test_splits(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1000)
-    at = splits.positions(df, ["k"]).orderBy("k").collect()
+    at = ordering.positions(df, ["k"]).orderBy("k").collect()
     assert [r.position for r in at] == list(range(1000))
     share = {r.split: r.n for r in splits.seeded_split(df, "id").groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert share == {"dev": 100, "holdout": 100, "train": 800}
