@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, fingerprint, near, packing, ppm, quality, repeats, reputation, secrets, shards
+from lectern.llm import clusters, decontaminate, fingerprint, licenses, merkle, near, packing, ppm, quality, repeats, reputation, secrets, shards
 from lectern.llm.session import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_shards": op1_token_shards,
     "op2_decontamination": op2_decontamination,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": near.near_duplicates_sql(), "op4_suffix_dedup": repeats.remove_repeats_sql(), "op5_url_reputation": reputation.judge_urls_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": near.near_duplicates_sql(), "op4_suffix_dedup": repeats.remove_repeats_sql(), "op5_url_reputation": reputation.judge_urls_sql(), "op11_license_scan": licenses.report_sql(), "op12_merkle_manifest": merkle.verified_sql(), "op13_centroid_clusters": clusters.clustered_sql()}
