@@ -15,6 +15,7 @@ from lectern.functions.numbers import model_price
 from lectern.functions.text import clean_sequence, joined_lower, number_in_markup
 from lectern.operators.evidence import UNSUPPORTED
 from lectern.operators.keys import first_by, union_all, with_order
+from lectern.operators.large_panels import first_rows
 from lectern.operators.ordering import positions, running
 
 SEED = 13
@@ -112,8 +113,9 @@ def panels(rows: DataFrame, least: int = 5, most: int = 10) -> DataFrame:
     """
     clean = rows.withColumn("sequence", clean_sequence(F.col("sequence"))).withColumn("measured_value", number_in_markup(F.col("measure").cast("string"))).where("sequence <> '' and measured_value is not null")
     one = first_by(clean, ["allele", "assay", "sequence"])
-    w = Window.partitionBy("allele", "assay")
-    few = one.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= least).withColumn("place", F.row_number().over(w.orderBy("ord"))).where(F.col("place") <= most)
+    sizes = one.groupBy("allele", "assay").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    few = first_rows(one, ["allele", "assay"], [F.col("ord")], most, "place").join(sizes, ["allele", "assay"])
+    w = Window.partitionBy("allele", "assay")  # at most ``most`` rows from here on
     ranked = few.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("rank", F.rank().over(w.orderBy("measured_value")))
     return ranked.withColumn("normalized_rank", 1 - (F.col("rank") - 1) / F.greatest(F.col("size") - 1, F.lit(1))).select("allele", "assay", "sequence", "measured_value", "rank", "normalized_rank", "place")
 

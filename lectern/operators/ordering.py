@@ -69,15 +69,21 @@ def positions(df: DataFrame, order: list[str], name: str = "position", parts: in
 
 
 def positions_within(df: DataFrame, by: str, order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
-    """0-based position of each row among those that share ``by`` (not null), in the order of ``order``, however many share it.
+    """0-based position of each row among those that share ``by`` (not null), in the order of ``order``, however many share it."""
+    return running_within(df, by, order, name, None, parts)
+
+
+def running_within(df: DataFrame, by: str, order: list[str], name: str, weight: Column | None = None, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``weight`` (1 where not given) over the rows before a row among those that share ``by`` (not null), however many share it.
 
     Rows are placed by (by, order). Only a bucket's first group can begin in a
-    bucket before it; how many rows of it lie there is found from the first and
-    last groups of the buckets, a row each, on the driver.
+    bucket before it; what of it lies there is found from the first and last
+    groups of the buckets, a row each, on the driver.
     """
-    placed, parts = bucketed(df, [by, *order], parts)
+    weight = F.lit(1) if weight is None else weight
+    placed, parts = bucketed(df.withColumn("_ordering_weight", weight.cast("long")), [by, *order], parts)
     group = F.col(f"`{by}`")
-    sizes = placed.groupBy(BUCKET, group.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy(BUCKET, group.alias("g")).agg(F.sum("_ordering_weight").alias("n"))
     ends = sizes.groupBy(BUCKET).agg(F.to_json(F.struct(F.min("g").alias("g"))).alias("first"), F.to_json(F.struct(F.max("g").alias("g"))).alias("last"), F.max_by("n", "g").alias("n"))
     edges = {r[0]: r for r in ends.collect()}
     groups, before, last, held = [], [], None, 0
@@ -90,6 +96,7 @@ def positions_within(df: DataFrame, by: str, order: list[str], name: str = "posi
             held = edge.n + (held if goes_on and edge.first == edge.last else 0)
             last = edge.last
     begun = F.get(_constant(groups, StructType([StructField("g", df.schema[by].dataType)])), F.col(BUCKET))["g"]
-    w = Window.partitionBy(BUCKET, group).orderBy(*[F.col(f"`{c}`") for c in order])
+    w = Window.partitionBy(BUCKET, group).orderBy(*[F.col(f"`{c}`") for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     carried = F.when(group == begun, F.get(F.lit(before).cast("array<long>"), F.col(BUCKET))).otherwise(0)
-    return placed.repartitionById(parts, F.col(BUCKET)).withColumn(name, F.row_number().over(w) - 1 + carried).drop(BUCKET)
+    inside = F.coalesce(F.sum("_ordering_weight").over(w), F.lit(0))
+    return placed.repartitionById(parts, F.col(BUCKET)).withColumn(name, inside + carried).drop(BUCKET, "_ordering_weight")

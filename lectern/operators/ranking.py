@@ -2,18 +2,24 @@
 
 Items come as rows (panel, item, gold, pred). A panel's items are gathered once
 and pairs are counted inside the row, so no pair becomes a row; panels beyond
-``SMALL`` items are counted by merging in O(n log n).
+``SMALL`` items are counted by merging in O(n log n). Panels of more than
+``LARGE`` items, which no task should hold, go through ``large_panels``; which
+they are is counted first. Both ways give the same figures.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-SMALL = 512
+from lectern.operators import large_panels
+
+SMALL, LARGE = 512, 50_000
 
 
 def strength(value: Column, direction: Column) -> Column:
@@ -31,8 +37,31 @@ def correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))), F.lit(0.0))
 
 
+def by_size(items: DataFrame, by: list[str], large: int = LARGE) -> tuple[DataFrame, DataFrame | None]:
+    """(items of panels up to ``large`` items, items of the others or None); keys of at most a ``large``-th of the rows are collected and broadcast."""
+    sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(*by)
+    found = sizes.collect()
+    if not found:
+        return items, None
+    keys = F.broadcast(items.sparkSession.createDataFrame(found, sizes.schema).toDF(*[f"_{c}" for c in by]))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return items.join(keys, same, "left_anti"), items.join(keys, same, "left_semi")
+
+
+def _either(parts: tuple[DataFrame, DataFrame | None], small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return small(parts[0]) if parts[1] is None else small(parts[0]).unionByName(large(parts[1]))
+
+
 def spearman(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, spearman) of each panel."""
+    return _spearman(by_size(items, by), by)
+
+
+def _spearman(parts: tuple[DataFrame, DataFrame | None], by: list[str]) -> DataFrame:
+    return _either(parts, lambda small: _small_spearman(small, by), lambda large: large_panels.spearman(large, by))
+
+
+def _small_spearman(items: DataFrame, by: list[str]) -> DataFrame:
     ranked = items.withColumn("_g", average_rank("gold", by)).withColumn("_p", average_rank("pred", by))
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("_g"), F.col("_p")).alias("spearman"))
 
@@ -75,24 +104,41 @@ def _pairs_in_row(items: Column) -> Column:
 
 def pair_metrics(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, concordant, discordant, kendall_tau, pairwise_accuracy): pairs tied in gold or prediction are left out of Kendall's; accuracy counts pairs that gold and prediction both order."""
+    return _pair_metrics(by_size(items, by), by)
+
+
+def _pair_metrics(parts: tuple[DataFrame, DataFrame | None], by: list[str]) -> DataFrame:
+    both = _either(parts, lambda small: _small_pairs(small, by), lambda large: large_panels.pairs(large, by))
+    untied = F.col("concordant") + F.col("discordant")
+    return both.withColumn("kendall_tau", F.coalesce(F.try_divide(F.col("concordant") - F.col("discordant"), untied), F.lit(0.0))).withColumn("pairwise_accuracy", F.coalesce(F.try_divide(F.col("concordant"), untied), F.lit(0.0)))
+
+
+def _small_pairs(items: DataFrame, by: list[str]) -> DataFrame:
     packed = items.where("gold is not null and pred is not null").groupBy(*by).agg(F.collect_list(F.struct(F.col("gold").cast("double").alias("g"), F.col("pred").cast("double").alias("p"))).alias("_items"))
     small = packed.where(F.size("_items") <= SMALL).withColumn("_c", _pairs_in_row(F.col("_items")))
     large = packed.where(F.size("_items") > SMALL).withColumn("_c", merged_pairs("_items"))
-    both = small.select(*by, "_c.*").unionByName(large.select(*by, "_c.*"))
-    untied = F.col("concordant") + F.col("discordant")
-    return both.withColumn("kendall_tau", F.coalesce(F.try_divide(F.col("concordant") - F.col("discordant"), untied), F.lit(0.0))).withColumn("pairwise_accuracy", F.coalesce(F.try_divide(F.col("concordant"), untied), F.lit(0.0)))
+    return small.select(*by, "_c.*").unionByName(large.select(*by, "_c.*"))
 
 
 def top_k(items: DataFrame, by: list[str], k: int = 1, item: str = "item") -> DataFrame:
     """(by, enrichment): share of the k strongest items by gold among the k best by prediction, k at most the panel's size; ties go by item id."""
+    return _top_k(by_size(items, by), by, k, item)
+
+
+def _top_k(parts: tuple[DataFrame, DataFrame | None], by: list[str], k: int, item: str) -> DataFrame:
+    return _either(parts, lambda small: _small_top_k(small, by, k, item), lambda large: large_panels.top_k(large, by, k, item))
+
+
+def _small_top_k(items: DataFrame, by: list[str], k: int, item: str) -> DataFrame:
     place = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).desc(), F.col(item)))
     ranked = items.withColumn("_g", place("gold")).withColumn("_p", place("pred"))
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if((F.col("_g") <= k) & (F.col("_p") <= k)).alias("_both")).select(*by, (F.col("_both") / F.least(F.col("_n"), F.lit(k))).alias("top_enrichment"))
 
 
-def panel_metrics(items: DataFrame, by: list[str], item: str = "item", k: int = 1) -> DataFrame:
-    """All metrics of each panel."""
-    return spearman(items, by).join(pair_metrics(items, by), by, "left").join(top_k(items, by, k, item), by, "left").na.fill(0.0, ["kendall_tau", "pairwise_accuracy"])
+def panel_metrics(items: DataFrame, by: list[str], item: str = "item", k: int = 1, large: int = LARGE) -> DataFrame:
+    """All metrics of each panel; those of more than ``large`` items are spread over tasks."""
+    parts = by_size(items, by, large)
+    return _spearman(parts, by).join(_pair_metrics(parts, by), by, "left").join(_top_k(parts, by, k, item), by, "left").na.fill(0.0, ["kendall_tau", "pairwise_accuracy"])
 
 
 def panel_items(cases: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -163,6 +163,24 @@ def panel_averages(spark, sf):
     return each.agg(mean("spearman", "spearman"), mean("kendall_tau", "kendall_tau"), mean("pairwise_accuracy", "pairwise"), mean("top_enrichment", "top_1"), F.count(F.lit(1)).alias("panels"))
 
 
+_HOT = "h as (select case when l_returnflag = 'R' then 'R' else 'other' end as panel, l_orderkey * 10 + l_linenumber as item, -l_quantity as gold, l_extendedprice as pred from lineitem)"
+
+
+@query(f"""with {_HOT}, n as (select panel, count(*) as n from h group by panel), g as materialized (select distinct panel, gold from h),
+c as (select panel, gold, pred, count(*) as n from h group by all), grid as (select p.panel, p.pred, g.gold, coalesce(c.n, 0) as n from (select distinct panel, pred from h) p join g using (panel) left join c on c.panel = p.panel and c.pred = p.pred and c.gold = g.gold),
+up as (select *, sum(n) over (partition by panel, gold order by pred rows between unbounded preceding and 1 preceding) as below, sum(n) over (partition by panel, gold) as whole from grid),
+seen as (select *, sum(coalesce(below, 0)) over (partition by panel, pred order by gold rows between unbounded preceding and 1 preceding) as less, sum(whole - coalesce(below, 0) - n) over (partition by panel, pred order by gold rows between unbounded preceding and 1 preceding) as more from up),
+cd as (select panel, sum(n * coalesce(less, 0))::bigint as concordant, sum(n * coalesce(more, 0))::bigint as discordant from seen group by panel),
+r as (select panel, rank() over (partition by panel order by gold) + (count(*) over (partition by panel, gold) - 1) / 2.0 as g, rank() over (partition by panel order by pred) + (count(*) over (partition by panel, pred) - 1) / 2.0 as p from h), rho as (select panel, round(corr(g, p), 9) as spearman from r group by panel),
+t as (select panel, count(*) filter (gi <= 100 and pi <= 100) / 100.0 as top from (select panel, row_number() over (partition by panel order by gold desc, item) as gi, row_number() over (partition by panel order by pred desc, item) as pi from h) group by panel)
+select panel, n, spearman, concordant, discordant, round((concordant - discordant) / (concordant + discordant), 9) as kendall_tau, round(top, 9) as top_enrichment from n join cd using (panel) join rho using (panel) join t using (panel)""")
+def whole_panels(spark, sf):
+    """AGG4-8, JN6, JN7, WIN1: two panels that hold every line: ranks, pairs and the best hundred by range partitions."""
+    rows = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "R").otherwise("other").alias("panel"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), ranking.strength(F.col("l_quantity"), F.lit("lower_is_stronger")).alias("gold"), F.col("l_extendedprice").alias("pred"))
+    out = ranking.panel_metrics(rows, ["panel"], k=100, large=10_000)
+    return out.select("panel", "n", F.round("spearman", 9).alias("spearman"), "concordant", "discordant", F.round("kendall_tau", 9).alias("kendall_tau"), F.round("top_enrichment", 9).alias("top_enrichment"))
+
+
 # Classification and set metrics
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import mersenne
-from lectern.operators import builders, ordering
+from lectern.operators import builders, large_panels, ordering, ranking
 
 
 @pytest.fixture(params=[4, 200])
@@ -66,3 +66,22 @@ def test_scores_of_many_cases(spark, parts):
     rng = random.Random(13)
     want = {str(k): [rng.random() for _ in range(k % 4 + 1)] if k % 7 else [] for k in range(6000)}
     assert {r.benchmark_id: [s.score for s in r.scores] for r in builders.baseline(cases, "binding_rank").collect()} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 1000])
+def test_inversions(n):
+    x = np.random.default_rng(n).integers(0, 50, n)
+    assert large_panels.inversions(x) == int((x[:, None] > x[None, :])[np.triu_indices(n, 1)].sum())
+
+
+def test_large_panels_equal_small_ones(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", int(i), float(rng.integers(0, 40)), float(rng.normal())) for i in range(900)] + [("b", int(i), float(i % 3), float(i % 7)) for i in range(700)] + [(None, int(i), float(i), float(-i)) for i in range(300)]
+    data += [("c", 1, 1.0, 2.0), ("c", 2, 1.0, 2.0), ("d", 1, 5.0, 5.0), ("same", 1, 1.0, 1.0)] + [("same", i, 1.0, float(i)) for i in range(2, 60)]
+    df = spark.createDataFrame(data, "panel string, item int, gold double, pred double").repartition(5)
+    rounded = lambda out: sorted((str(r.panel), r.n, round(r.spearman, 9), r.concordant or 0, r.discordant or 0, round(r.kendall_tau, 9), r.top_enrichment) for r in out.collect())
+    want = rounded(ranking.panel_metrics(df.na.fill("none", ["panel"]), ["panel"], k=5))
+    assert rounded(ranking.panel_metrics(df.na.fill("none", ["panel"]), ["panel"], k=5, large=50)) == want
+    counts = lambda rows: sorted((str(r.panel), r.concordant, r.discordant) for r in rows.collect())
+    assert counts(large_panels.pairs(df, ["panel"], block=64)) == counts(ranking.pair_metrics(df, ["panel"]))
+    assert rounded(ranking.panel_metrics(df.limit(0), ["panel"])) == []
