@@ -402,28 +402,34 @@ def sequence_features(spark, sf):
     return table(spark, sf, "part").select("p_partkey", f["length"].cast("bigint").alias("length"), F.round(f["hydrophobic_fraction"], 9).alias("hydrophobic"), F.round(f["charged_fraction"], 9).alias("charged"))
 
 
-@query("select doc_id, " + " or ".join(f"contains(lower(text), '{m}')" for m in text.ANSWER_MARKERS) + " as marked from documents")
+@query("select doc_id, regexp_matches(lower(text), 'normalized_rank|measured_value|evidence_level|claim_status|safety_status|native_contacts|gold_coordinates') as marked from (select doc_id, text || case doc_id % 9 when 0 then ' Normalized_Rank' when 1 then ' claim_status' when 2 then ' gold_coordinates' when 3 then ' measured value' else '' end as text from documents)")
 def answer_markers(spark, sf):
     """STR13, CHK26: texts that name gold fields."""
-    return table(spark, sf, "documents").select("doc_id", text.answer_like(F.col("text")).alias("marked"))
+    more = F.expr("case doc_id % 9 when 0 then ' Normalized_Rank' when 1 then ' claim_status' when 2 then ' gold_coordinates' when 3 then ' measured value' else '' end")
+    return table(spark, sf, "documents").select("doc_id", text.answer_like(F.concat("text", more)).alias("marked"))
 
 
-_REDACT = "text"
-for _p in text.SECRET_PATTERNS:
-    _REDACT = "regexp_replace({}, '{}', '[REDACTED]', 'g')".format(_REDACT, _p.replace("'", "''"))
+_KEYS = "coalesce(text, '') || ' tml-' || doc_id || '_a hf_' || repeat('k', (doc_id % 40)::int) || ' TINKER_API_KEY = \"v' || doc_id || '\" HF_TOKEN=''x'' OPENROUTER_API_KEY=\"\" sk-or-v1-' || doc_id"
+_REDACTED = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_KEYS}, 'tml-[A-Za-z0-9_-]+', '[REDACTED]', 'g'), 'sk-or-v1-[A-Za-z0-9_-]+', '[REDACTED]', 'g'), 'hf_[A-Za-z0-9_-]{{20,}}', '[REDACTED]', 'g'),
+'OPENROUTER_API_KEY\s*=\s*[''"][^''"]+[''"]', '[REDACTED]', 'g'), 'TINKER_API_KEY\s*=\s*[''"][^''"]+[''"]', '[REDACTED]', 'g'), 'HF_TOKEN\s*=\s*[''"][^''"]+[''"]', '[REDACTED]', 'g')"""
 
 
-@query(f"select doc_id, {_REDACT} <> text as changed, sha256({_REDACT}) as redacted_sha256 from documents")
+@query(f"select doc_id, len(string_split({_REDACTED}, '[REDACTED]')) - 1 as n, sha256({_REDACTED}) as redacted_sha256 from documents")
 def redaction(spark, sf):
-    """STR9-12, CHK27: secrets out of texts."""
-    r = text.redact(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", (r != F.col("text")).alias("changed"), F.sha2(r, 256).alias("redacted_sha256"))
+    """STR9-12, CHK27: secrets out of texts, keys of every kind behind each."""
+    keyed = F.expr("coalesce(text, '') || ' tml-' || doc_id || '_a hf_' || repeat('k', int(doc_id % 40)) || ' TINKER_API_KEY = \"v' || doc_id || '\" HF_TOKEN=' || chr(39) || 'x' || chr(39) || ' OPENROUTER_API_KEY=\"\" sk-or-v1-' || doc_id")
+    r = text.redact(keyed)
+    return table(spark, sf, "documents").select("doc_id", (F.size(F.split(r, r"\[REDACTED\]")) - 1).cast("bigint").alias("n"), F.sha2(r, 256).alias("redacted_sha256"))
 
 
-@query("select doc_id, len(list_filter([" + ", ".join(f"'{p}'" for p in (*text.CONTRADICTORY_PHRASES, *text.PROHIBITED_CLAIMS)) + "], lambda p: contains(lower(text), p))) + (contains(lower(text), 'externally checked') and not contains(lower(text), 'not externally checked'))::int + (contains(lower(text), 'direct human-effect prediction') and not contains(lower(text), 'not direct human-effect prediction'))::int as n from documents")
+_CLAIM = "case doc_id % 8 when 0 then ' Clinically validated and release-ready.' when 1 then ' Not externally checked.' when 2 then ' externally checked' when 3 then ' Safe for human use; QUALITY CHECK REQUIRED' when 4 then ' direct human-effect prediction, fully complete' else '' end"
+
+
+@query(f"""select doc_id, len(list_filter(['release candidate with issueers', 'issueer', 'issueed', 'quality check required', 'curation required', 'license qc required', 'required before release', 'needs chain-role gates', 'needs assay compatibility gates', 'needs conservative classification', 'scientifically complete', 'fully complete', 'release-ready',
+'clinically validated', 'safe for human use', 'predicts human effects', 'provides medical advice', 'is medical advice', 'validates human use'], lambda p: contains(t, p))) + (contains(t, 'externally checked') and not contains(t, 'not externally checked'))::int + (contains(t, 'direct human-effect prediction') and not contains(t, 'not direct human-effect prediction'))::int as n from (select doc_id, lower(text || {_CLAIM}) as t from documents)""")
 def claim_phrases(spark, sf):
     """STR16: prohibited phrases."""
-    return table(spark, sf, "documents").select("doc_id", F.size(text.claim_errors(F.col("text"))).cast("bigint").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(text.claim_errors(F.concat("text", F.expr(_CLAIM)))).cast("bigint").alias("n"))
 
 
 @query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), 'infinity'::double) + 1.5 as price from events")

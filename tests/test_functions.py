@@ -23,7 +23,7 @@ def one(spark, value, f):
     (text.slug, "openai/gpt-5:stable", "openai_gpt-5_stable"), (text.slug, "///", "model"),
     (text.source_name, " Gene Ontology/X ", "gene_ontology_x"), (text.split_name, " Dev ", "dev"),
     (text.provider, "a/b/c", "a"), (text.provider, "solo", "solo"), (text.options, " a, ,b ", ["a", "b"]),
-    (text.has_secret, "token: abcdefgh12", True), (text.has_secret, "nothing here", False),
+    (text.has_secret, "token: abcdefgh12", False), (text.has_secret, "x tml-a9", True), (text.has_secret, "hf_" + "a" * 19, False), (text.has_secret, "hf_" + "a" * 20, True), (text.has_secret, 'HF_TOKEN = "v"', True), (text.has_secret, "HF_TOKEN=v", False), (lambda c: text.has_secret(c, text.MORE_SECRETS), "token: abcdefgh12", True), (text.has_secret, "nothing here", False),
     (text.answer_like, '{"Normalized_Rank": 1.0}', True), (text.confidence_word, "HIGH ", "high"), (text.confidence_word, "so-so", "low"), (text.confidence_value, "medium", 0.5),
     (text.claim_errors, "It is Safe for human use, not externally checked", ["safe for human use"]), (text.claim_errors, "externally checked", ["externally checked"]),
     (numbers.price, "x", float("inf")), (numbers.count_of, None, 0), (numbers.token_estimate, "abc", 1), (numbers.token_estimate, "a" * 41, 10),
