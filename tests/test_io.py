@@ -154,8 +154,8 @@ def test_streams(spark, tmp_path):
 
 
 def test_copies_lose_secrets(tmp_path):
-    (tmp_path / "a.txt").write_text("token: abcdefgh12 rest")
+    (tmp_path / "a.txt").write_text("tml-abc_12 rest")
     assert sinks.copy_redacted(str(tmp_path / "a.txt"), str(tmp_path / "b" / "a.txt"))
     assert (tmp_path / "b" / "a.txt").read_text() == "[REDACTED] rest"
-    (tmp_path / "w.bin").write_bytes(b"token: abcdefgh12")
+    (tmp_path / "w.bin").write_bytes(b"tml-abc_12")
     assert not sinks.copy_redacted(str(tmp_path / "w.bin"), str(tmp_path / "b" / "w.bin"))
