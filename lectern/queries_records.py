@@ -16,7 +16,7 @@ from lectern.queries import pick, query, table
 from lectern.runtime import scratch
 from lectern.schemas import TRACKS, validate, validation_report, without_nulls
 from lectern.sinks import files as sinks
-from lectern.sources import adapters, files
+from lectern.sources import adapters, files, paged
 
 big = lambda c: c.cast("bigint")
 text = lambda c: F.col(c).cast("string")
@@ -604,3 +604,31 @@ def service_searches(spark, sf):
     entries = nation.select(F.to_json(F.struct(F.col("n_name").alias("rcsb_id"), F.struct(entity_ids.alias("polymer_entity_ids")).alias("rcsb_entry_container_identifiers"))).alias("text"))
     found = adapters.found_ids(answer).select(F.lit("search").alias("what"), F.col("pdb_id").alias("id"), big(F.col("ord")).alias("at"))
     return found.union(adapters.entry_metadata(entries).select(F.lit("entry"), "pdb_id", big(F.size("entity_ids"))))
+
+
+_PAGED = "n as (select count(*)::bigint as n from part), p as (select row_number() over (order by p_partkey) - 1 as ord, p_partkey, p_brand from part)"
+
+
+@query(f"""with {_PAGED}
+select term, (ord // 40)::integer as page, ord, p_partkey, p_brand from p, (values ('peptide'), ('protein')) t(term) where ord < 250
+union all select 'trial', (ord // 40)::integer, ord, p_partkey, p_brand from p where ord < 100
+union all select 'all', (ord // 500)::integer, ord, p_partkey, p_brand from p""")
+def paged_hits(spark, sf):
+    """SRC21, SRC22, SRC30, SRC32: searches by offset and by token with their limits pushed into the pages that are read, and one without a limit; a hit is the place of a part."""
+    parts = ordering.positions(table(spark, sf, "part").select("p_partkey", "p_brand"), ["p_partkey"], "place")
+    total = parts.count()
+
+    def fetch(url: str, body: bytes | None, timeout: int) -> str:
+        import json
+        from urllib import parse
+
+        if body:
+            page = json.loads(body)["request_options"]["paginate"]
+            return json.dumps({"total_count": total, "result_set": [{"identifier": str(i)} for i in range(page["start"], min(page["start"] + page["rows"], total))]})
+        asked = parse.parse_qs(parse.urlsplit(url).query)
+        start, rows = int(asked.get("pageToken", ["0"])[0]), int(asked["pageSize"][0])
+        return json.dumps({"studies": [{"identifier": str(i)} for i in range(start, min(start + rows, total))], **({"nextPageToken": str(start + rows)} if start + rows < total else {})})
+
+    found = [paged.search(spark, "rcsb_text", ["peptide", "protein"], 250, 40, fetch), paged.search(spark, "clinicaltrials", ["trial"], 100, 40, fetch), paged.search(spark, "rcsb_polymer", ["all"], None, 500, fetch)]
+    hits = keys.union_all(*found).withColumn("place", F.get_json_object("record", "$.identifier").cast("long"))
+    return hits.join(parts, "place").select("term", "page", "ord", "p_partkey", "p_brand")

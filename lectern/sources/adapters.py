@@ -60,7 +60,7 @@ def pdb_url(pdb_id: str) -> str:
 
 
 def trials_url(query: str, limit: int = 10) -> str:
-    return f"{CLINICAL_TRIALS}?{parse.urlencode({'query.term': query, 'pageSize': limit})}"
+    return f"{CLINICAL_TRIALS}?{parse.urlencode({'query.term': query, 'pageSize': limit, 'format': 'json'})}"
 
 
 def labels_url(name: str) -> str:
@@ -71,20 +71,23 @@ def label_url(set_id: str) -> str:
     return f"{DAILYMED}/spls/{set_id}.xml"
 
 
-def peptide_search(limit: int, longest: int = 50) -> bytes:
-    """Search body: entries with a short polymer entity."""
-    terms = [{"type": "terminal", "service": "text", "parameters": {"attribute": "entity_poly.rcsb_sample_sequence_length", "operator": "less_or_equal", "value": longest}}, {"type": "terminal", "service": "text", "parameters": {"attribute": "rcsb_entry_info.polymer_entity_count_protein", "operator": "greater_or_equal", "value": 2}}]
-    return json.dumps({"query": {"type": "group", "logical_operator": "and", "nodes": terms}, "return_type": "entry", "request_options": {"paginate": {"start": 0, "rows": limit}}}).encode()
+def _search(query: dict, rows: int, start: int) -> bytes:
+    return json.dumps({"query": {"type": "terminal", **query}, "return_type": "entry", "request_options": {"paginate": {"start": start, "rows": rows}}}).encode()
 
 
-def text_search(text: str, limit: int) -> bytes:
+def peptide_search(limit: int, start: int = 0, kind: str = "Protein") -> bytes:
+    """Search body: entries with a polymer entity of a type."""
+    return _search({"service": "text", "parameters": {"attribute": "entity_poly.rcsb_entity_polymer_type", "operator": "exact_match", "value": kind}}, limit, start)
+
+
+def text_search(text: str, limit: int, start: int = 0) -> bytes:
     """Search body: ids of entries that a full-text query finds."""
-    return json.dumps({"query": {"type": "terminal", "service": "full_text", "parameters": {"value": text}}, "return_type": "entry", "request_options": {"paginate": {"start": 0, "rows": limit}}}).encode()
+    return _search({"service": "full_text", "parameters": {"value": text}}, limit, start)
 
 
 # The fields of an entry that builders read.
-ENTRY_FIELDS = "rcsb_id polymer_entities { rcsb_id entity_poly { type pdbx_seq_one_letter_code_can rcsb_sample_sequence_length } rcsb_polymer_entity_container_identifiers { auth_asym_ids asym_ids } }"
-ENTRIES = "data struct<entries:array<struct<rcsb_id:string,polymer_entities:array<struct<rcsb_id:string,entity_poly:struct<type:string,pdbx_seq_one_letter_code_can:string,rcsb_sample_sequence_length:int>,rcsb_polymer_entity_container_identifiers:struct<auth_asym_ids:array<string>,asym_ids:array<string>>>>>>>"
+ENTRY_FIELDS = "rcsb_id exptl { method } rcsb_accession_info { initial_release_date } polymer_entities { rcsb_id entity_poly { type pdbx_seq_one_letter_code_can rcsb_sample_sequence_length } rcsb_polymer_entity_container_identifiers { entity_id auth_asym_ids asym_ids } }"
+ENTRIES = "data struct<entries:array<struct<rcsb_id:string,exptl:array<struct<method:string>>,rcsb_accession_info:struct<initial_release_date:string>,polymer_entities:array<struct<rcsb_id:string,entity_poly:struct<type:string,pdbx_seq_one_letter_code_can:string,rcsb_sample_sequence_length:int>,rcsb_polymer_entity_container_identifiers:struct<auth_asym_ids:array<string>,asym_ids:array<string>>>>>>>"
 
 
 def entry_batches(ids: DataFrame, size: int = BATCH) -> DataFrame:
@@ -104,6 +107,12 @@ def entities(answers: DataFrame, text: str = "text") -> DataFrame:
     return one.select("pdb_id", F.substring_index("p.rcsb_id", "_", -1).alias("entity_id"), F.col(f"{ids}.auth_asym_ids").alias("chains"), F.col(f"{ids}.asym_ids").alias("asym_chains"), F.col("p.entity_poly.type").alias("kind"), sequence.alias("sequence"), F.coalesce("p.entity_poly.rcsb_sample_sequence_length", F.length(sequence), F.lit(0)).alias("length"))
 
 
+def entry_dates(answers: DataFrame, text: str = "text") -> DataFrame:
+    """(pdb_id, method, released) of the entries in GraphQL answers: the first method, and the day of release."""
+    entry = answers.select(F.explode(F.from_json(text, ENTRIES)["data"]["entries"]).alias("e"))
+    return entry.select(F.col("e.rcsb_id").alias("pdb_id"), F.get("e.exptl.method", F.lit(0)).alias("method"), F.left("e.rcsb_accession_info.initial_release_date", F.lit(10)).alias("released"))
+
+
 def found_ids(answers: DataFrame, text: str = "text") -> DataFrame:
     """(pdb_id, ord) of a search answer, in its order."""
     return answers.select(F.posexplode(F.from_json(text, "result_set array<struct<identifier:string>>")["result_set"]).alias("ord", "r")).select(F.col("r.identifier").alias("pdb_id"), "ord")

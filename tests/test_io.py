@@ -106,7 +106,7 @@ def test_adapters(spark):
 
     got = {r.u: (r.text, r.error) for r in adapters.fetch_column(frame, "u", fetch).collect()}
     assert got == {"http://x/1": ("HTTP://X/1", None), "http://x/bad": (None, "OSError: refused")}
-    assert adapters.trials_url("a b", 3).endswith("query.term=a+b&pageSize=3") and json.loads(adapters.peptide_search(5))["request_options"]["paginate"]["rows"] == 5
+    assert adapters.trials_url("a b", 3).endswith("query.term=a+b&pageSize=3&format=json") and json.loads(adapters.peptide_search(5))["request_options"]["paginate"]["rows"] == 5
     reader = Canned({"urls": '["http://x/1", "http://x/bad"]'})
     assert [next(reader.read(p))[1] for p in reader.partitions()] == ["HTTP://X/1", None]
 
