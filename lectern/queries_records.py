@@ -16,6 +16,7 @@ from lectern.queries import pick, query, table
 from lectern.runtime import scratch
 from lectern.schemas import TRACKS, validate, validation_report, without_nulls
 from lectern.sinks import files as sinks
+from lectern.sinks import snapshots
 from lectern.sources import adapters, files, paged
 
 big = lambda c: c.cast("bigint")
@@ -632,3 +633,25 @@ def paged_hits(spark, sf):
     found = [paged.search(spark, "rcsb_text", ["peptide", "protein"], 250, 40, fetch), paged.search(spark, "clinicaltrials", ["trial"], 100, 40, fetch), paged.search(spark, "rcsb_polymer", ["all"], None, 500, fetch)]
     hits = keys.union_all(*found).withColumn("place", F.get_json_object("record", "$.identifier").cast("long"))
     return hits.join(parts, "place").select("term", "page", "ord", "p_partkey", "p_brand")
+
+
+@query("""select v, o_orderkey, case when v > 1 and o_orderkey % 3 = 0 then 'changed' else o_orderstatus end as status, o_totalprice from orders, (values (1), (2), (3)) t(v)
+union all select v, -c_custkey, 'added', 0.0 from customer, (values (2), (3)) t(v) union all select 3, -1000000000 - s_suppkey, 'mirrored', 1.0 from supplier""")
+def committed_upserts(spark, sf):
+    """SNK12, SNK13, SNK14, SRC20, SRC23, SRC25: three versions of a table: as written, after an upsert that a failing one followed, and after a mirrored write whose copy is read."""
+    from pyspark.errors import PySparkException
+
+    path, copy = scratch(spark, "versions"), scratch(spark, "versions-copy")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_totalprice")
+    snapshots.commit(orders, path)
+    changes = orders.where("o_orderkey % 3 = 0").withColumn("status", F.lit("changed"))
+    added = table(spark, sf, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.lit("added").alias("status"), F.lit(0.0).alias("o_totalprice"))
+    snapshots.upsert(changes.union(added), path, ["o_orderkey"])
+    try:
+        snapshots.upsert(orders.withColumn("status", F.when(F.col("o_orderkey") % 1000 == 0, F.raise_error(F.lit("a task fails"))).otherwise("half").cast("string")), path, ["o_orderkey"])
+    except PySparkException:
+        pass  # the failing one, which leaves no trace
+    more = table(spark, sf, "supplier").select((-1000000000 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("mirrored").alias("status"), F.lit(1.0).alias("o_totalprice"))
+    snapshots.mirror(snapshots.read(spark, path).union(more), path, copy)
+    versions = [snapshots.read(spark, path, 1), snapshots.read(spark, path, 2), snapshots.read(spark, copy)]
+    return keys.union_all(*[v.select(F.lit(i + 1).alias("v"), "o_orderkey", "status", "o_totalprice") for i, v in enumerate(versions)])
