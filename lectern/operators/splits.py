@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import token_estimate
 from lectern.functions.text import answer_like
+from lectern.operators.bloom import contains, size, words
 from lectern.operators.ordering import positions
 
 ID_KEYS = ("benchmark_id", "case_id", "source_id", "source_ids", "panel_id", "target_id", "item_id")
@@ -39,8 +42,8 @@ def is_eval(split: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.trim(split)), F.lit("")), F.lit("test")).isin(*EVAL_SPLITS)
 
 
-def values_under(df: DataFrame, keys: tuple[str, ...], kind: str) -> DataFrame:
-    """Distinct (kind, value) of the named fields wherever the schema has them: top level, structs, arrays of either."""
+def _values(df: DataFrame, keys: tuple[str, ...]) -> Column | None:
+    """Array of the named fields' values wherever the schema has them: top level, structs, arrays of either."""
     found: list[Column] = []
 
     def walk(t, path: Column, name: str | None) -> None:
@@ -60,17 +63,33 @@ def values_under(df: DataFrame, keys: tuple[str, ...], kind: str) -> DataFrame:
 
     for f in df.schema.fields:
         walk(f.dataType, F.col(f"`{f.name}`"), f.name)
-    if not found:
+    return F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in found]) if found else None
+
+
+def values_under(df: DataFrame, keys: tuple[str, ...], kind: str, only: Callable[..., Column] | None = None) -> DataFrame:
+    """Distinct (kind, value) of the named fields; with ``only`` (a filter of (kind, value)) those alone that it lets through, before anything is exploded or shuffled."""
+    values = _values(df, keys)
+    if values is None:
         return df.sparkSession.createDataFrame([], "kind string, value string")
-    values = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in found])
-    return df.select(F.lit(kind).alias("kind"), F.explode(values).alias("value")).where("value is not null and value <> ''").distinct()
+    wanted = F.filter(values, lambda v: v.isNotNull() & (v != "") & (F.lit(True) if only is None else only(F.lit(kind), v)))
+    return df.select(F.lit(kind).alias("kind"), F.explode(wanted).alias("value")).distinct()
+
+
+def leakage_candidates(train: DataFrame, held: DataFrame) -> DataFrame:
+    """(kind, value) of training rows that a Bloom filter of ``held`` (kind, value) lets through: all that are shared, and few others."""
+    bits = size(held.count())
+    only = contains(words(held, ["kind", "value"], bits), bits)
+    return values_under(train, ID_KEYS, "identifier", only).unionByName(values_under(train, HASH_KEYS, "hash", only))
 
 
 def leakage(train: DataFrame, bench: DataFrame) -> DataFrame:
-    """(kind, value) of identifiers and hashes that training and evaluation rows share; rows of other splits of ``bench`` don't count."""
-    held = bench.where(is_eval(F.col("split"))) if "split" in bench.columns else bench
-    parts = [values_under(train, keys, kind).join(values_under(held, keys, kind), ["kind", "value"], "left_semi") for keys, kind in ((ID_KEYS, "identifier"), (HASH_KEYS, "hash"))]
-    return parts[0].unionByName(parts[1])
+    """(kind, value) of identifiers and hashes that training and evaluation rows share; rows of other splits of ``bench`` don't count.
+
+    Training rows are filtered where they are read; only candidates meet the evaluation rows' values.
+    """
+    part = bench.where(is_eval(F.col("split"))) if "split" in bench.columns else bench
+    held = values_under(part, ID_KEYS, "identifier").unionByName(values_under(part, HASH_KEYS, "hash"))
+    return leakage_candidates(train, held).join(held, ["kind", "value"], "left_semi")
 
 
 def leakage_report(train: DataFrame, bench: DataFrame, prompt: str = "messages") -> DataFrame:

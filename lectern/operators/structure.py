@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.numbers import ratio
 from lectern.operators.keys import last_by, with_order
+from lectern.operators.large_panels import first_rows
 
 
 def contact_keys(contacts: Column) -> Column:
@@ -66,23 +67,43 @@ def evaluate_structure(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.agg(F.avg("rmsd").alias("backbone_rmsd"), F.avg("rmsd").alias("all_atom_rmsd"), F.count("rmsd").alias("rmsd_evaluated_cases"), F.count_if(F.col("rmsd").isNull()).alias("rmsd_skipped_count"))
 
 
+PART = 1024  # atoms of a side that meet at once
+
+
 def contact_list(found: DataFrame, by: tuple[str, ...], most: int = 200) -> DataFrame:
-    """(by, native_contacts): the contacts of each pair of chains as one array, by target residue, the first ``most``."""
+    """(by, native_contacts): the contacts of each pair of chains as one array, by target residue, the first ``most``; no more than those are gathered."""
+    few = first_rows(found, list(by), [F.col("residue"), F.col("other_residue"), F.col("distance")], most)
     one = F.struct(F.col("residue").alias("target_residue"), F.col("other_residue").alias("peptide_residue"), F.col("distance").alias("distance_angstrom"))
-    return found.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(one)), 1, most).alias("native_contacts"))
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("native_contacts"))
+
+
+def _parts(atoms: DataFrame, cell: list[str], name: str, most: int) -> DataFrame:
+    """(cell, name): in how many parts the atoms of a crowded cell are dealt; cells of up to ``most`` atoms have no row."""
+    return atoms.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name)).where(F.col(name) > 1)
 
 
-def contacts(left: DataFrame, right: DataFrame, cutoff: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
+def contacts(left: DataFrame, right: DataFrame, cutoff: float = 5.0, by: tuple[str, ...] = (), part: int = PART) -> DataFrame:
     """(by, residue, other_residue, distance) of residues with two atoms at most ``cutoff`` apart; the least distance, to 3 digits.
 
     Frames hold (by, residue, x, y, z). Space is cut into cells of the cutoff's
     size: an atom meets only the atoms of its cell and the 26 around it, an
-    equi-join instead of all pairs.
+    equi-join instead of all pairs. A cell with more than ``part`` atoms of a side
+    is dealt into parts by their digests, and each part of one side meets each of
+    the other under a key of its own, so that no task has a crowded cell to itself.
+    Repeated atoms count once.
     """
     cell = lambda c: F.floor(F.col(c) / cutoff)
-    a = left.select(*by, F.col("residue").alias("residue"), *[F.col(c).alias(f"a{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
+    at = [*by, "cx", "cy", "cz"]
+    a = left.select(*by, "residue", *[F.col(c).alias(f"a{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"]).distinct()
     around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip((i, j, k), "ijk", strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    b = right.select(*by, F.col("residue").alias("other_residue"), *[F.col(c).alias(f"b{c}") for c in "xyz"], around.alias("d"), *[cell(c).alias(f"q{c}") for c in "xyz"]).select(*by, "other_residue", "bx", "by", "bz", (F.col("qx") + F.col("d.i")).alias("cx"), (F.col("qy") + F.col("d.j")).alias("cy"), (F.col("qz") + F.col("d.k")).alias("cz"))
+    b = right.select(*by, F.col("residue").alias("other_residue"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[cell(c).alias(f"q{c}") for c in "xyz"]).distinct()
+    b = b.select("*", around.alias("d")).select(*by, "other_residue", "bx", "by", "bz", *[(F.col(f"q{c}") + F.col(f"d.{n}")).alias(f"c{c}") for c, n in zip("xyz", "ijk", strict=True)])
+    crowds = _parts(a, at, "_m", part).join(_parts(b, at, "_n", part), at, "full")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    mine, theirs = F.pmod(F.xxhash64("residue", "ax", "ay", "az"), one("_m")).cast("int"), F.pmod(F.xxhash64("other_residue", "bx", "by", "bz"), one("_n")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
+    a = a.join(crowds, at, "left").select(*at, "residue", "ax", "ay", "az", mine.alias("_i"), each("_n").alias("_j"))
+    b = b.join(crowds, at, "left").select(*at, "other_residue", "bx", "by", "bz", each("_m").alias("_i"), theirs.alias("_j"))
     apart = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2)
-    near = a.join(b, [*by, "cx", "cy", "cz"]).withColumn("distance", apart).where(F.col("distance") <= cutoff)
+    near = a.join(b, [*at, "_i", "_j"]).withColumn("distance", apart).where(F.col("distance") <= cutoff)
     return near.groupBy(*by, "residue", "other_residue").agg(F.round(F.min("distance"), 3).alias("distance"))
