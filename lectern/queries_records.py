@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import hashes
+from lectern.functions import hashes, variants
 from lectern.functions.json import record_key
 from lectern.operators import effects, evidence, keys, ordering, predictions, projections, qc, release, reports, splits, structure
 from lectern.plans import builds
@@ -655,3 +655,16 @@ def committed_upserts(spark, sf):
     snapshots.mirror(snapshots.read(spark, path).union(more), path, copy)
     versions = [snapshots.read(spark, path, 1), snapshots.read(spark, path, 2), snapshots.read(spark, copy)]
     return keys.union_all(*[v.select(F.lit(i + 1).alias("v"), "o_orderkey", "status", "o_totalprice") for i, v in enumerate(versions)])
+
+
+@query("""select c_custkey, case c_custkey % 5 when 0 then '{"id":' || c_custkey || '}' when 1 then '{"a":{"n":[{"m":' || c_custkey || '},{},2.5]},"z":"labels"}' when 2 then '[{},{"keep":' || c_custkey || '}]' when 3 then '{"s":"' || c_mktsegment || '"}' else '{"deep":{"deeper":{"deepest":[[{"ok":true}]]}}}' end as stripped,
+case c_custkey % 5 when 0 then '$.labels' when 1 then '$.a.claim_status, $.a.n[0].category, $.a.n[1].qc_notes' when 2 then '$[0].prediction' when 3 then '' else '$.deep.deeper.deepest[0][0].native_contacts, $.deep.deeper.gold_labels' end as paths from customer""")
+def stripped_variants(spark, sf):
+    """PRJ18, PRJ19: fields out of records of unequal nesting at any depth, and where they were; nothing is left to find."""
+    number = F.col("c_custkey")
+    k = number.cast("string")
+    record = F.when(number % 5 == 0, F.concat(F.lit('{"labels":[1,2],"none":null,"id":'), k, F.lit("}"))).when(number % 5 == 1, F.concat(F.lit('{"z":"labels","a":{"claim_status":"x","n":[{"category":1,"m":'), k, F.lit('},{"qc_notes":{"labels":1}},2.5]}}')))
+    record = record.when(number % 5 == 2, F.concat(F.lit('[{"prediction":{"deep":1}},{"x":null,"keep":'), k, F.lit("}]"))).when(number % 5 == 3, F.concat(F.lit('{"s":"'), "c_mktsegment", F.lit('"}'))).otherwise(F.lit('{"deep":{"deeper":{"gold_labels":[{"a":1}],"deepest":[[{"ok":true,"native_contacts":[]}]]}}}'))
+    rows = table(spark, sf, "customer").select("c_custkey", F.parse_json(record).alias("v"))
+    clean = rows.select("c_custkey", variants.without_fields(F.col("v"), projections.FORBIDDEN, drop_nulls=True).alias("clean"), F.array_join(variants.field_paths(F.col("v"), projections.FORBIDDEN), ", ").alias("paths"))
+    return clean.select("c_custkey", F.to_json(variants.asserted(F.col("clean"), projections.FORBIDDEN)).alias("stripped"), "paths")
