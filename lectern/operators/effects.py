@@ -127,6 +127,6 @@ def effect_cases(least: int, spare: DataFrame, *builders: DataFrame) -> DataFram
     """The builders' rows in order; where they are fewer than ``least``, ``spare`` (negative queries) makes up for the rest."""
     placed = lambda i, df: positions(df, ["ord", "source_id"], "_nth").withColumn("ord", F.struct(F.lit(i).alias("builder"), F.col("_nth").alias("at")))
     have = union_all(*[placed(i, b).drop("_nth") for i, b in enumerate(builders)])
-    lacking = max(0, least - have.count())
+    lacking = max(0, least - union_all(*[b.select("source_id").limit(least) for b in builders]).limit(least).count()) if builders else least  # no more than ``least`` are counted
     more = placed(len(builders), spare).where(F.col("_nth") < lacking).drop("_nth")
     return numbered(union_all(have, more))

@@ -11,12 +11,14 @@ from lectern.functions import hashes, numbers
 from lectern.functions import text as texts
 from lectern.functions.json import object_in
 from lectern.operators import builders, evidence, keys, leaderboard, projections, qc, ranking, retries
-from lectern.plans import model_runs, workflows
+from lectern.operators.ordering import positions
+from lectern.plans import model_runs, rounds, workflows
 from lectern.queries import _ROWS, _items, _rows, pick, query, sql_pick, table
 from lectern.runtime import scratch
 from lectern.schemas import DOMAINS, TRACKS, case_schema
 from lectern.sinks import files as sinks
 from lectern.sources import files
+from lectern.streaming import runs
 
 big = lambda c: c.cast("bigint")
 text = lambda c: F.col(c).cast("string")
@@ -426,3 +428,31 @@ def inventory(spark, sf):
     _items(spark, sf).agg(F.countDistinct("panel").alias("n")).select(F.to_json(F.struct("n")).alias("value")).write.text(where)
     read = files.read_results(spark, where).where("result like '%n%'").select(F.lit("panel").alias("what"), F.get_json_object("result", "$.n").try_cast("bigint").alias("n"))
     return read.union(spark.createDataFrame([("scale", len(qc.SCALES)), ("shown", sum(map(len, projections.SHOWN.values())))], "what string, n bigint"))
+
+
+@query("""with e as (select row_number() over (order by p_partkey) - 1 as ord, p_partkey, p_size from part), ok as (select *, row_number() over (order by ord) as nth from e where p_size between 2 and 11),
+ends as (select least(100 * (2 ** r - 1), (select count(*) from e))::bigint as stop, r from range(1, 40) t(r)), got as (select stop, r, (select count(*) from ok where ord < stop) as n from ends), fin as (select min(stop) as rows_read, min(r) as rounds from got where n >= 150 or stop = (select count(*) from e))
+select ord, p_partkey, p_size, rows_read, rounds from ok, fin where nth <= 150 and ord < rows_read""")
+def early_stop(spark, sf):
+    """SRT7, SET8: parts in order are read in growing rounds until 150 are accepted; how many were read is part of the result."""
+    where = scratch(spark, "in-order")
+    positions(table(spark, sf, "part").select("p_partkey", "p_size"), ["p_partkey"], "ord").write.parquet(where)
+    parts = spark.read.parquet(where)
+    got = rounds.until(rounds.of_table(parts), lambda df: df.where("p_size between 2 and 11"), 150, 100, length=parts.count())
+    return got.rows.select("ord", "p_partkey", "p_size", F.lit(got.read).cast("long").alias("rows_read"), F.lit(got.rounds).cast("long").alias("rounds"))
+
+
+@query("""with c as (select distinct c_custkey // 100 as chunk from customer), m as (select 'm' || r_regionkey as model_id from region where r_regionkey < 3)
+select model_id, case when model_id = 'm0' then case when chunk = 0 then 'failed' else 'fallback' end when model_id = 'm1' and chunk >= 7 then case when chunk = 7 then 'failed' else 'fallback' end else 'completed' end as status, case when model_id = 'm0' and chunk = 0 then 'credits_exhausted' when model_id = 'm1' and chunk = 7 then 'invalid_json' end as error_type,
+sum(case when model_id = 'm0' then (chunk = 0)::int when model_id = 'm1' and chunk >= 7 then case when chunk = 7 then 3 else 0 end else 1 end)::bigint as attempts, count(*) as n from c, m group by 1, 2, 3""")
+def stateful_runs(spark, sf):
+    """EXT1, EXT2, EXT3, EXT4, EXT7, EXT15: the chunks of three models as a stream of requests, the queue of each model, mode and track as keyed state with timers for pauses."""
+    prompts = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("chunk")).distinct().select(F.lit("base").alias("mode"), F.lit("human_effect").alias("track"), "chunk", F.array(text("chunk")).alias("benchmark_ids"), text("chunk").alias("messages"), F.concat(F.lit("short "), text("chunk")).alias("compact"))
+    models = table(spark, sf, "region").where("r_regionkey < 3").select(F.concat(F.lit("m"), text("r_regionkey")).alias("model_id"), F.lit("base").alias("mode"), F.lit("human_effect").alias("track"))
+    requests = model_runs.requests_for(models, prompts).select("model_id", "mode", "track", "chunk", "benchmark_ids", "messages", "compact")
+    source = scratch(spark, "requests")
+    requests.write.parquet(source)
+    stream = runs.ready(spark).readStream.schema(requests.schema).parquet(source)
+    results = runs.run_stream(stream, _answer, json.loads, model_runs.run_ladder(2), first_wait=0.01)
+    out = runs.drain(results, scratch(spark, "results"), scratch(spark, "progress"), spark.read.parquet(source).count())
+    return out.groupBy("model_id", "status", "error_type").agg(big(F.sum("attempts")).alias("attempts"), F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,8 @@
 
 A row is a hit: (term, page, ord, record, error), ``ord`` its place among the
 hits of its term, from 0. Filters on ``term`` (equal, in) say what is asked, and
-an upper bound of ``ord`` is the limit: both are pushed into the plan and decide
-which pages are partitions. A service that pages by offset has a partition a
+an upper bound of ``ord`` is the limit, a lower one (where pages go by offset) the
+first page: they are pushed into the plan and decide which pages are partitions. A service that pages by offset has a partition a
 page; without a limit its first answer says how many hits there are. A service
 that pages by token has a partition a term, which follows the tokens up to the
 limit. A page that fails is a row with an error, and the last of its partition.
@@ -21,7 +21,7 @@ from urllib import parse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from lectern.sources import adapters
 from lectern.sources.adapters import Fetch, http
@@ -70,6 +70,7 @@ class _Reader(DataSourceReader):
         self.service, self.rows, self.timeout = SERVICES[self.name], int(options.get("page", PAGE)), int(options.get("timeout", "30"))
         self.terms: list[str] = []
         self.limit: int | None = None
+        self.first = 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - Spark's name
         asked: list[set[str]] = []
@@ -82,7 +83,9 @@ class _Reader(DataSourceReader):
                 most = f.value + isinstance(f, LessThanOrEqual)
                 self.limit = most if self.limit is None else min(self.limit, most)
             else:
-                yield f  # Spark's own
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("ord",):
+                    self.first = max(self.first, f.value)  # which pages; which of their rows is Spark's own
+                yield f
         self.terms = sorted(t for t in set.intersection(*asked) if t is not None) if asked else []
 
     def _ask(self, term: str, start: int, token: str | None = None) -> dict:
@@ -105,7 +108,7 @@ class _Reader(DataSourceReader):
                         most = most.get(name, 0)
                 except Exception:  # the page itself will say what went wrong
                     most = 1
-            pages += [_Page(term, start, min(self.rows, most - start)) for start in range(0, int(most), self.rows)]
+            pages += [_Page(term, start, min(self.rows, most - start)) for start in range(self.first // self.rows * self.rows, int(most), self.rows)]
         return pages or [_Page("", 0, 0)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
