@@ -87,6 +87,19 @@ def stats_by_task(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("schema_valid").alias("valid")).withColumn("valid_rate", F.col("valid") / F.col("n"))
 
 
+def sanity_summary(rows: DataFrame, holdout_count: int, model_name: str, source: str) -> DataFrame:
+    """One row over all tasks of sanity rows (task_type, json_valid, parse_valid, schema_valid): counts, rates and the same by task; completed only where there are rows and all are valid JSON."""
+    tasks = rows.withColumn("task_type", F.coalesce(F.nullif("task_type", F.lit("")), F.lit("unknown")))
+    each = tasks.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in ("json_valid", "parse_valid", "schema_valid")])
+    by_task = F.array_sort(F.collect_list(F.struct("task_type", "n", F.col("schema_valid").alias("valid"), (F.col("schema_valid") / F.col("n")).alias("valid_rate"))))  # a row a task
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = each.agg(total("n").alias("attempted"), *[total(c).alias(f"{c}_count") for c in ("json_valid", "parse_valid", "schema_valid")], by_task.alias("validity_by_task_type"))
+    rate = F.coalesce(F.try_divide("json_valid_count", "attempted"), F.lit(0.0))
+    status = F.when((F.col("attempted") > 0) & (F.col("json_valid_count") == F.col("attempted")), "completed").otherwise("completed_with_warnings")
+    same = {"prediction_count": F.col("attempted"), "sampled_examples": F.col("attempted"), "json_valid_rate": rate, "json_validity": rate, "schema_adherence": rate}
+    return out.select(status.alias("status"), "*", *[v.alias(k) for k, v in same.items()], F.lit(model_name).alias("model_name"), F.lit(holdout_count).cast("long").alias("holdout_examples_available"), F.lit(source).alias("source"))
+
+
 def complete_with_fallback(found: DataFrame, cases: DataFrame, fallback: DataFrame) -> DataFrame:
     """Answers there are, and the fallback for every other case."""
     rest = fallback.join(found.select("benchmark_id"), "benchmark_id", "left_anti").join(cases.select("benchmark_id"), "benchmark_id", "left_semi")

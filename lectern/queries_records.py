@@ -668,3 +668,34 @@ def stripped_variants(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", F.parse_json(record).alias("v"))
     clean = rows.select("c_custkey", variants.without_fields(F.col("v"), projections.FORBIDDEN, drop_nulls=True).alias("clean"), F.array_join(variants.field_paths(F.col("v"), projections.FORBIDDEN), ", ").alias("paths"))
     return clean.select("c_custkey", F.to_json(variants.asserted(F.col("clean"), projections.FORBIDDEN)).alias("stripped"), "paths")
+
+
+@query("""with held as (select c_custkey::varchar as v from customer where c_custkey % 4 < 2), t as (select o_orderkey, o_custkey::varchar as v, case o_orderkey % 3 when 0 then 'train' when 1 then 'dev' else 'other' end as file from orders)
+select distinct 'identifier' as kind, v as value from t where file <> 'other' and v in (select v from held)""")
+def release_leaks(spark, sf):
+    """SRC9, SRC10, JN18: a release's records but those of predictions and leaderboards, against the train and dev files of a folder, whose other files don't count."""
+    root, folder = scratch(spark, "release"), scratch(spark, "training")
+    k = F.col("c_custkey")
+    cases = table(spark, sf, "customer").select(k.cast("string").alias("benchmark_id"), F.lit("test").alias("split"), (k % 4).alias("at"))
+    for at, name in enumerate(("pose/cases.jsonl", "deep/er/cases.jsonl", "predictions/a.jsonl", "leaderboard/b.jsonl")):
+        sinks.write_jsonl(cases.where(F.col("at") == at).drop("at"), f"{root}/{name}")
+    rows = table(spark, sf, "orders").select(F.struct(text("o_custkey").alias("source_id")).alias("meta"), (F.col("o_orderkey") % 3).alias("at"))
+    for at, name in enumerate(("train", "dev", "other")):
+        sinks.write_jsonl(rows.where(F.col("at") == at).drop("at"), f"{folder}/{name}.jsonl")
+    held = files.benchmark_records(spark, root).select(F.from_json("record", "benchmark_id string, split string").alias("r")).select("r.*")
+    return splits.leakage(files.read_training(spark, folder, "meta struct<source_id:string>"), held)
+
+
+@query("select 'http://h/' || s_suppkey || '.pdb' as url, case when s_suppkey % 4 > 1 then 'ATOM  ' || s_suppkey end as text from supplier")
+def coordinate_files(spark, sf):
+    """SRC20, SRC29: coordinate files from a cache or fetched; a failure, and a text without atoms, is null."""
+
+    def fetch(url: str, body: bytes | None, timeout: int) -> str:
+        k = int(url.split("/")[-1][:-4])
+        if k % 4 == 0:
+            raise OSError("down")
+        return ("HEADER " if k % 4 == 1 else "ATOM  ") + str(k)
+
+    urls = table(spark, sf, "supplier").select(F.concat(F.lit("http://h/"), text("s_suppkey"), F.lit(".pdb")).alias("url"))
+    store = urls.where("url like '%3.pdb'").select("url", F.concat(F.lit("ATOM  "), F.regexp_extract("url", "([0-9]+)", 1)).alias("text")).where(F.regexp_extract("url", "([0-9]+)", 1).cast("int") % 4 > 1)
+    return adapters.cached(urls, store, fetch, adapters.has_atoms())

@@ -236,6 +236,18 @@ def sanity_rates(spark, sf):
     return stats_by_task(table(spark, sf, "events").select(F.col("event_type").alias("task_type"), (F.col("value") > 20).alias("schema_valid")))
 
 
+@query("""with e as (select coalesce(nullif(case when event_id % 11 = 0 then '' else event_type end, ''), 'unknown') as task, value > 1 as j, value > 5 as p, value > 20 as s from events), t as (select task, count(*) as n, count(*) filter (s) as v from e group by 1)
+select 'completed_with_warnings' as status, count(*) as attempted, count(*) as sampled_examples, count(*) filter (j) as json_valid_count, count(*) filter (p) as parse_valid_count, count(*) filter (s) as schema_valid_count, round(count(*) filter (j) / count(*), 9) as json_validity, (select string_agg(task || ':' || n || ':' || v, ',' order by task) from t) as tasks, (select count(*) from orders) as holdout_examples_available from e""")
+def sanity_summary(spark, sf):
+    """AGG42: the figures of all answers, and by task."""
+    from lectern.operators.predictions import sanity_summary as summary
+
+    rows = table(spark, sf, "events").select(F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type")).alias("task_type"), (F.col("value") > 1).alias("json_valid"), (F.col("value") > 5).alias("parse_valid"), (F.col("value") > 20).alias("schema_valid"))
+    out = summary(rows, table(spark, sf, "orders").count(), "m", "events")
+    tasks = F.array_join(F.transform("validity_by_task_type", lambda t: F.concat_ws(":", t["task_type"], t["n"].cast("string"), t["valid"].cast("string"))), ",")
+    return out.select("status", "attempted", "sampled_examples", "json_valid_count", "parse_valid_count", "schema_valid_count", F.round("json_validity", 9).alias("json_validity"), tasks.alias("tasks"), "holdout_examples_available")
+
+
 # Baselines
 
 

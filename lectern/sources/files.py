@@ -85,8 +85,8 @@ def read_release(spark: SparkSession, release: str) -> DataFrame:
 
 
 def benchmark_records(spark: SparkSession, release: str) -> DataFrame:
-    """(path, record) of all JSON lines below a release but those of predictions and leaderboards."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(release).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record"))
+    """(path, record) of all JSON lines below a release but those of predictions and leaderboards, whether a ``.jsonl`` is a file or a folder of parts."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*.jsonl,part-*}").text(release).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record")).where(F.col("path").rlike(r"\.jsonl(/part-[^/]*)?$"))
     for part in SKIPPED:
         text = text.where(~F.array_contains(F.split("path", "/"), part))
     return text.where(F.trim("record") != "")
