@@ -126,7 +126,7 @@ def first_rows(df: DataFrame, by: list[str], order: list[Column], most: int, pla
 
 
 def top_k(items: DataFrame, by: list[str], k: int, item: str) -> DataFrame:
-    """(by, top_enrichment) as the small panels have it; at most k rows a panel and side are compared."""
+    """(by, top_enrichment) as the small panels have it, for items named once a panel; at most k rows a panel and side are compared."""
     side = lambda c: first_rows(items.select(*by, item, c), by, [F.col(c).desc(), F.col(item)], k).select(*by, item)
     both = side("gold").join(side("pred"), [*by, item]).groupBy(*by).agg(F.count(F.lit(1)).alias("_both"))
     sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))

@@ -175,7 +175,7 @@ def panel_averages(spark, sf):
     return each.agg(mean("spearman", "spearman"), mean("kendall_tau", "kendall_tau"), mean("pairwise_accuracy", "pairwise"), mean("top_enrichment", "top_1"), F.count(F.lit(1)).alias("panels"))
 
 
-_HOT = "h as (select case when l_returnflag = 'R' then 'R' else 'other' end as panel, l_orderkey * 10 + l_linenumber as item, -l_quantity as gold, l_extendedprice as pred from lineitem)"
+_HOT = "h as (select case when l_returnflag = 'R' then 'R' else 'other' end as panel, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as item, -l_quantity as gold, l_extendedprice as pred from lineitem)"
 
 
 @query(f"""with {_HOT}, n as (select panel, count(*) as n from h group by panel), g as materialized (select distinct panel, gold from h),
@@ -188,7 +188,7 @@ t as (select panel, count(*) filter (gi <= 100 and pi <= 100) / 100.0 as top fro
 select panel, n, spearman, concordant, discordant, round((concordant - discordant) / (concordant + discordant), 9) as kendall_tau, round(top, 9) as top_enrichment from n join cd using (panel) join rho using (panel) join t using (panel)""")
 def whole_panels(spark, sf):
     """AGG4-8, JN6, JN7, WIN1: two panels that hold every line: ranks, pairs and the best hundred by range partitions."""
-    rows = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "R").otherwise("other").alias("panel"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), ranking.strength(F.col("l_quantity"), F.lit("lower_is_stronger")).alias("gold"), F.col("l_extendedprice").alias("pred"))
+    rows = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "R", "R").otherwise("other").alias("panel"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item"), ranking.strength(F.col("l_quantity"), F.lit("lower_is_stronger")).alias("gold"), F.col("l_extendedprice").alias("pred"))
     out = ranking.panel_metrics(rows, ["panel"], k=100, large=10_000)
     return out.select("panel", "n", F.round("spearman", 9).alias("spearman"), "concordant", "discordant", F.round("kendall_tau", 9).alias("kendall_tau"), F.round("top_enrichment", 9).alias("top_enrichment"))
 
