@@ -116,7 +116,7 @@ def model_lists(spark, sf):
 
 @query("select case when (rn - 1) % 10 < 7 then 'train' when (rn - 1) % 10 < 9 then 'dev' else 'test' end as split, count(*) as n from (select row_number() over (order by c_custkey) as rn from customer) group by 1")
 def written_splits(spark, sf):
-    """SNK5, SRC10, WIN5: a folder a split, read back."""
+    """SNK5, WIN5: a folder a split, read back."""
     where = scratch(spark, "splits")
     at = ordering.positions(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
     sinks.write_splits(at.select("c_custkey", splits.split_by_position(F.col("position")).alias("split")), where)
@@ -153,7 +153,7 @@ def manifest_checks(spark, sf):
 
 @query("select name, case when name like '%/0' then null else 'x' || n_nationkey end as text, name like '%/0' as failed from (select 'http://h/' || n_nationkey % 5 as name, n_nationkey from nation where n_nationkey < 5) t")
 def fetched_texts(spark, sf):
-    """SRC16, SRC17, SRC26, SRC27, SRC28, SRC29: urls fetched where the rows are, from a cache where it has them; a failure is a row."""
+    """SRC16, SRC17, SRC26, SRC28: urls fetched where the rows are, from a cache where it has them; a failure is a row."""
 
     def fetch(url: str, body: bytes | None, timeout: int) -> str:
         if url.endswith("/0"):
@@ -448,7 +448,7 @@ def completed_predictions(spark, sf):
 
 @query("select 'identifier' as kind, user_id::varchar as value from (select distinct user_id from events) where user_id in (select c_custkey from customer where c_custkey % 3 > 0) union all select 'hash', 'h' || c_nationkey from (select distinct c_nationkey from customer where c_custkey % 3 > 0 and c_nationkey < 5)")
 def leaked_ids(spark, sf):
-    """JN18, SET2, AGG46, SRC9: identifiers and hashes that training and evaluation rows share, wherever the records have them; training rows of the benchmark don't count."""
+    """JN18, SET2, AGG46: identifiers and hashes that training and evaluation rows share, wherever the records have them; training rows of the benchmark don't count."""
     train = table(spark, sf, "events").select(F.struct(text("user_id").alias("case_id")).alias("meta"), F.concat(F.lit("h"), big(F.col("user_id") % 5).cast("string")).alias("record_hash"))
     bench = table(spark, sf, "customer").select(F.array(text("c_custkey")).alias("source_ids"), F.concat(F.lit("h"), text("c_nationkey")).alias("case_hash"), F.when(F.col("c_custkey") % 3 == 0, "train").otherwise("").alias("split"))
     return splits.leakage(train, bench)
@@ -597,7 +597,7 @@ def packaged_release(spark, sf):
 
 @query("select 'search' as what, n_name as id, n_nationkey::bigint as at from nation union all select 'entry', n_name, (n_nationkey % 3)::bigint from nation")
 def service_searches(spark, sf):
-    """SRC19, SRC20, SRC21, SRC30: ids that a search found, in its order, and the metadata of entries."""
+    """SRC19, SRC30: ids that a search found, in its order, and the metadata of entries."""
     nation = table(spark, sf, "nation")
     one = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
     answer = nation.agg(F.to_json(F.struct(F.transform(one, lambda x: F.struct(x["n_name"].alias("identifier"))).alias("result_set"))).alias("text"))
@@ -638,7 +638,7 @@ def paged_hits(spark, sf):
 @query("""select v, o_orderkey, case when v > 1 and o_orderkey % 3 = 0 then 'changed' else o_orderstatus end as status, o_totalprice from orders, (values (1), (2), (3)) t(v)
 union all select v, -c_custkey, 'added', 0.0 from customer, (values (2), (3)) t(v) union all select 3, -1000000000 - s_suppkey, 'mirrored', 1.0 from supplier""")
 def committed_upserts(spark, sf):
-    """SNK12, SNK13, SNK14, SRC20, SRC23, SRC25: three versions of a table: as written, after an upsert that a failing one followed, and after a mirrored write whose copy is read."""
+    """SNK12, SNK13, SNK14: three versions of a table: as written, after an upsert that a failing one followed, and after a mirrored write whose copy is read."""
     from pyspark.errors import PySparkException
 
     path, copy = scratch(spark, "versions"), scratch(spark, "versions-copy")

@@ -230,7 +230,7 @@ def blocked_runs(spark, sf):
 
 @query("select event_type as task_type, count(*) as n, count(*) filter (value > 20) as valid, (count(*) filter (value > 20))::double / count(*) as valid_rate from events group by 1")
 def sanity_rates(spark, sf):
-    """AGG41, AGG42: valid answers by task."""
+    """AGG41: valid answers by task."""
     from lectern.operators.predictions import stats_by_task
 
     return stats_by_task(table(spark, sf, "events").select(F.col("event_type").alias("task_type"), (F.col("value") > 20).alias("schema_valid")))
@@ -314,7 +314,7 @@ def seeded_scores(spark, sf):
 
 @query("""with e as (select p_partkey as k, 'E' || p_partkey % 40 as pdb, (p_partkey % 3)::varchar as entity, 'C' as chain, 2 + p_partkey % 60 as n from part), f as (select pdb, entity, chain, min(k) as k from e where n between 2 and 50 group by all) select 'CASE-STRUCT-' || lpad(row_number() over (order by k)::varchar, 5, '0') as benchmark_id, pdb as pdb_id, entity as entity_id from f""")
 def structure_cases(spark, sf):
-    """GEN10, WIN4, ARR3, PRJ37, SRT7: short peptides of entries, one a chain, with running ids."""
+    """GEN10, WIN4, ARR3, PRJ37: short peptides of entries, one a chain, with running ids."""
     k = F.col("p_partkey")
     e = table(spark, sf, "part").select(F.concat(F.lit("E"), (k % 40).cast("string")).alias("pdb_id"), (k % 3).cast("string").alias("entity_id"), F.array(F.lit("C")).alias("chains"), F.array(F.lit("Z")).alias("asym_chains"), F.lit("Polypeptide(L)").alias("kind"), F.repeat(F.lit("a"), (2 + k % 60).cast("int")).alias("sequence"), k.alias("ord"))
     return builders.structure_cases(e).select("benchmark_id", "pdb_id", "entity_id")
@@ -401,7 +401,7 @@ def formats_and_domains(spark, sf):
 
 @query("""select 'datasheet' as report, 25::bigint as lines union all select 'card', 4 union all select 'violations', 1 union all select 'sources', 2 union all select 'board', count(*) from supplier""")
 def reports(spark, sf):
-    """SNK3, SNK8, SNK13, SNK16, SNK17, SNK18, SNK19, SNK20, GEN20: Markdown and the page, counted by the rows they show."""
+    """SNK3, SNK8, SNK16, SNK17, SNK18, SNK19, SNK20, GEN20: Markdown and the page, counted by the rows they show."""
     nation = table(spark, sf, "nation")
     cases = nation.select(F.col("n_name").alias("source_database"), pick(TRACKS, F.col("n_nationkey")).alias("track"))
     lines = lambda t, mark: sum(mark in line for line in t.splitlines())
@@ -428,7 +428,7 @@ def preserved_rows(spark, sf):
 
 @query(f"""select 'panel' as what, count(distinct l_orderkey) as n from lineitem union all select 'scale', {len(qc.SCALES)} union all select 'shown', {sum(map(len, projections.SHOWN.values()))}""")
 def inventory(spark, sf):
-    """SRC8, SRC37: results of a folder as rows; sizes of the fixed tables."""
+    """SRC8: results of a folder as rows; sizes of the fixed tables."""
     where = scratch(spark, "results") + ".json"
     _items(spark, sf).agg(F.countDistinct("panel").alias("n")).select(F.to_json(F.struct("n")).alias("value")).write.text(where)
     read = files.read_results(spark, where).where("result like '%n%'").select(F.lit("panel").alias("what"), F.get_json_object("result", "$.n").try_cast("bigint").alias("n"))
