@@ -2,8 +2,8 @@
 
 Vectors lie in blocks of at most ``BLOCK`` rows, each with a cover tree that is
 built once: a node is a range of the block's rows, a centre and a radius; its
-children are centres that lie farther apart than half its reach, and what they
-cover. The centroids of a round get a tree of their own, halved by their longest
+children are centres that lie farther apart than its reach divided by ``BASE``, and
+what they cover. The centroids of a round get a tree of their own, halved by their longest
 axis. A block is walked down both trees together: a pair of nodes is dropped when
 its least possible distance exceeds the greatest possible one of another pair of
 the same vectors. Where one centroid is left, a whole node counts as its own by
@@ -39,6 +39,7 @@ from lectern.llm.session import cut
 
 DIMS, K, ROUNDS, SCALE, SALT = 64, 8, 10, 1024, "3"
 BLOCK, LEAF, PAIRS = 2048, 16, 1 << 14
+BASE = 1.3  # by which a node's reach shrinks from level to level
 MOST = 1 << 27
 _BLOCKS = "ids array<long>, vectors binary, nodes binary, reach binary"
 
@@ -58,7 +59,7 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first, last, centre = nodes[at][:3]
         if last - first <= LEAF or reach[at] == 0.0:
             continue
-        rest, rows, made = reach[at] / 2, order[first:last].copy(), []
+        rest, rows, made = reach[at] / BASE, order[first:last].copy(), []
         pick = int(np.flatnonzero(rows == centre)[0])
         left = np.ones(len(rows), dtype=bool)
         while left.any():
@@ -68,7 +69,7 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = left & (away <= rest)
             made.append((int(rows[pick]), rows[own], float(away[own].max())))
             left &= ~own
-        if len(made) > len(rows) // 2:  # nothing is near anything: one leaf
+        if len(made) == len(rows):  # no two rows are that near: one leaf
             continue
         nodes[at][3:] = [len(nodes), len(nodes) + len(made)]
         for child, own, radius in made:
