@@ -14,7 +14,8 @@ has quality 0 or toxic 1; repeated labels of a page count once (bad if any is).
 Defined cases: a null url or one without ``://`` has an empty host and path and
 is judged as the host ''; hosts without labelled pages have their domain's
 rate; without labels all hosts have the rate 1/2 and are allowed; repeated or
-null page ids are judged row by row; other columns are ignored.
+null page ids are judged row by row; a bound that equals ``tolerated`` is
+allowed; an empty table of pages gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
