@@ -107,3 +107,24 @@ def contacts(left: DataFrame, right: DataFrame, cutoff: float = 5.0, by: tuple[s
     apart = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2)
     near = a.join(b, [*at, "_i", "_j"]).withColumn("distance", apart).where(F.col("distance") <= cutoff)
     return near.groupBy(*by, "residue", "other_residue").agg(F.round(F.min("distance"), 3).alias("distance"))
+
+
+def _copies(atoms: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(residues with all their atoms as one sorted array, the distinct arrays with the least residue that has them and how many do)."""
+    members = atoms.groupBy(*by, "residue").agg(F.array_sort(F.collect_set(F.struct("x", "y", "z"))).alias("_shape"))
+    return members, members.groupBy(*by, "_shape").agg(F.min(F.struct("residue")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+
+
+def contact_counts(left: DataFrame, right: DataFrame, cutoff: float = 5.0, by: tuple[str, ...] = (), part: int = PART) -> DataFrame:
+    """(by, residue, n, nearest): with how many of the others a residue is in contact, and the least distance; those in contact with none have no row.
+
+    Frames are as ``contacts`` has them. Residues with the same atoms are copies:
+    one of them meets the others' and stands for all, so that pairs grow with the
+    different sets of atoms and not with the copies.
+    """
+    (members, mine), (_, theirs) = _copies(left, by), _copies(right, by)
+    points = lambda shapes: shapes.select(*by, F.col("_first").alias("residue"), F.explode("_shape").alias("_a")).select(*by, "residue", "_a.x", "_a.y", "_a.z")
+    found = contacts(points(mine), points(theirs), cutoff, by, part).withColumnRenamed("residue", "_first")
+    sizes = theirs.select(*by, F.col("_first").alias("other_residue"), "_n")
+    each = found.join(sizes, [*by, "other_residue"]).groupBy(*by, "_first").agg(F.sum("_n").alias("n"), F.min("distance").alias("nearest"))
+    return members.join(mine.join(each, [*by, "_first"]).select(*by, "_shape", "n", "nearest"), [*by, "_shape"]).select(*by, "residue", "n", "nearest")

@@ -123,10 +123,9 @@ _ATOM = "select {k}::varchar as r, {k} * 37 % 11 / 3.0 as x, {k} * 91 % 13 / 3.0
 @query(f"""with a as ({_ATOM.format(k="p_partkey")} from part), b as ({_ATOM.format(k="s_suppkey")} from supplier)
 select a.r as residue, count(*) as n, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 3) as nearest from a, b where (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 25 group by a.r""")
 def crowded_contacts(spark, sf):
-    """JN8, JN9, SRT8: contacts where all atoms lie in a few cells, which are dealt into parts."""
+    """JN8, JN9, SRT8: contacts where all atoms lie in a few cells, which are dealt into parts; residues with the same atoms are met once, with their number."""
     atoms = lambda name, key: table(spark, sf, name).select(F.col(key).cast("string").alias("residue"), (F.col(key) * 37 % 11 / 3.0).alias("x"), (F.col(key) * 91 % 13 / 3.0).alias("y"), (F.col(key) % 7 / 2.0).alias("z"))
-    found = structure.contacts(atoms("part", "p_partkey"), atoms("supplier", "s_suppkey"), part=64)
-    return found.groupBy("residue").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("nearest"))
+    return structure.contact_counts(atoms("part", "p_partkey"), atoms("supplier", "s_suppkey"), part=64)
 
 
 # Ranking

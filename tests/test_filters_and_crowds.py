@@ -55,3 +55,25 @@ def test_first_contacts_of_a_hot_pair(spark):
     found = spark.range(5000).select(F.lit("k").alias("k"), F.format_string("r%05d", (F.col("id") * 7 % 5000).cast("int")).alias("residue"), F.lit("o").alias("other_residue"), F.lit(1.0).alias("distance"))
     got = structure.contact_list(found, ("k",)).first().native_contacts
     assert [c.target_residue for c in got] == [f"r{i:05d}" for i in range(200)]
+
+
+def test_copies_of_residues_are_met_once(spark):
+    rng = np.random.default_rng(3)
+    make = lambda n, p: [(f"{p}{i}", *map(float, at)) for i in range(n) for at in rng.integers(0, 4, (1 + i % 3, 3)) * 2.5]
+    left, right = make(120, "a"), make(150, "b")
+    least = {}
+    for r, *p in left:
+        for s, *q in right:
+            d = float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum()))
+            if d <= 5:
+                least[r, s] = min(d, least.get((r, s), 9.0))
+    want = {r: (sum(k[0] == r for k in least), min(d for k, d in least.items() if k[0] == r)) for r in {k[0] for k in least}}
+    frames = [spark.createDataFrame(x, "residue string, x double, y double, z double") for x in (left, right)]
+    got = {r.residue: (r.n, r.nearest) for r in structure.contact_counts(*frames, part=16).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 6e-4 for k in want)
+
+
+def test_a_billion_pairs_of_copies(spark):
+    atoms = lambda n, p: spark.range(n).select(F.concat(F.lit(p), "id").alias("residue"), (F.col("id") % 4).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    out = structure.contact_counts(atoms(40_000, "a"), atoms(40_000, "b"), cutoff=1.0).groupBy("n", "nearest").count().collect()
+    assert sorted(tuple(r) for r in out) == [(20_000, 0.0, 20_000), (30_000, 0.0, 20_000)]
