@@ -458,6 +458,6 @@ def stateful_runs(spark, sf):
     source = scratch(spark, "requests")
     requests.write.parquet(source)
     stream = runs.ready(spark).readStream.schema(requests.schema).parquet(source)
-    results = runs.run_stream(stream, _answer, json.loads, model_runs.run_ladder(2), first_wait=0.01)
+    results = runs.run_stream(stream, _answer, json.loads, model_runs.run_ladder(2), first_wait=0.01, seconds=5)
     out = runs.drain(results, scratch(spark, "results"), scratch(spark, "progress"), spark.read.parquet(source).count())
     return out.groupBy("model_id", "status", "error_type").agg(big(F.sum("attempts")).alias("attempts"), F.count(F.lit(1)).alias("n"))

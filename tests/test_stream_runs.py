@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import json
+import time
 
 from lectern.plans.model_runs import Attempt, retry_ladder, run_ladder
 from lectern.sources.adapters import OutOfCredits
@@ -56,3 +57,15 @@ def test_a_restart_asks_each_chunk_once(spark, tmp_path):
     out = runs.drain(made(), *where, 26)
     assert collections.Counter((r.model_id, r.chunk) for r in out.collect()) == collections.Counter([("a", c) for c in range(14)] + [("b", c) for c in range(12)])
     assert set(collections.Counter(open(log)).values()) == {1}
+
+
+def test_many_chunks_a_batch_and_no_limit_while_results_come(spark, tmp_path):
+    runs.ready(spark)
+    log, source = str(tmp_path / "log"), str(tmp_path / "in")
+    spark.createDataFrame(rows(["good", "poor"], 1500), REQUEST).coalesce(1).write.parquet(source)
+    made = lambda name, **how: (runs.run_stream(spark.readStream.schema(REQUEST).parquet(source), caller(log), json.loads, run_ladder(2), **how), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-cp"))
+    out = runs.drain(*made("quick", seconds=30), 3000)
+    assert collections.Counter((r.model_id, r.status) for r in out.collect()) == {("good", "completed"): 1500, ("poor", "failed"): 1, ("poor", "fallback"): 1499}
+    assert len(set(out.select("_metadata.file_name").collect())) <= 4  # in batches of 16 there were 94
+    began = time.monotonic()
+    assert runs.drain(*made("slow", most=250), 3000, seconds=8, every="3 seconds").count() == 3000 and time.monotonic() - began > 8
