@@ -4,7 +4,8 @@ The model is a function (model_id, messages as JSON, options) -> text. What is
 asked how often is data (``Attempt``), so every run and retry is the same loop.
 Requests of one model, mode and track are one group in their order, because a
 provider that fails for good is not asked again: the rest of its chunks get the
-fallback. Groups run beside one another.
+fallback. Groups run beside one another; Python holds a batch of a group's rows,
+not the group.
 """
 
 from __future__ import annotations
@@ -81,16 +82,20 @@ def run_tracks(requests: DataFrame, caller: Caller, check: Callable[[str], None]
     todo = without(requests, done, [*GROUP, "chunk"]) if done is not None else requests
     names = [c.split()[0] for c in RESULT.split(", ")]
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        out, down = [], False
-        for row in rows.sort_values("chunk").to_dict("records"):
-            text, tries, error = (None, 0, None) if down else ask(caller, check, row["model_id"], row, ladder, wait)
-            status = "completed" if text is not None else "fallback" if down else "failed"
-            down = down or (fail_over and text is None)
-            out.append([*(row[c] for c in (*GROUP, "chunk", "benchmark_ids")), text, status, tries, error_type(error) if error else None, f"{type(error).__name__}: {error}"[:300] if error else None])
-        return pd.DataFrame(out, columns=names)
-
-    return todo.groupBy(*GROUP).applyInPandas(group, RESULT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, down = None, False
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                if group != (group := tuple(row[c] for c in GROUP)):
+                    down = False
+                text, tries, error = (None, 0, None) if down else ask(caller, check, row["model_id"], row, ladder, wait)
+                status = "completed" if text is not None else "fallback" if down else "failed"
+                down = down or (fail_over and text is None)
+                out.append([*group, *(row[c] for c in ("chunk", "benchmark_ids")), text, status, tries, error_type(error) if error else None, f"{type(error).__name__}: {error}"[:300] if error else None])
+            yield pd.DataFrame(out, columns=names)
+
+    return todo.repartition(*GROUP).sortWithinPartitions(*GROUP, "chunk").mapInPandas(run, RESULT)
 
 
 def requests_for(models: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -331,3 +331,24 @@ def test_calls_resume_and_keep_errors(spark):
 
     out = workflows.call_models(prompts, caller, prompts.limit(1).select("model_id", "benchmark_id"), retries=0).collect()
     assert len(out) == 3 and all(r.error == "ValueError: down" for r in out)
+
+
+def test_runs_hold_a_batch_of_a_group(spark):
+    rows = [(m, "base", "t", c, [f"b{c}"], str(c), None) for c in reversed(range(700)) for m in ("good", "odd", "poor")]
+    requests = spark.createDataFrame(rows, "model_id string, mode string, track string, chunk bigint, benchmark_ids array<string>, messages string, compact string")
+
+    def caller(model, messages, options):
+        if model == "poor":
+            raise OutOfCredits("pay")
+        return "nothing" if model == "odd" and messages == "250" else "{}"
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = model_runs.run_tracks(requests, caller, json.loads, model_runs.run_ladder(1), wait=lambda s: None)
+        got = {(r.model_id, r.chunk): (r.status, r.attempts) for r in out.collect()}
+        assert "InPandas" in (plan := out._jdf.queryExecution().toString()) and "FlatMapGroups" not in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = lambda m, c: ("completed", 1) if m == "good" or (m == "odd" and c < 250) else ("failed", 2) if m == "odd" and c == 250 else ("failed", 1) if m == "poor" and c == 0 else ("fallback", 0)
+    assert got == {(m, c): want(m, c) for m in ("good", "odd", "poor") for c in range(700)}
