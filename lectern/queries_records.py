@@ -12,7 +12,7 @@ from lectern.functions import hashes, variants
 from lectern.functions.json import record_key
 from lectern.operators import effects, evidence, keys, ordering, predictions, projections, qc, release, reports, splits, structure
 from lectern.plans import builds
-from lectern.queries import pick, query, table
+from lectern.queries import pick, query, spread, table
 from lectern.runtime import scratch
 from lectern.schemas import TRACKS, validate, validation_report, without_nulls
 from lectern.sinks import files as sinks
@@ -392,7 +392,7 @@ def effect_predictions(spark, sf):
     """PRJ43, PRJ44, PRJ51, EXT18, EXT21: answers to predictions: words put into their domains, defaults for what is missing, failures kept."""
     k = F.col("c_custkey")
     answer = F.when(k % 4 == 0, "no answer").when(k % 4 == 1, 'so: {"category": "Cardiovascular", "claim_status": "SUPPORTED"}').when(k % 4 == 2, '<json>{"abstained": true, "claim_status": "certain"}</json>').otherwise('{"category": 5,}')
-    parsed = predictions.parsed(table(spark, sf, "customer").select(k.cast("string").alias("benchmark_id"), answer.alias("text")))
+    parsed = predictions.parsed(spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(k.cast("string").alias("benchmark_id"), answer.alias("text")))
     return predictions.predictions(parsed, "human_effect", "m").select("benchmark_id", "status", "category", "claim_status", "abstained")
 
 
@@ -402,7 +402,7 @@ def pose_predictions(spark, sf):
     k = F.col("c_custkey")
     good = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.struct(F.when(i < k % 60, "A:1").otherwise("A1").alias("target_residue"), F.lit("B:1").alias("peptide_residue"), F.lit(1.0).alias("distance_angstrom")))
     payload = F.to_json(F.struct(good.alias("contacts"), F.when(k % 3 == 0, -1.0).otherwise((k % 3).cast("double")).alias("clash_score")))
-    rows = table(spark, sf, "customer").select(k.cast("string").alias("benchmark_id"), F.try_parse_json(payload).alias("payload"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(k.cast("string").alias("benchmark_id"), F.try_parse_json(payload).alias("payload"))
     return predictions.predictions(rows, "pose", "m").select("benchmark_id", big(F.size("predicted_contacts")).alias("contacts"), F.col("clash_score").alias("clash"))
 
 
@@ -411,7 +411,7 @@ def structure_predictions(spark, sf):
     """PRJ50, AGG55: confidence clamped, and no coordinates without confidence given the least."""
     k = F.col("c_custkey")
     payload = F.to_json(F.struct(F.when(k % 3 == 1, 7.0).when(k % 3 == 2, 0.5).alias("confidence")))
-    rows = table(spark, sf, "customer").select(k.cast("string").alias("benchmark_id"), F.try_parse_json(payload).alias("payload"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(k.cast("string").alias("benchmark_id"), F.try_parse_json(payload).alias("payload"))
     return predictions.predictions(rows, "structure", "m").select("benchmark_id", F.col("confidence").cast("double").alias("confidence"))
 
 

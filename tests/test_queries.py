@@ -43,3 +43,8 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert flagship(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["pose_predictions", "structure_predictions", "effect_predictions"])
+def test_wide_rows_of_a_small_file_are_made_by_many_tasks(spark, name):
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
