@@ -39,13 +39,14 @@ def correlation(x: Column, y: Column) -> Column:
 
 def by_size(items: DataFrame, by: list[str], large: int = LARGE) -> tuple[DataFrame, DataFrame | None]:
     """(items of panels up to ``large`` items, items of the others or None); keys of at most a ``large``-th of the rows are collected and broadcast."""
-    sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(*by)
-    found = sizes.collect()
-    if not found:
-        return items, None
-    keys = F.broadcast(items.sparkSession.createDataFrame(found, sizes.schema).toDF(*[f"_{c}" for c in by]))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    return items.join(keys, same, "left_anti"), items.join(keys, same, "left_semi")
+    sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    found = sizes.where(F.col("_n") > large).select(*by).collect()
+    small, hot = items, None
+    if found:
+        keys = F.broadcast(items.sparkSession.createDataFrame(found, sizes.select(*by).schema).toDF(*[f"_{c}" for c in by]))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        small, hot = items.join(keys, same, "left_anti"), items.join(keys, same, "left_semi")
+    return small, hot
 
 
 def _either(parts: tuple[DataFrame, DataFrame | None], small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -54,11 +55,7 @@ def _either(parts: tuple[DataFrame, DataFrame | None], small: Callable[[DataFram
 
 def spearman(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, spearman) of each panel."""
-    return _spearman(by_size(items, by), by)
-
-
-def _spearman(parts: tuple[DataFrame, DataFrame | None], by: list[str]) -> DataFrame:
-    return _either(parts, lambda small: _small_spearman(small, by), lambda large: large_panels.spearman(large, by))
+    return _either(by_size(items, by), lambda small: _small_spearman(small, by), lambda large: large_panels.spearman(large, by))
 
 
 def _small_spearman(items: DataFrame, by: list[str]) -> DataFrame:
@@ -104,11 +101,10 @@ def _pairs_in_row(items: Column) -> Column:
 
 def pair_metrics(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, concordant, discordant, kendall_tau, pairwise_accuracy): pairs tied in gold or prediction are left out of Kendall's; accuracy counts pairs that gold and prediction both order."""
-    return _pair_metrics(by_size(items, by), by)
+    return _agreement(_either(by_size(items, by), lambda small: _small_pairs(small, by), lambda large: large_panels.pairs(large, by)))
 
 
-def _pair_metrics(parts: tuple[DataFrame, DataFrame | None], by: list[str]) -> DataFrame:
-    both = _either(parts, lambda small: _small_pairs(small, by), lambda large: large_panels.pairs(large, by))
+def _agreement(both: DataFrame) -> DataFrame:
     untied = F.col("concordant") + F.col("discordant")
     return both.withColumn("kendall_tau", F.coalesce(F.try_divide(F.col("concordant") - F.col("discordant"), untied), F.lit(0.0))).withColumn("pairwise_accuracy", F.coalesce(F.try_divide(F.col("concordant"), untied), F.lit(0.0)))
 
@@ -122,11 +118,7 @@ def _small_pairs(items: DataFrame, by: list[str]) -> DataFrame:
 
 def top_k(items: DataFrame, by: list[str], k: int = 1, item: str = "item") -> DataFrame:
     """(by, enrichment): share of the k strongest items by gold among the k best by prediction, k at most the panel's size; ties go by item id."""
-    return _top_k(by_size(items, by), by, k, item)
-
-
-def _top_k(parts: tuple[DataFrame, DataFrame | None], by: list[str], k: int, item: str) -> DataFrame:
-    return _either(parts, lambda small: _small_top_k(small, by, k, item), lambda large: large_panels.top_k(large, by, k, item))
+    return _either(by_size(items, by), lambda small: _small_top_k(small, by, k, item), lambda large: large_panels.top_k(large, by, k, item))
 
 
 def _small_top_k(items: DataFrame, by: list[str], k: int, item: str) -> DataFrame:
@@ -137,8 +129,10 @@ def _small_top_k(items: DataFrame, by: list[str], k: int, item: str) -> DataFram
 
 def panel_metrics(items: DataFrame, by: list[str], item: str = "item", k: int = 1, large: int = LARGE) -> DataFrame:
     """All metrics of each panel; those of more than ``large`` items are spread over tasks."""
-    parts = by_size(items, by, large)
-    return _spearman(parts, by).join(_pair_metrics(parts, by), by, "left").join(_top_k(parts, by, k, item), by, "left").na.fill(0.0, ["kendall_tau", "pairwise_accuracy"])
+    small, hot = by_size(items, by, large)
+    correlated, paired, top = (None,) * 3 if hot is None else large_panels.metrics(hot, by, k, item)
+    either = lambda few, many: few if many is None else few.unionByName(many)
+    return either(_small_spearman(small, by), correlated).join(_agreement(either(_small_pairs(small, by), paired)), by, "left").join(either(_small_top_k(small, by, k, item), top), by, "left").na.fill(0.0, ["kendall_tau", "pairwise_accuracy"])
 
 
 def panel_items(cases: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -85,3 +85,16 @@ def test_large_panels_equal_small_ones(spark):
     counts = lambda rows: sorted((str(r.panel), r.concordant, r.discordant) for r in rows.collect())
     assert counts(large_panels.pairs(df, ["panel"], block=64)) == counts(ranking.pair_metrics(df, ["panel"]))
     assert rounded(ranking.panel_metrics(df.limit(0), ["panel"])) == []
+
+
+def test_repeated_rows_of_large_panels_are_cells(spark):
+    rng = np.random.default_rng(8)
+    few = [(p, None if i % 50 == 0 else float(rng.integers(0, 12)), None if i % 70 == 0 else float(rng.integers(0, 60) if p == "a" else rng.integers(0, 400))) for p in "ab" for i in range(500)]
+    df = spark.createDataFrame([(p, j * 500 + i, g, q) for j in range(6) for i, (p, g, q) in enumerate(few)], "panel string, item int, gold double, pred double")
+    assert large_panels.ranked_cells(df, ["panel"]).count() == len(set(few))
+    counts = lambda rows: sorted((r.panel, r.concordant, r.discordant) for r in rows.collect())
+    want = counts(ranking.pair_metrics(df, ["panel"]))
+    assert counts(large_panels.pairs(df, ["panel"], block=64)) == counts(large_panels.pairs(df, ["panel"], block=700)) == want
+    rounded = lambda out: sorted((r.panel, round(r.spearman, 9), r.top_enrichment, r.n) for r in out.collect())
+    for k in (7, 5900):
+        assert rounded(ranking.panel_metrics(df, ["panel"], k=k, large=100)) == rounded(ranking.panel_metrics(df, ["panel"], k=k))
