@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.operators import large_panels
 
-SMALL, LARGE = 512, 50_000
+SMALL, LARGE, ROWS = 512, 50_000, 1 << 19
 
 
 def strength(value: Column, direction: Column) -> Column:
@@ -38,15 +38,20 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def by_size(items: DataFrame, by: list[str], large: int = LARGE) -> tuple[DataFrame, DataFrame | None]:
-    """(items of panels up to ``large`` items, items of the others or None); keys of at most a ``large``-th of the rows are collected and broadcast."""
+    """(items of panels up to ``large`` items, items of the others or None); keys of at most a ``large``-th of the rows are collected and broadcast.
+
+    Items of small panels lie by panel in partitions of about ``ROWS`` rows, or
+    in the session's number where those have fewer.
+    """
     sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    found = sizes.where(F.col("_n") > large).select(*by).collect()
+    rows, found = sizes.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > large, F.struct(*by)))).first()
     small, hot = items, None
     if found:
         keys = F.broadcast(items.sparkSession.createDataFrame(found, sizes.select(*by).schema).toDF(*[f"_{c}" for c in by]))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
         small, hot = items.join(keys, same, "left_anti"), items.join(keys, same, "left_semi")
-    return small, hot
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.repartition(max(parts, -(-rows // ROWS)), *by) if (rows or 0) > ROWS else small, hot
 
 
 def _either(parts: tuple[DataFrame, DataFrame | None], small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:

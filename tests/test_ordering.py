@@ -98,3 +98,10 @@ def test_repeated_rows_of_large_panels_are_cells(spark):
     rounded = lambda out: sorted((r.panel, round(r.spearman, 9), r.top_enrichment, r.n) for r in out.collect())
     for k in (7, 5900):
         assert rounded(ranking.panel_metrics(df, ["panel"], k=k, large=100)) == rounded(ranking.panel_metrics(df, ["panel"], k=k))
+
+
+def test_small_panels_lie_in_partitions_of_bounded_size(spark, monkeypatch):
+    df = spark.range(20000).select(F.floor(F.col("id") / 4).alias("panel"), F.col("id").alias("item"), (F.col("id") % 7).alias("gold"), (F.col("id") % 5).alias("pred"))
+    monkeypatch.setattr(ranking, "ROWS", 1000, raising=False)
+    for measure in (ranking.spearman, ranking.pair_metrics, ranking.top_k):
+        assert measure(df, ["panel"]).rdd.getNumPartitions() >= 20
