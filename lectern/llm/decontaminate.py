@@ -48,6 +48,7 @@ LEAST = 0.4
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_WORDS = 1_000_000
 BATCH_CELLS = 1 << 16
+TEXT_BYTES = 1 << 18
 SCHEMA = "doc_id long, item_id long, score long, coverage double, first_word long, last_word long"
 
 _MARK = np.zeros(256, dtype=bool)
@@ -204,7 +205,7 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         items = shared.value
         total, documents = np.zeros(len(items.seeds), dtype=np.int64), 0
         for batch in batches:
-            for _, buf, offs in kernel.blocks(batch, "text"):
+            for _, buf, offs in kernel.blocks(batch, "text", TEXT_BYTES):
                 grams, first = kernel.shingle_hashes(*bare_words(buf, offs), SEED)
                 hit, seed = items.find(grams)
                 doc = np.searchsorted(first, hit, side="right") - 1
@@ -228,7 +229,7 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
         items = shared.value
         full = MATCH * np.diff(items.first)
         for batch in batches:
-            for rows, buf, offs in kernel.blocks(batch, "text"):
+            for rows, buf, offs in kernel.blocks(batch, "text", TEXT_BYTES):
                 found = [(d, int(items.ids[i]), s, round(s / int(full[i]), 6), a, b) for (d, i), (s, a, b) in _aligned(items, *bare_words(buf, offs)).items() if s >= least * full[i]]
                 if found:
                     cols = list(zip(*found, strict=True))
@@ -268,7 +269,7 @@ def _clean(docs: DataFrame, items: Items, least: float) -> DataFrame:
         items = shared.value
         full = MATCH * np.diff(items.first)
         for batch in batches:
-            for rows, buf, offs in kernel.blocks(batch, text):
+            for rows, buf, offs in kernel.blocks(batch, text, TEXT_BYTES):
                 keep = np.ones(rows.num_rows, dtype=bool)
                 keep[[d for (d, i), (s, _, _) in _aligned(items, *bare_words(buf, offs)).items() if s >= least * full[i]]] = False
                 yield rows.filter(pa.array(keep))

@@ -52,6 +52,8 @@ B, A, Q = 1.02, 20.0, (1 << 16) - 2
 PERCENT = 75
 SIGMAS = 5.0
 BLOCK, BLOCK_BYTES = 256, 1 << 20
+#: Bytes of text that are sketched at once.
+TEXT_BYTES = 1 << 18
 
 _MULTIPLY, _ADD = kernel.stream64(M, 31) | np.uint64(1), kernel.stream64(M, 37)
 _BAND = kernel.stream64(BANDS, 41)
@@ -106,7 +108,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(0x5851F42D4C957F2D)
         for batch in batches:
-            for rows, buf, offs in kernel.blocks(batch, "text"):
+            for rows, buf, offs in kernel.blocks(batch, "text", TEXT_BYTES):
                 h, first = kernel.document_shingles(buf, offs)
                 at = first.tolist()
                 sets = [np.unique(h[i:j]) for i, j in zip(at, at[1:], strict=False)]
@@ -154,7 +156,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the documents with the given distinct ids: sorted 64-bit hashes as bytes."""
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in kernel.blocks(batch, "text"):
+        for rows, buf, offs in kernel.blocks(batch, "text", TEXT_BYTES):
             h, first = kernel.document_shingles(buf, offs)
             cuts = first.tolist()
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([np.unique(h[i:j]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])

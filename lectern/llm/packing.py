@@ -36,6 +36,8 @@ from lectern.llm.tokens import END_ID, tokenizer
 LIMIT = 4096
 BINS = 128
 SALTS = 64
+#: Bytes of text that are tokenized at once.
+TEXT_BYTES = 1 << 18
 
 
 def pieces(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            for rows, buf, offs in kernel.blocks(batch, "text"):
+            for rows, buf, offs in kernel.blocks(batch, "text", TEXT_BYTES):
                 ids, cuts = tok.encode(buf, offs, END_ID)
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 n = np.diff(cuts)

@@ -5,8 +5,9 @@ the border from a letter to punctuation, so a text's ids are its words' ids in
 order, and a word's are those of what precedes its closing punctuation and of
 that punctuation. A block's words are hashed, each distinct word is looked up
 (or tokenized once) and the ids are gathered by numpy. Words that share a hash
-are told apart by their bytes. The cache is bounded and only a cache: emptying
-it costs time, never results.
+are told apart by their bytes. The cache is bounded, however many words the
+corpus has, and only a cache: when it is full, words that no second block had
+leave it, which costs time, never results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from lectern.llm import kernel
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MOST_WORDS, MOST_LATEST = 2_000_000, 50_000
+#: Bounds of the cache: its words, their bytes and ids, and words in the dictionary of the latest.
+MOST_WORDS, MOST_BYTES, MOST_LATEST = 250_000, 16 << 20, 50_000
+#: Words that are tokenized at once.
+AT_ONCE = 4096
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -65,6 +69,26 @@ class WordTokenizer:
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
         self.letters, self.written = np.zeros(1 << 20, np.uint8), 0
         self.places, self.spans = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
+
+    def _make_room(self) -> None:
+        """Keep the words that were met in a second block; where they are more than half of what may be kept, none."""
+        self._merge()
+        kept = self.again[self.slots]
+        hashes, slots = self.hashes[kept], self.slots[kept]
+        places, spans, starts, lengths = self.places[slots], self.spans[slots], self.starts[slots], self.lengths[slots]
+        letters, ids = self.letters[kernel.ragged(places, spans)], self.ids[kernel.ragged(starts, lengths)]
+        self._reset()
+        if 2 * len(slots) <= MOST_WORDS and 2 * (len(letters) + ids.nbytes) <= MOST_BYTES:
+            self._keep(letters, spans, ids, lengths)
+            self.hashes, self.slots = hashes, np.arange(len(slots))
+
+    def _merge(self) -> None:
+        """The latest words go to the sorted arrays."""
+        h = np.concatenate([self.hashes, np.fromiter(self.latest, np.uint64, len(self.latest))])
+        found = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
+        order = np.argsort(h)
+        self.hashes, self.slots, self.latest = h[order], found[order], {}
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Tokenize words not met before; their places among the words met."""
@@ -73,13 +97,17 @@ class WordTokenizer:
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
         raw = kernel.LOWER[np.frombuffer(b"".join(words), dtype=np.uint8)]
         spans = np.fromiter(map(len, words), np.int64, len(words))
-        while self.met + len(found) > len(self.starts):
-            self.starts, self.lengths, self.places, self.spans = (np.concatenate([a, a]) for a in (self.starts, self.lengths, self.places, self.spans))
+        return self._keep(raw, spans, flat, sizes)
+
+    def _keep(self, raw: np.ndarray, spans: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Append words (``raw`` letters of ``spans`` bytes each, ``flat`` ids of ``sizes`` each); their places among the words met."""
+        while self.met + len(sizes) > len(self.starts):
+            self.starts, self.lengths, self.places, self.spans, self.again = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths, self.places, self.spans, self.again))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         while self.written + len(raw) + 8 > len(self.letters):
             self.letters = np.concatenate([self.letters, self.letters])
-        new = slice(self.met, self.met + len(found))
+        new = slice(self.met, self.met + len(sizes))
         self.ids[self.used : self.used + len(flat)] = flat
         self.letters[self.written : self.written + len(raw)] = raw
         self.starts[new], self.lengths[new] = self.used + np.cumsum(sizes) - sizes, sizes
@@ -89,9 +117,9 @@ class WordTokenizer:
 
     def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Each word's place among the words met."""
-        if self.met > MOST_WORDS:
-            self._reset()
-        line, size = kernel.folded(buf), end - start
+        if self.met > MOST_WORDS or self.written + self.ids.itemsize * self.used > MOST_BYTES:
+            self._make_room()
+        line, size, met = kernel.folded(buf), end - start, self.met
         hashes, at, each = np.unique(kernel.line_hashes(line, start, end), return_index=True, return_inverse=True)
         slot = np.full(len(hashes), -1, np.int64)
         if len(self.hashes) and len(hashes):
@@ -102,17 +130,15 @@ class WordTokenizer:
         keys = hashes[rest].tolist()
         new = [i for i, h in enumerate(keys) if h not in self.latest]
         whole = memoryview(np.ascontiguousarray(buf))
-        for i in range(0, len(new), 1 << 15):
-            part = new[i : i + (1 << 15)]
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
             s, e = start[at[rest[part]]].tolist(), end[at[rest[part]]].tolist()
             learnt = self._learn([bytes(whole[a:b]) for a, b in zip(s, e, strict=True)])
             self.latest.update(zip((keys[k] for k in part), learnt.tolist(), strict=True))
         slot[rest] = np.fromiter((self.latest[h] for h in keys), np.int64, len(keys))
+        self.again[slot[slot < met]] = True
         if len(self.latest) > MOST_LATEST:
-            h = np.concatenate([self.hashes, np.fromiter(self.latest, np.uint64, len(self.latest))])
-            found = np.concatenate([self.slots, np.fromiter(self.latest.values(), np.int64, len(self.latest))])
-            order = np.argsort(h)
-            self.hashes, self.slots, self.latest = h[order], found[order], {}
+            self._merge()
         out = slot[each]
         same = self.spans[out] == size  # words of up to eight bytes with equal hash and size are equal
         wide = np.flatnonzero(same & (size > 8))

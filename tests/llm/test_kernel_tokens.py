@@ -53,6 +53,36 @@ def test_word_cache_survives_its_limits(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [tok.model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_cache_keeps_words_met_again(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 200)
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER))
+    learnt, learn = [], tok._learn
+    monkeypatch.setattr(tok, "_learn", lambda words: learnt.extend(words) or learn(words))
+    common = [f"common{i}" for i in range(20)]
+    for block in range(12):
+        text = " ".join([*common, *(f"b{block}x{i}" for i in range(90))])
+        ids, _ = tok.encode(*kernel.column_bytes(pa.array([text])), None)
+        assert ids.tolist() == tok.model.encode(text, add_special_tokens=False).ids
+        assert tok.met <= 200 + 110
+    assert sorted(w.decode() for w in learnt if w.startswith(b"common")) == sorted(common)
+
+
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_BYTES", 1 << 20)
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER))
+    for block in range(12):
+        text = f"{block}" + "ab" * 100_000
+        assert tok.encode(*kernel.column_bytes(pa.array([text])), None)[0].tolist() == tok.model.encode(text, add_special_tokens=False).ids
+    assert tok.written < 3 << 20
+
+
+def test_word_cache_does_not_grow_with_the_corpus():
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER))
+    for block in range(24):
+        tok.encode(*kernel.column_bytes(pa.array([" ".join(f"{i:x}" for i in range(block * 25_000, block * 25_000 + 25_000))])), None)
+    assert sum(v.nbytes for v in vars(tok).values() if isinstance(v, np.ndarray)) < 40 << 20
+
+
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=120))
 @settings(max_examples=80, deadline=None)
 def test_suffix_order(values):
