@@ -38,6 +38,8 @@ BINS = 128
 SALTS = 64
 #: Bytes of text that are tokenized at once.
 TEXT_BYTES = 1 << 18
+#: The word cache has this part of its bounds: workers of the pipeline share an executor with what earlier stages left.
+CACHE_SHARE = 8
 
 
 def pieces(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = tokenizer(path, CACHE_SHARE)
         for batch in batches:
             for rows, buf, offs in kernel.blocks(batch, "text", TEXT_BYTES):
                 ids, cuts = tok.encode(buf, offs, END_ID)

@@ -22,7 +22,7 @@ from lectern.llm import kernel
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Bounds of the cache: its words, their bytes and ids, and words in the dictionary of the latest.
-MOST_WORDS, MOST_BYTES, MOST_LATEST = 250_000, 16 << 20, 50_000
+MOST_WORDS, MOST_BYTES, MOST_LATEST = 2_000_000, 128 << 20, 50_000
 #: Words that are tokenized at once.
 AT_ONCE = 4096
 
@@ -31,7 +31,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[list(b".,!?;:*$%&#")] = True
 
-_OPEN: dict[str, "WordTokenizer"] = {}
+_OPEN: dict[tuple[str, int], "WordTokenizer"] = {}
 
 
 def without_closing(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,11 +54,12 @@ def without_closing(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first:
 class WordTokenizer:
     """Ids of words by their hashes: sorted arrays of most words met so far, and a dictionary of the latest."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, share: int = 1):
+        """share: the cache has a ``share``-th of its bounds."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.share = Tokenizer.from_file(path), share
         self._reset()
 
     def _reset(self) -> None:
@@ -79,7 +80,7 @@ class WordTokenizer:
         places, spans, starts, lengths = self.places[slots], self.spans[slots], self.starts[slots], self.lengths[slots]
         letters, ids = self.letters[kernel.ragged(places, spans)], self.ids[kernel.ragged(starts, lengths)]
         self._reset()
-        if 2 * len(slots) <= MOST_WORDS and 2 * (len(letters) + ids.nbytes) <= MOST_BYTES:
+        if 2 * len(slots) <= MOST_WORDS // self.share and 2 * (len(letters) + ids.nbytes) <= MOST_BYTES // self.share:
             self._keep(letters, spans, ids, lengths)
             self.hashes, self.slots = hashes, np.arange(len(slots))
 
@@ -117,7 +118,7 @@ class WordTokenizer:
 
     def _slots(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Each word's place among the words met."""
-        if self.met > MOST_WORDS or self.written + self.ids.itemsize * self.used > MOST_BYTES:
+        if self.met > MOST_WORDS // self.share or self.written + self.ids.itemsize * self.used > MOST_BYTES // self.share:
             self._make_room()
         line, size, met = kernel.folded(buf), end - start, self.met
         hashes, at, each = np.unique(kernel.line_hashes(line, start, end), return_index=True, return_inverse=True)
@@ -180,12 +181,12 @@ def _spread(mine: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
     return out
 
 
-def tokenizer(path: str | None = None) -> WordTokenizer:
+def tokenizer(path: str | None = None, share: int = 1) -> WordTokenizer:
     """This process's tokenizer for a vocabulary file (by default the public one, wherever this machine has it)."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path)
-    return _OPEN[path]
+    if (path, share) not in _OPEN:
+        _OPEN[path, share] = WordTokenizer(path, share)
+    return _OPEN[path, share]

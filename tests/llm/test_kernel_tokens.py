@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import idset, kernel, repeats, suffix, tokens
+from lectern.llm import idset, kernel, packing, repeats, suffix, tokens
 from tests.llm import plain
 
 TEXT = st.text(alphabet="ab AB.,!\n\té\u00a0日'x9#|", max_size=60)
@@ -77,7 +77,7 @@ def test_word_cache_is_bounded_by_bytes(monkeypatch):
 
 
 def test_word_cache_does_not_grow_with_the_corpus():
-    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER))
+    tok = tokens.WordTokenizer(public_tokenizers.path(tokens.TOKENIZER), packing.CACHE_SHARE)
     for block in range(24):
         tok.encode(*kernel.column_bytes(pa.array([" ".join(f"{i:x}" for i in range(block * 25_000, block * 25_000 + 25_000))])), None)
     assert sum(v.nbytes for v in vars(tok).values() if isinstance(v, np.ndarray)) < 40 << 20
